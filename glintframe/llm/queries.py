@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, simhash
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -55,5 +55,10 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_simhash": op5_simhash}
 ORACLES = {"op1_mixing": OP1_SQL}
