@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import exact, mixing, simhash
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -60,5 +60,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_simhash": op5_simhash}
-ORACLES = {"op1_mixing": OP1_SQL}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP7_SQL = """
+WITH t AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
+FROM t
+"""
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_simhash": op5_simhash, "op7_exact_dedup": op7_exact_dedup}
+ORACLES = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL}
