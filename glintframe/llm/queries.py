@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, simhash
+from . import exact, mixing, packing, simhash
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -73,5 +74,21 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_simhash": op5_simhash, "op7_exact_dedup": op7_exact_dedup}
-ORACLES = {"op1_mixing": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op5_simhash": op5_simhash,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_packing": op10_packing,
+}
+ORACLES = {
+    "op1_mixing": OP1_SQL,
+    "op7_exact_dedup": OP7_SQL,
+}
