@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, simhash
+from . import exact, language, mixing, packing, simhash
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -74,6 +74,13 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -86,6 +93,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language": op8_language,
     "op10_packing": op10_packing,
 }
 ORACLES = {
