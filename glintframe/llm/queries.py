@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, simhash
+from . import exact, language, mixing, packing, simhash, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -81,6 +81,26 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_members(warc.archive(pages))
+    return found.select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS h FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY h, n >= 100) AS first_id FROM q)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM r
+"""
+
+
 def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -94,9 +114,11 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language": op8_language,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_warc": OP9_SQL,
 }
