@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, simhash, warc
+from . import exact, flac, language, mixing, packing, simhash, urls, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -74,6 +74,40 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
+#: Host rules by longest match, then token rules that block.
+URL_RULES = [
+    *(urls.host_rule(name, urls.ALLOW) for name in ("org/", "com/fr/")),
+    *(urls.host_rule(name, urls.BLOCK) for name in ("example.org/es/", "example.org/en/1", "com/de/")),
+    *(urls.word_rule(*words) for words in (("casino",), ("free", "bets"), ("cheap", "pills"), ("spam", "farm"), ("ads", "track"), ("poker",), ("porn",), ("viagra",))),
+]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, strpos(url, '://') AS s FROM pages),
+q AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN s > 0 THEN substr(url, s + 3) ELSE '' END AS rest FROM p),
+h AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+rules(rule, verdict, rhost, rpath) AS (VALUES
+  ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+  ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+fit AS (
+  SELECT h.page_id, h.url, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM h JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath) GROUP BY ALL)
+SELECT h.page_id, h.host, h.path, fit.rule, coalesce(fit.verdict, CASE WHEN regexp_matches(h.host || chr(10) || h.path || chr(10) || h.url,
+  '(^|[^A-Za-z0-9])(casino|free[-._/]bets|cheap[-._/]pills|spam[-._/]farm|ads[-._/]track|poker|porn|viagra)($|[^A-Za-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit ON h.page_id IS NOT DISTINCT FROM fit.page_id AND h.url = fit.url
+"""
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(flac.encode(table(spark, sf_dir, "documents")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, ~language.held_out(F.col("doc_id")))
@@ -111,7 +145,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_url_filters": op3_url_filters,
     "op5_simhash": op5_simhash,
+    "op6_flac": op6_flac,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
@@ -119,6 +155,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
+    "op3_url_filters": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_warc": OP9_SQL,
 }
