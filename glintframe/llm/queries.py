@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, flac, language, mixing, packing, simhash, urls, warc
+from . import exact, flac, language, mixing, packing, pii, simhash, urls, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -74,6 +74,17 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
+#: The registered query's key; a deployment passes its own.
+PII_KEY = "glintframe-registered-query"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, key=PII_KEY)
+    counts = [F.coalesce(F.element_at("pii", kind), F.lit(0)).alias(kind) for kind in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
 #: Host rules by longest match, then token rules that block.
 URL_RULES = [
     *(urls.host_rule(name, urls.ALLOW) for name in ("org/", "com/fr/")),
@@ -145,6 +156,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
     "op3_url_filters": op3_url_filters,
     "op5_simhash": op5_simhash,
     "op6_flac": op6_flac,
