@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, flac, language, mixing, packing, pii, simhash, urls, warc
+from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, urls, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -115,6 +115,20 @@ FROM h LEFT JOIN fit ON h.page_id IS NOT DISTINCT FROM fit.page_id AND h.url = f
 """
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document counted, then revised in three places: its middle, its start and its end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    places = [(F.floor(n / 2), 12, "revised, "), (F.lit(0), 0, "Draft 2: "), (n + 64, 0, " End.")]
+    edits = F.array(*[F.struct(at.cast("long").alias("start"), F.lit(k).cast("long").alias("length"), F.lit(x).alias("insert")) for at, k, x in places])
+    trees = editcounts.count_trees(docs.withColumn("edits", edits), tokenizer(), carry=["edits"])
+    return editcounts.apply_edits(trees, tokenizer()).select("doc_id", "tokens_before", "n_tokens", "reencoded")
+
+
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(flac.encode(table(spark, sf_dir, "documents")))
 
@@ -146,10 +160,6 @@ FROM r
 """
 
 
-def tokenizer() -> str:
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -158,6 +168,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
     "op3_url_filters": op3_url_filters,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_flac": op6_flac,
     "op7_exact_dedup": op7_exact_dedup,
