@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, scratch, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: RocksDB must not set aside disk for logs that stay short.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SMALL = ("exact__id", "exact__digest", "exact__row", "exact__file")
 
 
@@ -59,9 +63,9 @@ def keyed_state(stream: DataFrame, into: str, checkpoint: str) -> None:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{into}/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             kept.writeStream.outputMode("update").foreachBatch(store)
@@ -69,7 +73,8 @@ def keyed_state(stream: DataFrame, into: str, checkpoint: str) -> None:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def groups(landed: DataFrame, files_per_batch: int | None = None) -> DataFrame:
