@@ -30,6 +30,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Parts of a group of copies whose full texts are compared apart.
+SALTS = 32
 SMALL = ("exact__id", "exact__digest", "exact__row", "exact__file")
 
 
@@ -95,11 +97,14 @@ def groups(landed: DataFrame, files_per_batch: int | None = None) -> DataFrame:
 
 
 def collisions(docs: DataFrame, found: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests of hits under which full texts differ."""
+    """Digests of hits under which full texts differ; a group of any size is compared in ``SALTS`` parts first."""
     text = normalised(F.col(text_col))
-    hits = found.where("group_size > 1").select(F.col("exact__digest").alias("hit"))
-    full = docs.select(digest(text).alias("digest"), text.alias("full")).join(hits, F.col("digest") == F.col("hit"), "left_semi")
-    return full.groupBy("digest").agg(F.min("full").alias("least"), F.max("full").alias("most")).where("least != most").select("digest")
+    hits = found.where("group_size > 1").select(F.col("exact__digest").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    full = docs.select(digest(text).alias("digest"), text.alias("full"), salt.alias("salt"))
+    full = full.join(hits, (F.col("digest") == F.col("hit")) & (F.col("salt") == F.col("part")), "left_semi")
+    parts = full.groupBy("digest", "salt").agg(F.min("full").alias("least"), F.max("full").alias("most"))
+    return parts.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least != most").select("digest")
 
 
 def exact_duplicates(
