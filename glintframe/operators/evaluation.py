@@ -18,8 +18,8 @@ LATENCY_FACTOR = 1.5
 PARTS = 64
 
 
-def outcome_sums(pred: Column, y: Column = F.col("y")) -> list[Column]:
-    hit, real = pred.cast("int"), y.cast("int")
+def outcome_sums(pred: Column, y: Column | None = None) -> list[Column]:
+    hit, real = pred.cast("int"), (F.col("y") if y is None else y).cast("int")
     return [
         F.sum(hit * real).alias("tp"), F.sum(hit * (1 - real)).alias("fp"), F.sum((1 - hit) * real).alias("fn"), F.sum((1 - hit) * (1 - real)).alias("tn"),
     ]

@@ -215,7 +215,8 @@ def histogram_entropy(df: DataFrame, image: str, value: Column, bins: int) -> Da
 
 def guarded_corr(a: Column, b: Column) -> Column:
     """Pearson correlation, 0 where a side doesn't vary."""
-    return finite(F.when((F.stddev_pop(a) > EPS) & (F.stddev_pop(b) > EPS), F.corr(a, b)))
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return finite(F.when((sa > EPS) & (sb > EPS), F.covar_pop(a, b) / (sa * sb)))
 
 
 def quantised(values: Column, levels: int) -> Column:
