@@ -45,6 +45,8 @@ def buckets(text: str) -> Iterator[np.ndarray]:
 
 def codewords(n: int) -> np.ndarray:
     """One row of +1 and -1 for each language: all distinct splits of up to 7 languages, else the best-separated of seeded random codes."""
+    if n == 0:
+        return np.zeros((0, 0), np.float32)
     if n <= 7:
         splits = np.arange(1, 2 ** max(0, n - 1))
         return np.array([[1 if not k or not (s >> (k - 1)) & 1 else -1 for s in splits] for k in range(n)], np.float32).reshape(n, -1)

@@ -72,9 +72,9 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def _subject(url: str | None) -> tuple[str, str, str]:
-    """What expressions run on: host, line feed, path, line feed, the url as it is."""
+    """What expressions run on: host, line feed, path, line feed, the url; their own line feeds as spaces."""
     host, path = split_url(url)
-    return host, path, f"{host}\n{path}\n{url or ''}"
+    return host, path, "\n".join(part.replace("\n", " ") for part in (host, path, url or ""))
 
 
 def token_counts(urls: DataFrame, tokens: list[str], url_col: str) -> dict[str, int]:
