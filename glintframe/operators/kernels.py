@@ -30,8 +30,13 @@ def dot(values: Column, weights: Column) -> Column:
     return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` uses it in lambdas of its own."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def product(values: Column, basis: list[list[float]]) -> Column:
-    return F.transform(constant(basis, "array<array<double>>"), lambda row: dot(values, row))
+    return bound(values, lambda own: F.transform(constant(basis, "array<array<double>>"), lambda row: dot(own, row)))
 
 
 def plane(values: Column) -> Column:
@@ -40,7 +45,7 @@ def plane(values: Column) -> Column:
 
 def centred(values: Column) -> Column:
     mean = F.aggregate(values, lit(0.0), lambda s, x: s + x) / F.size(values)
-    return F.transform(values, lambda x: x - mean)
+    return bound(mean, lambda m: F.transform(values, lambda x: x - m))
 
 
 def dct_basis(side: int) -> list[list[float]]:
