@@ -13,9 +13,10 @@ principle) and the whole distance is small enough.  What is left is compared exa
 set against shingle set.  The features behind the bits are the distinct pairs of neighbouring words, summed
 into 2048 signed counters; a randomised Hadamard transform makes the bits from these.
 
-In a band's group each text is paired with two others alone, the first and the last in an order of the band's own:
-the pairs grow with the group, and the bands give each
-text many partners.  Verified pairs are closed to components.
+In a band's group each text is first paired with two others alone, the first and the last in an order of the band's
+own, so the pairs grow with the group.  Verified pairs are closed to components.  A group that then still
+holds several components has pairs that nobody compared: its texts go through an exact prefix-filter join,
+which finds every link between different components (two texts of ``similarity`` share one of their rarest shingles).
 
 Rows are told apart by a hash of id and text, so identical rows are one.  Defined cases: null and
 wordless texts are never near copies; texts shorter than a shingle have one, of all their words;
@@ -43,6 +44,8 @@ BLOCK = 1 << 12
 #: Most differing bits of a candidate: an angle of 0.63, which shingle similarity 0.8 stays below by five deviations.
 DISTANCE = 410
 MEMO = 1 << 18
+#: Texts with a shingle in common that one task of the prefix join takes.
+SALT = 2048
 _odd = np.uint64(0x9E3779B97F4A7C15)
 _xors, _factors = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _factors |= np.uint64(1)
@@ -137,7 +140,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that share a band, each text with the first and the last of its group."""
+    """Distinct pairs (a, b) that share a band, each text with the first and the last of its group: the first pass."""
     keys = sketched.select("uid", F.explode("bands").alias("key"))
     placed = F.struct(F.xxhash64("uid", "key").alias("place"), F.col("uid").alias("uid"))
     buckets = keys.groupBy("key").agg(F.min(placed).alias("low"), F.max(placed).alias("high")).where("low < high")
@@ -186,17 +189,65 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: s
     return rows.mapInArrow(run, "uid long, shingles array<long>")
 
 
+def unsettled(sketched: DataFrame, found: DataFrame) -> DataFrame:
+    """(uid, root) of the texts in a band's group of several components; in a group of three all pairs were candidates."""
+    roots = found.select(F.col("node").alias("uid"), "root")
+    rooted = sketched.select("uid", "bands").join(roots, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), F.explode("bands").alias("key"))
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 3 and low < high")
+    return rooted.join(mixed.select("key"), "key", "left_semi").select("uid", "root").distinct()
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of rows (uid, root, shingles) with different roots that may reach ``similarity``; none that do are left out.
+
+    In an order common to all texts, rarest first, the first shingle that a pair has in common is among
+    the first of both, so early that what follows it can make up the overlap.
+    """
+    each = sets.select("uid", "root", F.explode("shingles").alias("shingle"))
+    known = each.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
+    order = F.sort_array(F.collect_list(F.struct("n", "shingle", "mixed")))
+    ranked = each.join(known, "shingle").groupBy("uid", "root").agg(order.alias("order")).withColumn("size", F.size("order"))
+
+    def least(share: float, size: str) -> Column:
+        return F.ceil(share * F.col(size) - 1e-9).cast("int")
+
+    placed = ranked.select("uid", "root", "size", F.posexplode(F.slice("order", 1, F.col("size") - least(similarity, "size") + 1)).alias("at", "s"))
+    placed = placed.where("s.mixed").select("uid", "root", "size", "at", "s.shingle", F.ceil(F.col("s.n") / SALT).cast("int").alias("salts"))
+    # The shorter text of a pair shares more of itself: its part of the order is the lesser one.
+    short = placed.where(F.col("at") <= F.col("size") - least(2 * similarity / (1 + similarity), "size"))
+    short = short.select(*[F.col(c).alias(f"x_{c}") for c in ("uid", "root", "size", "at")], "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    long = placed.select(*[F.col(c).alias(f"y_{c}") for c in ("uid", "root", "size", "at")], "shingle", F.pmod(F.hash("uid"), "salts").alias("salt"))
+    ordered = F.struct("x_size", "x_uid") < F.struct(F.col("y_size").alias("x_size"), F.col("y_uid").alias("x_uid"))
+    room = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    met = short.join(long, ["shingle", "salt"]).where(ordered & (F.col("x_root") != F.col("y_root")) & room)
+    return met.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("left")), "a")
+    both = both.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("right")), "b")
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(uid, root): every row that is a near copy, with the row that names its component; links are pairs of ``similarity`` or more."""
     sketched = written(sketches(docs, id_col=id_col, text_col=text_col, width=width).distinct(), "wide-sketches")
     near = written(pruned(written(candidates(sketched), "wide-candidates"), sketched), "wide-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     sets = written(shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width).dropDuplicates(["uid"]), "wide-sets")
-    both = near.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("left")), "a")
-    both = both.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("right")), "b")
-    common = F.size(F.array_intersect("left", "right"))
-    linked = both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
-    return components(written(linked, "wide-links")).select(F.col("node").alias("uid"), "root")
+    found = components(written(linked(near, sets, similarity), "wide-links"))
+    rest = written(unsettled(sketched, found), "wide-rest")
+    if not rest.isEmpty():
+        sets = shingle_sets(docs, rest.select("uid"), id_col=id_col, text_col=text_col, width=width).dropDuplicates(["uid"])
+        sets = written(sets.join(rest, "uid"), "wide-rest-sets")
+        pairs = written(prefix_pairs(sets, similarity), "wide-rest-pairs")
+        more = written(linked(pairs, sets, similarity), "wide-rest-links")
+        if not more.isEmpty():
+            stars = found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b")
+            found = components(written(stars.unionByName(more), "wide-all-links"))
+    return found.select(F.col("node").alias("uid"), "root")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
