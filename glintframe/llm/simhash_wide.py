@@ -1,6 +1,6 @@
 """Near copies by word-shingle similarity, pruned by pigeonring filtering over long SimHash fingerprints.
 
-Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 10 to 15 % of their
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of their
 fingerprint's bits, far more than 3 of 64.  No segment of a fingerprint that is long enough to tell
 texts of a large corpus apart stays equal then (a 32-bit segment does in 0.5 % of pairs), so segments can't
 be the join key.  Candidates are texts that share a band: six minimal hashes of their shingles, of 24
@@ -10,7 +10,7 @@ common shingles share none, however large the corpus.
 A candidate then needs a fingerprint within reach.  It has 2048 bits in 64 segments on a ring: a pair
 stays if some chain of segments keeps within its proportional budgets (pigeonring
 principle) and the whole distance is small enough.  What is left is compared exactly, shingle
-set against shingle set.  The features behind the bits are the distinct pairs of neighbouring words, summed
+set against shingle set.  The features behind the bits are the same distinct shingles, summed
 into 2048 signed counters; a randomised Hadamard transform makes the bits from these.
 
 In a band's group each text is first paired with two others alone, the first and the last in an order of the band's
@@ -41,8 +41,11 @@ BITS, SEGMENTS, CHAIN = 2048, 64, 8
 BANDS, ROWS = 24, 6
 #: Shingles hashed at a time.
 BLOCK = 1 << 12
-#: Most differing bits of a candidate: an angle of 0.63, which shingle similarity 0.8 stays below by five deviations.
+#: Most differing bits of a candidate.  Shingle sets of similarity 0.8 have a cosine of 8/9 at least (sets of one size), so 310
+#: differing bits in the mean; with deviations of 16 (bits) and 7 (counters shared by shingles) 410 is five deviations off.
 DISTANCE = 410
+#: Texts of fewer shingles have fingerprints too coarse for that (4 of 5 shingles: 384 in the mean, 768 at times); all their pairs are compared.
+SMALL = 32
 MEMO = 1 << 18
 #: Texts with a shingle in common that one task of the prefix join takes.
 SALT = 2048
@@ -115,7 +118,7 @@ def uid(id_col: str, text_col: str) -> Column:
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, block: int = 256) -> DataFrame:
-    """(uid, segments, bands) of every text with a word."""
+    """(uid, segments, bands, small) of every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
@@ -126,17 +129,19 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for row, text in enumerate(part.column(1)):
                     hashes = _hashes(text.as_py() or "", known)
                     if len(hashes):
-                        features.append(_runs(hashes, 2))
-                        bands.append(_bands(_runs(hashes, width)))
+                        shingles = _runs(hashes, width)
+                        features.append(shingles)
+                        bands.append(_bands(shingles))
                         rows.append(row)
                 if rows:
                     lists = [
                         pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
                         for x in (_bits(features), np.stack(bands))
                     ]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *lists], ["uid", "segments", "bands"])
+                    small = pa.array([len(f) < SMALL for f in features])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *lists, small], ["uid", "segments", "bands", "small"])
 
-    return docs.select(uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string")).mapInArrow(run, "uid long, segments array<int>, bands array<long>")
+    return docs.select(uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string")).mapInArrow(run, "uid long, segments array<int>, bands array<long>, small boolean")
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
@@ -163,16 +168,17 @@ def within(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE, chain:
 
 
 def pruned(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    left = sketched.select(F.col("uid").alias("a"), F.col("segments").alias("left"))
+    left = sketched.select(F.col("uid").alias("a"), F.col("segments").alias("left"), "small")
     right = sketched.select(F.col("uid").alias("b"), F.col("segments").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sides = [np.asarray(batch.column(i).flatten(), np.int32).view(np.uint32).reshape(-1, SEGMENTS) for i in (2, 3)]
-                yield batch.select([0, 1]).filter(pa.array(within(*sides)))
+                small = batch.column(4).to_numpy(zero_copy_only=False)
+                yield batch.select([0, 1]).filter(pa.array(within(*sides) | small))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "small").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:

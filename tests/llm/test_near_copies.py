@@ -41,3 +41,17 @@ def test_prefix_pairs_miss_none(spark):
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if i // 2 != j // 2 and like(sets[i], sets[j])}
     assert want and found == want
     assert pairs.where(F.col("a") >= F.col("b")).isEmpty()
+
+
+def test_few_different_words(spark):
+    """1200 words over a vocabulary of 10: the pairs of neighbouring words say little, the shingles all."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(5):
+        logs = [f"v{n}x{rng.randrange(10)}" for _ in range(1200)]
+        prose = [f"p{n}x{rng.getrandbits(30)}" for _ in range(285)]
+        rows += [(2 * n, " ".join(logs)), (2 * n + 1, " ".join(logs + prose))]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(shingles[::2], shingles[1::2]))
+    kept = W.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8]
