@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import cosine, lit, ratio, squared_distance
 
-#: Most queries that one block of a search may hold; blocks are joined one after the other.
+#: About as many queries are searched at a time; blocks are searched one after the other.
 QUERY_BLOCK = 10_000
+#: About as many rows are ranked at once for a query.
+CHUNK = 256
 
 
 def checked(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     return df.where(F.size(vector) == dimension)
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the k greatest cosine similarities, the query itself included.
 
-    ``queries`` is a stated set of up to ``QUERY_BLOCK`` vectors against all rows.  Each task
-    keeps its own k best of each query before the shuffle.
+    Any number of queries against all rows: about ``block`` queries are broadcast at a time, and the results of several
+    blocks are checkpointed.  A task ranks a query's similarities to one chunk of rows at a time and passes on its k best.
     """
-    asked = queries.limit(QUERY_BLOCK + 1).select(F.col(id_col).alias("query_id"), F.col(vector).alias("asked"))
-    if (n := asked.count()) > QUERY_BLOCK:
-        raise ValueError(f"{n} queries or more; search in blocks of {QUERY_BLOCK}")
-    rows = base.select(F.col(id_col).alias("neighbour_id"), F.col(vector).alias("own")).withColumn("part", F.spark_partition_id())
-    pairs = rows.crossJoin(F.broadcast(asked))  # a checked number of queries
-    pairs = pairs.select("query_id", "neighbour_id", "part", cosine(F.col("asked"), F.col("own")).alias("similarity"))
-    best = F.struct((-F.col("similarity")).alias("order"), "neighbour_id")
-    local = pairs.groupBy("query_id", "part").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("best"))
-    ranked = local.select("query_id", F.explode("best").alias("b")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("b.order", "b.neighbour_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("b.neighbour_id").alias("neighbour_id"), (-F.col("b.order")).alias("similarity"), "rank")
+    spark = base.sparkSession
+    chunk = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-base.count() // CHUNK))))
+    rows = base.select(chunk.alias("chunk"), F.struct(F.col(id_col).alias("id"), F.col(vector).alias("own")).alias("row"))
+    chunks = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("asked"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    if blocks > 1:
+        chunks = chunks.checkpoint()
+
+    def searched(own: DataFrame) -> DataFrame:
+        pairs = chunks.crossJoin(F.broadcast(own.select("query_id", "asked")))  # a block of queries
+        alike = F.transform("rows", lambda r: F.struct((-cosine(F.col("asked"), r["own"])).alias("order"), r["id"].alias("neighbour_id")))
+        local = pairs.select("query_id", F.explode(F.slice(F.array_sort(alike), 1, k)).alias("b"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("b.order", "b.neighbour_id"))
+        ranked = local.withColumn("rank", rank).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("b.neighbour_id").alias("neighbour_id"), (-F.col("b.order")).alias("similarity"), "rank")
+
+    if blocks == 1:
+        return searched(asked)
+    return reduce(DataFrame.unionByName, [searched(asked.where(F.col("block") == n)).checkpoint() for n in range(blocks)])
 
 
 def centroids(df: DataFrame, by: str = "label", vector: str = "embedding") -> DataFrame:
