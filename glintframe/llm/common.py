@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: Paths of scratch tables; a block of ``collected()`` has a list of its own.
+_made: list[list[str]] = [[]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where unset."""
+    """The folder that all executors share, as the cluster names it; a folder of this machine only where the machine is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "glintframe-shared")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -31,28 +38,59 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the driver ends or by ``delete``."""
     path = f"{shared_dir(spark)}/glintframe/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    _made[-1].append(path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, *paths: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
+    for path in paths:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may have gone first; the folder is scratch space
+            pass
+        for own in _made:
+            if path in own:
+                own.remove(path)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The scratch paths made inside, so that the caller can delete them when what was built on them has been written."""
+    own: list[str] = []
+    _made.append(own)
     try:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may have gone first; the folder is scratch space
-        pass
+        yield own
+    finally:
+        _made.pop()
+        _made[0].extend(own)
+
+
+@atexit.register
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        delete(spark, *[p for own in _made for p in own])
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table written in the shared folder and reread: lineage ends here, lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote; nothing built on these tables may still be waiting to run."""
+    for df in tables:
+        delete(df.sparkSession, df.scratch_path)
 
 
 def ascii_lower(col: Column) -> Column:

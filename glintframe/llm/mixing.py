@@ -12,15 +12,19 @@ that range (about one in ``ranges``) are sorted.
 Defined cases: a null text has size 0; a null source is a source, the last one; a null id
 hashes as the empty string; a null, negative or NaN quality counts as 1; quality 0 is
 taken last; rows with equal key and id are taken or left together; an empty table gives an
-empty result.  Columns of the input that clash with those added are replaced.
+empty result.  Columns of the input named like those added are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import fresh, written
+from .placed import place
 
 HASH_BITS = 52
 ADDED = ("size", "source_size", "target", "taken")
@@ -121,25 +125,43 @@ def mix(
     size = word_count(F.col("text")) if size is None else size
     quality = F.lit(1.0) if quality is None else quality
     key = exponential_key(F.col(id_col), quality, seed)
-    slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "mix-slim")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    slim = written(slim, "mix-slim")
     plan = plan_mix(slim, weights, share, most, ranges)
-    plan = plan.select(*[F.col(c).alias(f"plan__{c}") for c in plan.columns])
     kept = [c for c in docs.columns if c.lower() not in ADDED]
-    sized = docs.select(*[F.col(c) for c in docs.columns], size.alias("doc__size"), key.alias("doc__key"))
-    both = sized.join(plan, F.col(source_col).eqNullSafe(F.col("plan__source")), "left")
-    span, here = _range(F.col("doc__key"), ranges), F.struct(F.col("doc__key").alias("key"), F.col(id_col).alias("id"))
-    chosen = (span < F.col("plan__edge")) | ((span == F.col("plan__edge")) & (here <= F.col("plan__last")))
-    times = F.col("plan__epochs") + F.coalesce(chosen.cast("long"), F.lit(0))
+    sized_as, key_as, *named = fresh(docs, "mix__size", "mix__key", *[f"mix__{c}_" for c in plan.columns])
+    plan = plan.select(*[F.col(c).alias(n) for c, n in zip(plan.columns, named)])
+    plan_source, source_size, target, epochs, edge, last = map(F.col, named)
+    sized = docs.select("*", size.alias(sized_as), key.alias(key_as))
+    both = sized.join(plan, F.col(source_col).eqNullSafe(plan_source), "left")
+    span, here = _range(F.col(key_as), ranges), F.struct(F.col(key_as).alias("key"), F.col(id_col).alias("id"))
+    times = epochs + F.coalesce(((span < edge) | ((span == edge) & (here <= last))).cast("long"), F.lit(0))
     return both.select(
         *kept,
-        F.col("doc__size").alias("size"),
-        F.col("plan__source_size").alias("source_size"),
-        F.col("plan__target").alias("target"),
-        (F.col("doc__size") * times).alias("taken"),
+        F.col(sized_as).alias("size"),
+        source_size.alias("source_size"),
+        target.alias("target"),
+        (F.col(sized_as) * times).alias("taken"),
         times.alias("times"),
     )
 
 
-def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of a mix as it is read: each document as often as it is taken."""
-    return mixed.where("times > 0").withColumn("mix__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*columns)
+def mixture(
+    docs: DataFrame, weigh: Callable[[DataFrame], tuple[DataFrame, Column]], *, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", most: float = 2.0, **how,
+) -> DataFrame:
+    """The rows of a mix as it is read: each of ``docs`` as often as it is taken.
+
+    weigh: of slim rows (row, id, source, words), gives these rows with more columns, and the column that is their sampling weight.
+    Texts are read twice and copied once; the mix itself is made of the slim rows.
+    """
+    placed = place(docs, "mix-placed")
+    slim = placed.df.select(F.col(placed.row).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("words"))
+    slim, quality = weigh(slim)
+    slim = written(slim.select("row", "id", "source", "words", quality.alias("quality")), "mix-weighed")
+    mixed = mix(slim, id_col="id", source_col="source", size=F.col("words"), quality=F.col("quality"), most=most, **how)
+    times = written(mixed.select("row", "times"), "mix-times")
+    out, marks = placed.marked(*[times.where(F.col("times") >= n).select("row") for n in range(1, ceil(most) + 1)])
+    times_as, copy_as = fresh(out, "mix__times", "mix__copy")
+    out = out.withColumn(times_as, sum((m.cast("int") for m in marks), F.lit(0))).where(F.col(times_as) > 0)
+    return out.withColumn(copy_as, F.explode(F.sequence(F.lit(1), F.col(times_as)))).select(*docs.columns)

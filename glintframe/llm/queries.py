@@ -12,11 +12,11 @@ from .common import table
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with label__quality, the sampling weight of a document's label; unlabelled ones weigh 1."""
     best = labels.groupBy(F.col("doc_id").alias("label__id")).agg(F.max("quality").alias("label__value"))
     weight = F.when(F.col("label__value") == 1, LABEL_QUALITY[1]).when(F.col("label__value") == 0, LABEL_QUALITY[0]).otherwise(1.0)
-    joined = docs.join(best, F.col("doc_id") == F.col("label__id"), "left")
+    joined = docs.join(best, F.col(id_col) == F.col("label__id"), "left")
     return joined.withColumn("label__quality", weight).drop("label__id", "label__value")
 
 

@@ -18,7 +18,7 @@ own, so the pairs grow with the group.  Verified pairs are closed to components.
 holds several components has pairs that nobody compared: its texts go through an exact prefix-filter join,
 which finds every link between different components (two texts of ``similarity`` share one of their rarest shingles).
 
-Rows are told apart by a hash of id and text, so identical rows are one.  Defined cases: null and
+Rows are told apart by their place.  Defined cases: identical rows are near copies of each other; null and
 wordless texts are never near copies; texts shorter than a shingle have one, of all their words;
 of a component the row with the least id stays (a null id is the greatest); an empty table gives an empty result.
 """
@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, written
+from .common import ASCII_LOWER, discard, written
 from .components import components
+from .placed import Placed, place
 from .simhash import _words
 
 BITS, SEGMENTS, CHAIN = 2048, 64, 8
@@ -113,11 +114,7 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def uid(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, block: int = 256) -> DataFrame:
+def sketches(docs: DataFrame, *, uid: str, text_col: str = "text", width: int = 5, block: int = 256) -> DataFrame:
     """(uid, segments, bands, small) of every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +138,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     small = pa.array([len(f) < SMALL for f in features])
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *lists, small], ["uid", "segments", "bands", "small"])
 
-    return docs.select(uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string")).mapInArrow(run, "uid long, segments array<int>, bands array<long>, small boolean")
+    return docs.select(F.col(uid).alias("uid"), F.col(text_col).cast("string")).mapInArrow(run, "uid long, segments array<int>, bands array<long>, small boolean")
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
@@ -181,7 +178,7 @@ def pruned(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "small").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+def shingle_sets(placed: Placed, wanted: DataFrame, *, text_col: str, width: int) -> DataFrame:
     """(uid, shingles) of the texts in ``wanted`` (uid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +188,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: s
                 shingles = _runs(_hashes(text.as_py(), known), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([shingles], pa.list_(pa.int64()))], ["uid", "shingles"])
 
-    rows = docs.select(uid(id_col, text_col).alias("uid"), F.col(text_col).cast("string").alias("text")).join(wanted, "uid", "left_semi")
+    rows = placed.only(wanted).select(F.col(placed.row).alias("uid"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "uid long, shingles array<long>")
 
 
@@ -237,19 +234,25 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(uid, root): every row that is a near copy, with the row that names its component; links are pairs of ``similarity`` or more."""
-    sketched = written(sketches(docs, id_col=id_col, text_col=text_col, width=width).distinct(), "wide-sketches")
-    near = written(pruned(written(candidates(sketched), "wide-candidates"), sketched), "wide-near")
+def near_copies(placed: Placed, *, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(uid, root): the place of every row that is a near copy, with that of the row that names its component; links are pairs of ``similarity`` or more."""
+    sketched = written(sketches(placed.df, uid=placed.row, text_col=text_col, width=width), "wide-sketches")
+    met = written(candidates(sketched), "wide-candidates")
+    near = written(pruned(met, sketched), "wide-near")
+    discard(met)
     wanted = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    sets = written(shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width).dropDuplicates(["uid"]), "wide-sets")
-    found = components(written(linked(near, sets, similarity), "wide-links"))
+    sets = written(shingle_sets(placed, wanted, text_col=text_col, width=width), "wide-sets")
+    links = written(linked(near, sets, similarity), "wide-links")
+    discard(sets, near)
+    found = components(links)
     rest = written(unsettled(sketched, found), "wide-rest")
+    discard(sketched)
     if not rest.isEmpty():
-        sets = shingle_sets(docs, rest.select("uid"), id_col=id_col, text_col=text_col, width=width).dropDuplicates(["uid"])
+        sets = shingle_sets(placed, rest.select("uid"), text_col=text_col, width=width)
         sets = written(sets.join(rest, "uid"), "wide-rest-sets")
         pairs = written(prefix_pairs(sets, similarity), "wide-rest-pairs")
         more = written(linked(pairs, sets, similarity), "wide-rest-links")
+        discard(pairs, sets)
         if not more.isEmpty():
             stars = found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b")
             found = components(written(stars.unionByName(more), "wide-all-links"))
@@ -257,10 +260,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the near copies of a row that stays: of each component the one with the least id."""
-    found = near_copies(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
-    ids = docs.select(uid(id_col, text_col).alias("uid"), F.col(id_col).alias("id"))
+    """``docs`` without the near copies of a row that stays: of each component the one with the least id.  No text is shuffled."""
+    placed = place(docs, "wide-placed")
+    found = near_copies(placed, text_col=text_col, width=width, similarity=similarity)
+    ids = placed.df.select(F.col(placed.row).alias("uid"), F.col(id_col).alias("id"))
     named = found.join(ids, "uid").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("stays"))
-    gone = found.join(named, "root").where(F.col("uid") != F.col("stays.uid")).select(F.col("uid").alias("gone"))
-    gone = written(gone.distinct(), "wide-gone")
-    return docs.join(gone, uid(id_col, text_col) == F.col("gone"), "left_anti")
+    gone = found.join(named, "root").where(F.col("uid") != F.col("stays.uid")).select("uid")
+    gone = written(gone, "wide-gone")
+    return placed.without(gone).select(*docs.columns)
