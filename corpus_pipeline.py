@@ -1,53 +1,75 @@
 """The corpus pipeline: language, exact copies, near copies, mixture, packing.
 
 Each stage takes what the one before kept, as a table with the columns of ``documents``; the
-last returns where each piece of each document lies in the packed sequences.
+last returns where each piece of each document lies in the packed sequences.  Other columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import exact, language, mixing, packing, simhash_wide
-from glintframe.llm.common import table, written
+from glintframe.llm.common import collected, delete, discard, table, written
 from glintframe.llm.queries import labelled, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage called last.
+_last: list[str] = []
 
 
+def stage(work: Stage) -> Stage:
+    """A stage called with ``docs``, the written result of the one before, whose scratch tables are then deleted."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, *_last)
+        with collected() as made:
+            out = work(spark, docs.select(*COLUMNS), sf_dir)
+        _last[:] = made
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language is told; those without a letter, or between two languages, go."""
+    """Texts whose language is told; those without a letter (null and empty ones too), or between two languages, go."""
     model = language.fit(docs, ~language.held_out(F.col("doc_id")))
-    told = language.predict(docs.select(*COLUMNS), model)
+    told = language.predict(docs, model)
     return told.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
+@stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
-    found = exact.exact_duplicates(docs, columns=COLUMNS)
-    return found.where("kept").select(*[F.col(f"doc__{c}").alias(c) for c in COLUMNS])
+    """Of equal texts the one with the largest id; a null text equals an empty one, of equal rows one stays."""
+    return exact.drop_exact_duplicates(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the one with the least id."""
-    return simhash_wide.drop_near_copies(docs).select(*COLUMNS)
+    """Of near copies (five-word shingles, similarity 0.8) the one with the least id; texts without a word are near none."""
+    return simhash_wide.drop_near_copies(docs)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it; labels weigh the choice."""
-    weighed = labelled(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(weighed, quality=F.col("label__quality"))
-    return mixing.repeat_taken(mixed, COLUMNS)
+    """Each document as often as its source's target takes it; labels weigh the choice.  A null source is a source."""
+    labels = table(spark, sf_dir, "labels")
+    return mixing.mixture(docs, lambda slim: (labelled(slim, labels, "id"), F.col("label__quality")))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, repeated ones each time, in sequences; a null text is an empty one."""
     return packing.pack(packing.pieces(docs, tokenizer()))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language ID", language_id),
     ("exact dedup", exact_dedup),
     ("SimHash near-dedup", near_dedup),
@@ -55,14 +77,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", pack),
 ]
 
-#: Language ID, fingerprints and token ids are no SQL; tests compare each stage with brute force.
+#: Language ID, fingerprints and token ids are no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), []
+    for n, (name, step) in enumerate(STAGES, 1):
+        docs = step(spark, docs, sf_dir)
         if n < len(STAGES):
             docs = written(docs, f"pipeline-{n}")
+            discard(*before)
+            before = [docs]
     return docs
