@@ -54,17 +54,24 @@ def score_counts(df: DataFrame) -> DataFrame:
 
 
 def prefix_counts(counts: DataFrame, parts: int = PARTS) -> DataFrame:
-    """``counts`` with tp and fp, the positives and negatives at or above each score."""
+    """``counts`` with tp and fp, the positives and negatives at or above each score, and pos_next and neg_next of the next lower score."""
     ranged = counts.repartitionByRange(parts, F.desc("p")).withColumn("part", F.spark_partition_id())
-    sums = ranged.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as parts
+    top = F.max_by(F.struct("pos", "neg"), "p")
+    sums = ranged.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), top.alias("top"))
+    order = Window.orderBy("part")  # as many rows as parts
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(
-        F.col("part").alias("own"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("pos_before"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("neg_before")
-    )
-    inside = Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("tp", F.sum("pos").over(inside)).withColumn("fp", F.sum("neg").over(inside))
+        F.col("part").alias("own"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("pos_before"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("neg_before"),
+        F.lead("top").over(order).alias("follows"),
+    )
+    inside = Window.partitionBy("part").orderBy(F.desc("p"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "next": F.lead(F.struct("pos", "neg")).over(inside)})
     joined = summed.join(F.broadcast(base), F.col("part") == F.col("own"))  # ``parts`` rows
-    return joined.select("p", "pos", "neg", (F.col("tp") + F.col("pos_before")).alias("tp"), (F.col("fp") + F.col("neg_before")).alias("fp"))
+    return joined.select(
+        "p", "pos", "neg", (F.col("tp") + F.col("pos_before")).alias("tp"), (F.col("fp") + F.col("neg_before")).alias("fp"),
+        F.coalesce(F.col("next.pos"), F.col("follows.pos")).alias("pos_next"), F.coalesce(F.col("next.neg"), F.col("follows.neg")).alias("neg_next"),
+    )
 
 
 def _with_totals(counts: DataFrame) -> DataFrame:
@@ -73,14 +80,19 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
-    """All distinct scores, none thinned out."""
+    """The corners of the curve, from (0, 0) at an infinite threshold on: scores between which it runs straight are left out."""
     full = _with_totals(score_counts(df))
-    return full.select(F.col("p").alias("threshold"), ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), ratio(F.col("tp"), F.col("all_pos")).alias("tpr"))
+    first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
+    bends = first | F.col("pos_next").isNull() | (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
+    points = full.where(bends).select(F.col("p").alias("threshold"), ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), ratio(F.col("tp"), F.col("all_pos")).alias("tpr"))
+    return points.unionByName(df.sparkSession.sql("SELECT double('inf') AS threshold, 0D AS fpr, 0D AS tpr"))
 
 
 def pr_curve(df: DataFrame) -> DataFrame:
+    """Precision and recall at each distinct score, and the end point (1, 0) without a threshold."""
     full = _with_totals(score_counts(df))
-    return full.select(F.col("p").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"))
+    points = full.select(F.col("p").alias("threshold"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_pos")).alias("recall"))
+    return points.unionByName(df.sparkSession.sql("SELECT double(NULL) AS threshold, 1D AS precision, 0D AS recall"))
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def resolution_bucket(width: Column, height: Column) -> Column:
 
 def latency_percentiles(df: DataFrame, value: str) -> DataFrame:
     """Interpolated median, 95th and 99th percentile."""
-    return df.agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return exact_percentiles(df, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def holdout_gate(df: DataFrame, threshold: float, most_fpr: float = 0.02, least_recall: float = 0.8) -> DataFrame:
@@ -171,3 +183,96 @@ def mutual_information(df: DataFrame, feature: str, bins: int = 16) -> DataFrame
     n, x, y = F.sum("n").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy("bin")), F.sum("n").over(Window.partitionBy("y"))
     parts = cells.select((F.col("n") / n * F.log(F.col("n") * n / (x * y))).alias("part"))  # bins x 2 rows
     return parts.agg(clip(F.sum("part"), 0.0, float("inf")).alias("mutual_information"))
+
+
+def long_metrics(df: DataFrame, part: str, key: Column, metrics: list[str]) -> DataFrame:
+    """A wide row for each key as rows (part, key, metric, value)."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    return df.select(F.lit(part).alias("part"), key.cast("string").alias("key"), F.inline(pairs))
+
+
+def evaluation_report(df: DataFrame, target: float, latencies: DataFrame) -> DataFrame:
+    """One evaluation as rows (part, key, metric, value): threshold at the target error rate, rates, AUC, calibration, slices, latencies.
+
+    df: y, p, generator, width, height.  latencies: one column.  The rows are read once, into counts for
+    each score and slice; all else is made of these counts.
+    """
+    bucket = resolution_bucket(F.col("width"), F.col("height"))
+    cells = df.groupBy("p", F.coalesce(F.col("generator"), F.lit("unknown")).alias("generator"), bucket.alias("bucket"))
+    cells = cells.agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    full = _with_totals(cells.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    fits = F.when((F.col("all_neg") == 0) | (ratio(F.col("fp"), F.col("all_neg")) <= target), F.col("p"))
+    wins = F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + F.col("neg") / 2))
+    curve = full.agg(F.least(F.coalesce(F.min(fits), lit(0.5)), lit(0.5)).alias("threshold"), ratio(wins, F.max("all_pos") * F.max("all_neg"), 0.5).alias("roc_auc"))
+    hit = (F.col("p") >= F.col("threshold")).cast("long")
+    outcomes = [F.sum(hit * F.col("pos")).alias("tp"), F.sum(hit * F.col("neg")).alias("fp"), F.sum((1 - hit) * F.col("pos")).alias("fn"), F.sum((1 - hit) * F.col("neg")).alias("tn")]
+    judged = cells.crossJoin(F.broadcast(curve))  # one row
+    sets = judged.groupingSets([[], [F.col("generator")], [F.col("bucket")]], F.col("generator"), F.col("bucket"))
+    sets = rates(sets.agg(F.grouping_id().alias("level"), F.sum(F.col("pos") + F.col("neg")).alias("n"), *outcomes))
+    ece_of = F.sum(F.col("pos") + F.col("neg"))
+    bins = cells.groupBy(F.floor(F.col("p") * 15).alias("bin")).agg(ece_of.alias("n"), F.sum(F.col("p") * (F.col("pos") + F.col("neg"))).alias("mass"), F.sum("pos").alias("pos"))
+    gap = F.sum(F.when(F.col("bin") < 15, F.abs(F.col("mass") - F.col("pos"))))
+    calibration = bins.agg(ratio(F.coalesce(gap, lit(0.0)), F.sum("n")).alias("ece"))
+    whole = ["n", "accuracy", "precision", "recall", "f1", "fpr", "tp", "fp", "fn", "tn"]
+    parts = [
+        long_metrics(sets.where("level = 3"), "overall", F.lit(""), whole),
+        long_metrics(curve, "overall", F.lit(""), ["threshold", "roc_auc"]),
+        long_metrics(calibration, "overall", F.lit(""), ["ece"]),
+        long_metrics(sets.where("level = 1"), "generator", F.col("generator"), ["n", "accuracy", "f1"]),
+        long_metrics(sets.where("level = 2"), "resolution", F.col("bucket"), ["n", "accuracy", "f1"]),
+        long_metrics(latency_percentiles(latencies, latencies.columns[0]), "latency", F.lit(""), ["p50", "p95", "p99"]),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]).unionByName(parts[5])
+
+
+def calibration_report(df: DataFrame, before: str, after: str, bins: int = 15) -> DataFrame:
+    """ECE and Brier score of two scores of the same rows, in one pass."""
+    both = df.select("y", F.inline(F.array(F.struct(F.lit("before").alias("stage"), F.col(before).alias("p")), F.struct(F.lit("after").alias("stage"), F.col(after).alias("p")))))
+    cells = both.groupBy("stage", F.floor(F.col("p") * bins).alias("bin")).agg(
+        F.count("*").alias("n"), F.avg("p").alias("a"), F.avg("y").alias("h"), F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("loss")
+    )
+    gap = F.sum(F.when(F.col("bin") < bins, F.abs(F.col("a") - F.col("h")) * F.col("n")))
+    return cells.groupBy("stage").agg(ratio(F.coalesce(gap, lit(0.0)), F.sum("n")).alias("ece"), ratio(F.sum("loss"), F.sum("n")).alias("brier"))
+
+
+def worst_holdout(runs: DataFrame) -> DataFrame:
+    """Of leave-one-out runs (generator, roc_auc) the worst, least name first; a null name is "unknown"."""
+    name = F.coalesce(F.col("generator"), F.lit("unknown"))
+    return runs.agg(F.min(F.struct(F.col("roc_auc"), name.alias("generator"))).alias("worst")).select("worst.generator", "worst.roc_auc")
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], parts: int = PARTS) -> DataFrame:
+    """Linearly interpolated percentiles: values are ranked by range, so that no task or aggregate holds them all."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``parts`` rows
+    base = F.broadcast(sums.select(F.col("part").alias("own"), before.alias("before"), F.sum("all").over(Window.partitionBy()).alias("total")))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("upto", upto).join(base, F.col("part") == F.col("own"))
+    last = F.col("before") + F.col("upto")  # ranks from last - n to last - 1
+    found = []
+    for name, share in shares.items():
+        at = lit(share) * (F.col("total") - 1)
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            found.append(F.max(F.when((rank >= last - F.col("n")) & (rank < last), F.col("v"))).alias(f"{name}_{end}"))
+        found.append(F.max(at - F.floor(at)).alias(f"{name}_part"))
+    ends = ranked.agg(*found)
+    return ends.select(*[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in shares])
+
+
+def roc_auc_by(df: DataFrame, key: str) -> DataFrame:
+    """AUC of each key; 0.5 where a class is missing.  Distinct scores of a key are ranked together: round scores where keys are few and rows are many."""
+    counts = df.groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias(key), "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    own = Window.partitionBy(key)
+    below = F.coalesce(F.sum("neg").over(own.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = counts.select(key, "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    return wins.groupBy(key).agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg"), 0.5).alias("roc_auc"))
+
+
+def kind_by_prefix(name: Column, proxies: tuple[str, ...]) -> Column:
+    """``proxy`` for names that begin with one of these, else ``genuine``."""
+    hit = F.lit(False)
+    for prefix in proxies:
+        hit = hit | name.startswith(prefix)
+    return F.when(hit, "proxy").otherwise("genuine")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glintframe.plans import embeddings, evaluation, history, kernels, manifest, narrative
+from glintframe.plans import embeddings, evaluation, history, kernels, manifest, narrative, sources
 from glintframe.plans.registry import Query
 
-MODULES = (manifest, kernels, evaluation, history, embeddings, narrative)
+MODULES = (manifest, kernels, evaluation, history, embeddings, narrative, sources)
 
 
 def queries() -> dict[str, Query]:

@@ -128,15 +128,17 @@ def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 CURVE = f"""WITH {SCORED_SQL}, c AS (SELECT p, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM scored GROUP BY p),
-k AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an FROM c)"""
+k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an,
+  lead(pos) OVER w AS pos_next, lead(neg) OVER w AS neg_next, row_number() OVER w AS r FROM c WINDOW w AS (ORDER BY p DESC))"""
 
 
-@reg(f"{CURVE} SELECT {r6('p')} AS threshold, {r6('fp / an')} AS fpr, {r6('tp / ap')} AS tpr FROM k")
+@reg(f"""{CURVE} SELECT {r6('p')} AS threshold, {r6('fp / an')} AS fpr, {r6('tp / ap')} AS tpr FROM k
+WHERE r = 1 OR pos_next IS NULL OR pos <> pos_next OR neg <> neg_next UNION ALL SELECT 'infinity'::DOUBLE, 0, 0""")
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.roc_curve(scored(spark, d)), "threshold", "fpr", "tpr")
+    return rounded(E.roc_curve(scored(spark, d)), "fpr", "tpr").withColumn("threshold", F.when(F.col("threshold") <= 1, round6(F.col("threshold"))).otherwise(F.col("threshold")))
 
 
-@reg(f"{CURVE} SELECT {r6('p')} AS threshold, {r6('tp / (tp + fp)')} AS precision, {r6('tp / ap')} AS recall FROM k")
+@reg(f"{CURVE} SELECT {r6('p')} AS threshold, {r6('tp / (tp + fp)')} AS precision, {r6('tp / ap')} AS recall FROM k UNION ALL SELECT NULL, 1, 0")
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.pr_curve(scored(spark, d)), "threshold", "precision", "recall")
 
@@ -230,3 +232,75 @@ t AS (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY bin) AS x, sum(n)
 SELECT {r6("greatest(0e0, sum(n / t * ln(n * t / (x * yy))))")} AS mutual_information FROM t""")
 def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.mutual_information(scored(spark, d), "size"), "mutual_information")
+
+
+def pairs(metrics: dict[str, str]) -> str:
+    return ", ".join(f"{{'metric': '{name}', 'value': ({sql})::DOUBLE}}" for name, sql in metrics.items())
+
+
+F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)"
+OVERALL = {
+    "n": "n", "accuracy": "(tp + tn) / n", "precision": "coalesce(tp / nullif(tp + fp, 0), 0)", "recall": "coalesce(tp / nullif(tp + fn, 0), 0)", "f1": F1,
+    "fpr": "coalesce(fp / nullif(fp + tn, 0), 0)", "tp": "tp", "fp": "fp", "fn": "fn", "tn": "tn",
+}
+SLICE = {"n": "n", "accuracy": "(tp + tn) / n", "f1": F1}
+
+
+@reg(f"""{CURVE}, th AS (SELECT least(5e-1, coalesce(min(p) FILTER (fp / an <= 5e-2), 5e-1)) AS t FROM k),
+s AS (SELECT *, CASE WHEN least(size, 1200) < 512 THEN 'small' WHEN least(size, 1200) >= 1024 THEN 'large' ELSE 'medium' END AS bucket, (p >= t)::INT AS hit
+  FROM scored, th),
+g AS (SELECT generator, bucket, grouping_id(generator, bucket) AS level, count(*) AS n, sum(hit * y) AS tp, sum(hit * (1 - y)) AS fp, sum((1 - hit) * y) AS fn,
+  sum((1 - hit) * (1 - y)) AS tn FROM s GROUP BY GROUPING SETS ((), (generator), (bucket))),
+auc AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS r, y FROM scored),
+bins AS (SELECT floor(p * 15) AS bin, count(*) AS n, avg(p) AS a, avg(y) AS h FROM scored GROUP BY 1),
+u AS (SELECT 'overall' AS part, '' AS key, unnest([{pairs(OVERALL)}]) AS m FROM g WHERE level = 3
+  UNION ALL SELECT 'generator', generator, unnest([{pairs(SLICE)}]) FROM g WHERE level = 1
+  UNION ALL SELECT 'resolution', bucket, unnest([{pairs(SLICE)}]) FROM g WHERE level = 2
+  UNION ALL SELECT 'overall', '', {{'metric': 'threshold', 'value': t::DOUBLE}} FROM th
+  UNION ALL SELECT 'overall', '', {{'metric': 'roc_auc', 'value': ((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * sum(1 - y)))::DOUBLE}} FROM auc
+  UNION ALL SELECT 'overall', '', {{'metric': 'ece', 'value': (sum(abs(a - h) * n) FILTER (bin < 15) / sum(n))::DOUBLE}} FROM bins
+  UNION ALL SELECT 'latency', '', unnest([{{'metric': 'p50', 'value': quantile_cont(value, 5e-1)}}, {{'metric': 'p95', 'value': quantile_cont(value, 95e-2)}}, {{'metric': 'p99', 'value': quantile_cont(value, 99e-2)}}]) FROM events)
+SELECT part, key, m.metric AS metric, {r6('m.value')} AS value FROM u""")
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    df = scored(spark, d).withColumns({"width": F.col("size"), "height": F.lit(1200)})
+    return rounded(E.evaluation_report(df, 0.05, table(spark, d, "events").select("value")), "value")
+
+
+SHARP = "CASE WHEN p <= 0 OR p >= 1 THEN p ELSE 1e0 / (1e0 + exp(-ln(p / (1e0 - p)) / 15e-1)) END"
+
+
+@reg(f"""WITH {SCORED_SQL}, b AS (SELECT 'before' AS stage, y, p FROM scored UNION ALL SELECT 'after', y, {SHARP} FROM scored),
+c AS (SELECT stage, floor(p * 15) AS bin, count(*) AS n, avg(p) AS a, avg(y) AS h, sum((y - p) * (y - p)) AS loss FROM b GROUP BY 1, 2)
+SELECT stage, {r6("sum(abs(a - h) * n) FILTER (bin < 15) / sum(n)")} AS ece, {r6("sum(loss) / sum(n)")} AS brier FROM c GROUP BY stage""")
+def calibration_report(spark: SparkSession, d: str) -> DataFrame:
+    df = scored(spark, d).withColumn("scaled", E.temperature_scaled(F.col("p"), lit(0.25)))
+    return rounded(E.calibration_report(df, "p", "scaled"), "ece", "brier")
+
+
+@reg(f"""WITH {SCORED_SQL}, r AS (SELECT generator, y, rank() OVER (PARTITION BY generator ORDER BY p) + (count(*) OVER (PARTITION BY generator, p) - 1) / 2e0 AS r FROM scored),
+a AS (SELECT generator, coalesce((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * sum(1 - y), 0), 5e-1) AS roc_auc FROM r GROUP BY generator)
+SELECT generator, {r6("roc_auc")} AS roc_auc FROM a ORDER BY a.roc_auc, generator LIMIT 1""")
+def worst_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(E.worst_holdout(E.roc_auc_by(scored(spark, d), "generator")), "roc_auc")
+
+
+@reg(f"""WITH {SCORED_SQL}, {MEMBERS_SQL}, a AS (SELECT id, {AVG_SQL} AS average, CASE WHEN id % 3 = 0 THEN NULL ELSE members[4] END AS meta FROM m)
+SELECT id, {r6("coalesce(meta, average)")} AS raw FROM a""")
+def raw_score(spark: SparkSession, d: str) -> DataFrame:
+    m = members(F.col("p"))
+    meta = F.when(F.col("id") % 3 != 0, m[3])
+    return rounded(scored(spark, d).select("id", V.raw_score(m, meta).alias("raw")), "raw")
+
+
+@reg(f"""WITH r AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 1e2 END AS a, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value / 2e2 END AS b FROM events),
+e AS (SELECT event_id, coalesce(a, b) AS t FROM r) SELECT event_id, {r6(CLAMP_SQL)} AS threshold FROM e""")
+def resolve_threshold(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (F.when(F.col("event_id") % n != 0, F.col("value") / lit(s)) for n, s in ((4, 100.0), (3, 200.0)))
+    return rounded(table(spark, d, "events").select("event_id", V.resolve_threshold(a, b).alias("threshold")), "threshold")
+
+
+@reg(f"""WITH {SCORED_SQL}, o AS (SELECT CASE WHEN starts_with(generator, 'src0') OR starts_with(generator, 'web') THEN 'proxy' ELSE 'genuine' END AS kind, count(*) AS n, {SUMS.format('5e-1')} FROM scored GROUP BY 1)
+SELECT kind, n, tp, fp, fn, tn, {RATES} FROM o""")
+def genuine_and_proxy(spark: SparkSession, d: str) -> DataFrame:
+    df = scored(spark, d).withColumn("kind", E.kind_by_prefix(F.col("generator"), ("src0", "web")))
+    return rounded(E.binary_metrics(df, 0.5, ["kind"]), *RATE_NAMES)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,9 +21,18 @@ def session(name: str = "glintframe", master: str = "local[*]", partitions: int
     return builder.getOrCreate()
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; to a temporary folder only where it says nothing."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def with_checkpoints(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; a folder of this machine only where the machine is all there is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "glintframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{with_checkpoints(spark)}/work/{name}-{uuid.uuid4().hex}"

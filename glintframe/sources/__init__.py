@@ -1 +1 @@
-
+"""Readers and writers: manifests, image files, histories, reports, exports."""

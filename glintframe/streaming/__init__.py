@@ -1 +1 @@
-
+"""Streams of results: batch jobs, live figures, state by user."""
