@@ -144,10 +144,11 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, distance: int = 4, bi
     return near.select("a", "b", apart.alias("distance")).distinct()
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str, order: str, rounds: int = 1000) -> DataFrame:
+def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str, order: str) -> DataFrame:
     """Rows in ``order``, each kept unless near a row kept before: the exact greedy result, by rounds.
 
-    A round keeps rows that have no undecided earlier neighbour, then drops their later neighbours.
+    A round keeps rows that have no undecided earlier neighbour, then drops their later neighbours; it decides one row
+    at least, so the rounds end with the last edge.
     """
     spark = ids.sparkSession
     rank = ids.select(F.col(key).alias("id"), F.col(order).alias("at"))
@@ -156,9 +157,7 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str, order: str, rounds:
     first = F.struct("at_a", "a") < F.struct(F.col("at_b").alias("at_a"), F.col("b").alias("a"))
     edges = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).checkpoint()
     dropped = spark.createDataFrame([], edges.select(F.col("late").alias("id")).schema)
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         waiting = edges.select(F.col("late").alias("early")).distinct()
         keepers = edges.select("early").distinct().join(waiting, "early", "left_anti")
         gone = edges.join(keepers, "early", "left_semi").select(F.col("late").alias("id")).distinct().checkpoint()
