@@ -33,6 +33,11 @@ def logistic(z: Column) -> Column:
     return lit(1.0) / (lit(1.0) + F.exp(-z))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(values: Column, step) -> Column:
     return F.aggregate(values, lit(0.0), step)
 

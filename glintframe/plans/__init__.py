@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glintframe.plans import embeddings, evaluation, history, kernels, manifest, models, narrative, sources
+from glintframe.plans import embeddings, evaluation, history, kernels, manifest, models, narrative, planes, sources
 from glintframe.plans.registry import Query
 
-MODULES = (manifest, kernels, evaluation, history, embeddings, narrative, sources, models)
+MODULES = (manifest, kernels, evaluation, history, embeddings, narrative, sources, models, planes)
 
 
 def queries() -> dict[str, Query]:
