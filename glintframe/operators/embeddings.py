@@ -4,47 +4,85 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from glintframe.functions.numeric import cosine, lit, ratio, squared_distance
+from glintframe.functions.numeric import lit, ratio, squared_distance
 
 #: About as many queries are searched at a time; blocks are searched one after the other.
 QUERY_BLOCK = 10_000
-#: About as many rows are ranked at once for a query.
-CHUNK = 256
+#: Rows that are compared with a block of queries at once, at most.
+CHUNK = 4096
+#: Rows of a cell and ring that one task of the radius join compares with others.
+CELL_ROWS = 4096
+#: Fixed value: the rows of a discovered cluster that get its label.
+REPRESENTATIVES = 5
 
 
 def checked(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     return df.where(F.size(vector) == dimension)
 
 
+def unit(vector: str | Column) -> Column:
+    """A vector at length 1; a zero vector as it is."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    return F.get(F.transform(F.array(v), lambda own: _scaled(own)), F.lit(0))
+
+
+def _scaled(own: Column) -> Column:
+    size = F.sqrt(F.aggregate(own, lit(0.0), lambda s, x: s + x * x))
+    return F.get(F.transform(F.array(size), lambda n: F.when(n > 0, F.transform(own, lambda x: x / n)).otherwise(own)), F.lit(0))
+
+
+def _best(k: int):
+    """Of each chunk of rows (ids ascending) the ``k`` most alike of each query: (query number, row number, similarity)."""
+
+    @pandas_udf("array<struct<q:int,r:int,s:double>>")
+    def best(rows: pd.Series, queries: pd.Series) -> pd.Series:
+        out = []
+        for own, asked in zip(rows, queries):
+            alike = np.round(np.stack(asked) @ np.stack(own).T, 12)  # equal vectors must be equally alike
+            order = np.argsort(-alike, axis=1, kind="stable")[:, :k]
+            out.append([{"q": q, "r": int(r), "s": float(alike[q, r])} for q, own_order in enumerate(order) for r in own_order])
+        return pd.Series(out)
+
+    return best
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the k greatest cosine similarities, the query itself included.
 
     Any number of queries against all rows: about ``block`` queries are broadcast at a time, and the results of several
-    blocks are checkpointed.  A task ranks a query's similarities to one chunk of rows at a time and passes on its k best.
+    blocks are checkpointed.  Vectors are brought to length 1 once; a chunk of rows meets a block as one product of matrices and passes on its k best.
     """
     spark = base.sparkSession
-    chunk = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-base.count() // CHUNK))))
-    rows = base.select(chunk.alias("chunk"), F.struct(F.col(id_col).alias("id"), F.col(vector).alias("own")).alias("row"))
-    chunks = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = base.count()
+    size = max(64, min(CHUNK, -(-n // (2 * parts))))
+    chunk = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // size))))
+    rows = base.select(chunk.alias("chunk"), F.struct(F.col(id_col).alias("id"), unit(vector).alias("own")).alias("row"))
+    chunks = rows.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # about ``size`` rows
+    chunks = chunks.select(F.col("rows.id").alias("ids"), F.col("rows.own").alias("rows"))
     blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("asked"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    asked = queries.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.struct(F.col(id_col).alias("id"), unit(vector).alias("asked")).alias("query"))
+    asked = asked.groupBy("block").agg(F.sort_array(F.collect_list("query")).alias("queries"))  # about ``block`` queries
+    asked = asked.select("block", F.col("queries.id").alias("query_ids"), F.col("queries.asked").alias("queries"))
     if blocks > 1:
-        chunks = chunks.checkpoint()
+        chunks, asked = chunks.checkpoint(), asked.checkpoint()
 
     def searched(own: DataFrame) -> DataFrame:
-        pairs = chunks.crossJoin(F.broadcast(own.select("query_id", "asked")))  # a block of queries
-        alike = F.transform("rows", lambda r: F.struct((-cosine(F.col("asked"), r["own"])).alias("order"), r["id"].alias("neighbour_id")))
-        local = pairs.select("query_id", F.explode(F.slice(F.array_sort(alike), 1, k)).alias("b"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("b.order", "b.neighbour_id"))
-        ranked = local.withColumn("rank", rank).where(F.col("rank") <= k)
-        return ranked.select("query_id", F.col("b.neighbour_id").alias("neighbour_id"), (-F.col("b.order")).alias("similarity"), "rank")
+        pairs = chunks.crossJoin(F.broadcast(own.select("query_ids", "queries")))  # one row: a block of queries
+        found = pairs.select("ids", "query_ids", F.explode(_best(k)("rows", "queries")).alias("b"))
+        local = found.select(F.get("query_ids", F.col("b.q")).alias("query_id"), F.get("ids", F.col("b.r")).alias("neighbour_id"), F.col("b.s").alias("similarity"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
+        return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "neighbour_id", "similarity", "rank")
 
     if blocks == 1:
         return searched(asked)
-    return reduce(DataFrame.unionByName, [searched(asked.where(F.col("block") == n)).checkpoint() for n in range(blocks)])
+    return reduce(DataFrame.unionByName, [searched(asked.where(F.col("block") == i)).checkpoint() for i in range(blocks)])
 
 
 def centroids(df: DataFrame, by: str = "label", vector: str = "embedding") -> DataFrame:
@@ -71,25 +109,27 @@ def cluster_health(df: DataFrame, by: str = "label", vector: str = "embedding")
     }).drop("mean_distance")
 
 
-def within(df: DataFrame, epsilon: float, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 16, seed: int = 7) -> DataFrame:
-    """Pairs (a, b) of different rows within ``epsilon``.
+def within(df: DataFrame, epsilon: float, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 32) -> DataFrame:
+    """Pairs (a, b) of different rows within ``epsilon``; exact.
 
-    Vectors are banded by their distance to the origin of a fixed random projection: a band is
-    ``epsilon`` wide, so a pair lies in the same band or in adjacent ones (a projection never stretches).
+    Rows belong to the cell of the nearest of ``pivots`` rows and, in it, to a ring ``epsilon`` wide.  By the triangle
+    inequality a row can have others in reach only in cells whose pivot is at most 2 ``epsilon`` further than its own,
+    and there in the rings beside its own distance.  Large rings are dealt out over salts.
     """
-    import numpy as np
-
-    size = df.select(F.size(vector)).first()
-    if size is None:
-        return df.select(F.col(id_col).alias("a"), F.col(id_col).alias("b"))
-    direction = np.random.default_rng(seed).normal(size=size[0])
-    axis = F.array(*[lit(x) for x in direction / np.linalg.norm(direction)])
-    along = F.aggregate(F.zip_with(vector, axis, lambda x, y: x.cast("double") * y), lit(0.0), lambda s, x: s + x)
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.floor(along / epsilon).alias("band"))
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("left"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("right"), "band")
-    near = squared_distance(F.col("left"), F.col("right")) < epsilon * epsilon
-    return left.join(right, "band").where((F.col("a") != F.col("b")) & near).select("a", "b")
+    chosen = df.orderBy(F.xxhash64(id_col), id_col).limit(pivots).select(F.col(vector).alias("pivot"))  # ``pivots`` rows
+    centres = F.broadcast(chosen.agg(F.collect_list("pivot").alias("pivots")))
+    reach = F.transform("pivots", lambda p, i: F.struct(F.sqrt(squared_distance(F.col(vector), p)).alias("far"), i.alias("cell")))
+    rows = df.crossJoin(centres).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.array_sort(reach).alias("reach"))  # one row
+    ring = lambda far: F.floor(far / epsilon).cast("long")
+    own = rows.select("id", "v", F.col("reach")[0]["cell"].alias("cell"), ring(F.col("reach")[0]["far"]).alias("ring"))
+    sizes = own.groupBy("cell", "ring").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("salts"))
+    right = own.join(sizes, ["cell", "ring"]).select(F.col("id").alias("b"), F.col("v").alias("right"), "cell", "ring", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
+    near = F.filter("reach", lambda c: c["far"] <= F.col("reach")[0]["far"] + 2 * epsilon + 1e-9)
+    left = rows.select(F.col("id").alias("a"), F.col("v").alias("left"), F.explode(near).alias("c"))
+    left = left.select("a", "left", F.col("c.cell").alias("cell"), F.explode(F.array(*[ring(F.col("c.far")) + k for k in (-1, 0, 1)])).alias("ring"))
+    left = left.join(sizes, ["cell", "ring"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    close = squared_distance(F.col("left"), F.col("right")) < epsilon * epsilon
+    return left.join(right, ["cell", "ring", "salt"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
 
 
 def core_points(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -98,7 +138,7 @@ def core_points(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "ve
     return near.where(F.col("neighbours") >= least).select(F.col("a").alias(id_col), "neighbours")
 
 
-def unknown_clusters(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "vec_id", vector: str = "embedding", rounds: int = 10_000) -> DataFrame:
+def unknown_clusters(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(seed, member): in id order, each unvisited row with ``least`` unvisited rows in reach takes these as a cluster.
 
     A round settles every row whose earlier rivals within two steps are settled: the result is that of the loop.
@@ -106,7 +146,7 @@ def unknown_clusters(df: DataFrame, epsilon: float, least: int = 5, id_col: str
     near = within(df, epsilon, id_col, vector).checkpoint()
     free = df.select(F.col(id_col).alias("id")).checkpoint()
     found = None
-    for _ in range(rounds):
+    while True:
         live = near.join(free.withColumnRenamed("id", "a"), "a", "left_semi").join(free.withColumnRenamed("id", "b"), "b", "left_semi")
         able = live.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
         able = able.checkpoint()
@@ -163,3 +203,23 @@ def relabel(df: DataFrame, updates: DataFrame, id_col: str, column: str) -> Data
     new = updates.select(F.col(id_col).alias("update__id"), F.col(column).alias("update__value"))
     joined = df.join(new, F.col(id_col) == F.col("update__id"), "left")
     return joined.withColumn(column, F.coalesce("update__value", column)).drop("update__id", "update__value")
+
+
+def clusters(df: DataFrame, family: str, model: str, vector: str = "embedding") -> DataFrame:
+    """(cluster, n, centroid) by family and model; the key joins their names by an underscore."""
+    return centroids(df.withColumn("cluster__key", F.concat_ws("_", family, model)), "cluster__key", vector)
+
+
+def members(df: DataFrame, family: str, model: str, cluster: str) -> DataFrame:
+    """The rows of one cluster."""
+    return df.where(F.concat_ws("_", family, model) == cluster)
+
+
+def promote(found: DataFrame, cluster: str, family: str, model: str, most: int = REPRESENTATIVES) -> DataFrame:
+    """Of a discovered cluster (rows seed, member) the first ``most`` members with the label they get: (member, cluster, family, model).
+
+    The others keep theirs, as in the store that labels representatives alone.
+    """
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("member"))
+    kept = found.withColumn("place", place).where(F.col("place") <= most)
+    return kept.select("seed", "member", F.lit(f"{family}_{model}").alias("cluster"), F.lit(family).alias("family"), F.lit(model).alias("model"))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import bin_index, clip, finite, lit, ratio
 
+#: Fixed value.
 EPS = 1e-12
+#: Neighbours in the order of the code's bits.
 OFFSETS = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
 #: GLCM steps: distances 1 and 2 at 0, 45, 90 and 135 degrees.
 STEPS = tuple((d * dy, d * dx) for d in (1, 2) for dy, dx in ((0, 1), (1, 1), (1, 0), (1, -1)))
@@ -105,6 +107,12 @@ def radial_bins(side: int, n: int) -> list[int]:
     return [max(0, min(n - 1, sum(e <= x for e in edges) - 1)) for x in r]
 
 
+def radial_centres(side: int, n: int) -> list[float]:
+    """Mean radius of each bin, 0 for an empty one."""
+    bins, r = radial_bins(side, n), radii(side)
+    return [sum(x for x, b in zip(r, bins) if b == k) / max(1, bins.count(k)) for k in range(n)]
+
+
 def radial_profile(magnitude: Column, side: int, n: int) -> Column:
     """Mean magnitude by log-spaced radius, as shares of their sum."""
     means = masks_mean(magnitude, radial_bins(side, n), n)
@@ -130,23 +138,33 @@ def spectral_scalars(df: DataFrame, side: int = 8) -> DataFrame:
     nyquist, rows, cols = min(side, side // 2 + 1) // 2, side, side // 2 + 1
     high = [u >= rows - nyquist and w >= cols - nyquist for u, w in grid] if nyquist > 2 else [False] * len(grid)
     q1, q4 = [u < rows // 2 and w < cols // 2 for u, w in grid], [u >= rows // 2 and w >= cols // 2 for u, w in grid]
+    enough = sum(c > 2 for c in radial_centres(side, 24)) > 10
     chosen = F.filter(F.zip_with("phase", constant([float(f) for f in far], "array<double>"), lambda p, f: F.when(f > 0, p)), lambda p: p.isNotNull())
     bins = F.transform(chosen, lambda p: F.least(F.floor((p + lit(math.pi)) / lit(2 * math.pi) * 32), F.lit(31)).cast("int"))
     shares = F.transform(F.array_distinct(bins), lambda b: F.size(F.filter(bins, lambda x: x == b)) / F.size(bins))
     entropy = F.aggregate(shares, lit(0.0), lambda s, p: s - p * F.log2(p)) / lit(5.0)
     a, d = masked_sum(F.col("magnitude"), q1), masked_sum(F.col("magnitude"), q4)
     return df.withColumns({
-        "flatness": F.exp(masked_sum(logs, far) / n) / (masked_sum(power, far) / n + lit(EPS)), "phase_entropy": entropy,
+        "flatness": F.exp(masked_sum(logs, far) / n) / (masked_sum(power, far) / n + lit(EPS)) if enough else lit(0.0), "phase_entropy": entropy,
         "high_ratio": masked_sum(power, high) / total, "dc_ratio": F.get(power, F.lit(0)) / total, "quadrant_asymmetry": (a - d) / (a + d + lit(EPS)),
     })
 
 
-def slope_fit(df: DataFrame, key: str, side: int = 8) -> DataFrame:
-    """Per tile: least-squares slope and intercept of ln(magnitude) on ln(radius), radius above 2."""
-    r = constant(radii(side), "array<double>")
-    long = df.select(key, F.explode(F.arrays_zip(F.col("magnitude").alias("m"), r.alias("r"))).alias("z")).where("z.r > 2")
-    y, x = F.log(F.col("z.m") + lit(EPS)), F.log("z.r")
-    return long.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+def slope_fit(df: DataFrame, key: str, side: int = 8, n: int = 24) -> DataFrame:
+    """Per tile: least-squares slope and intercept of ln(mean magnitude) on ln(mean radius) over log-spaced radial bins.
+
+    Bins with a mean radius above 2 and below 0.85 of the largest count; with fewer than five of them both are 0.
+    """
+    bins, centres = radial_bins(side, n), radial_centres(side, n)
+    kept = [k for k, c in enumerate(centres) if 2 < c < 0.85 * max(centres)]
+    if len(kept) < 5:
+        return df.select(key, lit(0.0).alias("slope"), lit(0.0).alias("intercept"))
+    x = [math.log(centres[k]) for k in kept]
+    mean = sum(x) / len(x)
+    pull = [(v - mean) / sum((u - mean) ** 2 for u in x) for v in x]  # weights of least squares
+    logs = bound(masks_mean(F.col("magnitude"), bins, n), lambda own: F.transform(constant(kept, "array<int>"), lambda k: F.log(F.get(own, k) + lit(EPS))))
+    slope = bound(logs, lambda y: F.struct(dot(y, constant(pull, "array<double>")).alias("slope"), (F.aggregate(y, lit(0.0), lambda s, v: s + v) / len(x)).alias("mean")))
+    return df.select(key, slope.alias("fit")).select(key, "fit.slope", (F.col("fit.mean") - F.col("fit.slope") * mean).alias("intercept"))
 
 
 def dct_statistics(df: DataFrame, image: str, vector: str, side: int = 8) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from glintframe.functions.numeric import clip, lit
 
@@ -11,6 +16,8 @@ from glintframe.functions.numeric import clip, lit
 C2PA = (b"jumb", b"c2pa", b"cai_", b"contentcredentials", b"claim_generator")
 IPTC = (b"Photoshop 3.0", b"iptc", b"XMLPacket")
 EXIF = b"Exif\x00\x00"
+#: The metadata tags that are read.
+EXIF_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "datetime", 0x8827: "iso_speed", 0x920A: "focal_length", 0x829A: "exposure_time"}
 #: First bytes of image containers, in hexadecimal.
 CONTAINERS = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "bmp": "424D", "webp": "52494646"}
 VOID_PENALTY = 0.10
@@ -33,20 +40,55 @@ def container(content: Column) -> Column:
     return out
 
 
-def provenance(df: DataFrame, content: str, c2pa: tuple[bytes, ...] = C2PA, iptc: tuple[bytes, ...] = IPTC, exif_tags: Column | None = None) -> DataFrame:
-    """Adds has_c2pa, has_exif, has_iptc, void, penalty (reported only) and summary."""
-    b = F.col(content)
-    tags = F.lit(0) if exif_tags is None else exif_tags
-    df = df.withColumns({"has_c2pa": has_marker(b, c2pa), "has_exif": has_marker(b, (EXIF,)), "has_iptc": has_marker(b, iptc)})
+def _tags(content: bytes | None) -> dict[str, str]:
+    """The tags of the first metadata directory; what doesn't fit an entry's four bytes is given as these bytes in hexadecimal."""
+    content = content or b""
+    base = content.find(EXIF) + len(EXIF)
+    order = {b"II": "<", b"MM": ">"}.get(content[base : base + 2]) if base >= len(EXIF) else None
+    if order is None or len(content) < base + 8:
+        return {}
+    magic, first = struct.unpack(order + "HI", content[base + 2 : base + 8])
+    entries = content[base + first :]
+    if magic != 42 or len(entries) < 2:
+        return {}
+    found = {}
+    for at in range(2, 2 + 12 * struct.unpack(order + "H", entries[:2])[0], 12):
+        if len(entries) < at + 12:
+            break
+        tag, kind, count = struct.unpack(order + "HHI", entries[at : at + 8])
+        slot = entries[at + 8 : at + 12]
+        if tag in EXIF_TAGS:
+            if kind == 2 and count <= 4:
+                value = slot.split(b"\0", 1)[0].decode("utf-8", "replace")
+            elif kind in (3, 4) and count == 1:
+                value = str(struct.unpack(order + "HI"[kind - 3], slot[: 2 * kind - 4])[0])
+            else:
+                value = slot.hex()
+            found[EXIF_TAGS[tag]] = value
+    return found
+
+
+@pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def exif_tags(content: pd.Series) -> pd.Series:
+    return content.map(_tags)
+
+
+def provenance(df: DataFrame, content: str, c2pa: tuple[bytes, ...] = C2PA, iptc: tuple[bytes, ...] = IPTC) -> DataFrame:
+    """Adds exif (tags), has_c2pa, has_exif, has_iptc, void, penalty (reported only), bifurcated and summary.
+
+    Only contents that hold the metadata's header go to Python.
+    """
+    b, said = F.col(content), SENTENCES
+    tags = F.when(has_marker(b, (EXIF,)), exif_tags(F.when(has_marker(b, (EXIF,)), b))).otherwise(F.create_map().cast("map<string,string>"))
+    df = df.withColumn("exif", tags)
+    df = df.withColumns({"has_c2pa": has_marker(b, c2pa), "has_exif": F.size("exif") > 0, "has_iptc": has_marker(b, iptc)})
     void = container(b).isNotNull() & ~(F.col("has_c2pa") | F.col("has_exif") | F.col("has_iptc"))
     summary = (
-        F.when(F.col("has_c2pa"), "C2PA / Content-Credentials manifest detected — strong attestation signal.")
-        .when(F.col("has_exif"), F.format_string("EXIF metadata detected (%d tags).", tags))
-        .when(F.col("has_iptc"), "IPTC metadata detected.")
-        .when(void, "Provenance Void — metadata stripped (common adversarial/social re-upload).")
-        .otherwise("No metadata detected.")
-    )
-    return df.withColumns({"void": void, "penalty": F.when(void, lit(VOID_PENALTY)).otherwise(lit(0.0)), "summary": summary})
+        F.when(F.col("has_c2pa"), said["c2pa"]).when(F.col("has_exif"), F.format_string(said["exif"], F.size("exif")))
+        .when(F.col("has_iptc"), said["iptc"]).when(void, said["void"]).otherwise(said["none"])
+    )
+    penalty = F.when(void, lit(VOID_PENALTY)).otherwise(lit(0.0))
+    return df.withColumns({"void": void, "penalty": penalty, "bifurcated": F.col("has_c2pa"), "summary": summary})
 
 
 def severity(state: Column, agreement: Column, suspicious: Column, verified: Column) -> Column:
@@ -60,27 +102,65 @@ def severity(state: Column, agreement: Column, suspicious: Column, verified: Col
     )
 
 
-def narrative(state: Column, p: Column, void: Column, family: Column, family_share: Column, agreement: Column, members: Column, feature: Column, contribution: Column) -> Column:
-    """Sentences that fit, joined: verdict, provenance, family, agreement with the two strongest members, strongest signal.
+#: The sentences of provenance summaries and narratives.
+SENTENCES = {
+    "c2pa": "C2PA / Content-Credentials manifest detected — strong attestation signal.",
+    "exif": "EXIF metadata detected (%d tags).",
+    "iptc": "IPTC metadata detected.",
+    "void": "Provenance Void — metadata stripped (common adversarial/social re-upload).",
+    "none": "No metadata detected.",
+    "ai": "High confidence of synthetic generation (%.1f%% confidence).",
+    "authentic": "Strong indication this is an authentic camera image (%.1f%% confidence in real).",
+    "uncertain": "Verdict is inconclusive (%.1f%% fake probability).",
+    "absent": "Cryptographic provenance is absent (Provenance Void) — metadata was stripped, a common adversarial or social re-upload tactic.",
+    "generators": "Generator attribution: %s.",
+    "family": "Artifact signature is most consistent with %s (%.1f%%).",
+    "disagree": "Ensemble members disagree substantially, so the hard verdict is downgraded.",
+    "members": "Ensemble agreement is high; strongest members: %s.",
+    "flag": "Semantic arbitration flagged: %s (severity %.2f).",
+    "signal": "Strongest single signal is %s (%.2f), %s.",
+}
+#: Fixed values.
+FAMILY_LABELS = {"real": "real camera", "diffusion": "latent diffusion", "gan": "GAN", "other": "an unknown/other generator"}
+TOWARD = ("pushing toward fake", "pushing toward real")
+
+
+def strongest(shares: Column, n: int, form: str) -> Column:
+    """The ``n`` greatest entries of a map, printed and joined; equal ones by name."""
+    ordered = F.slice(F.array_sort(F.transform(F.map_entries(shares), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("name")))), 1, n)
+    return F.array_join(F.transform(ordered, lambda s: F.format_string(form, s["name"], s["order"] * -100)), ", ")
+
+
+def labelled(value: Column, labels: dict[str, str]) -> Column:
+    out = value
+    for name, label in labels.items():
+        out = F.when(value == name, label).otherwise(out)
+    return out
+
+
+def narrative(
+    state: Column, p: Column, void: Column, family: Column, family_share: Column, agreement: Column, members: Column, feature: Column, contribution: Column,
+    summary: Column | None = None, generators: Column | None = None, flags: Column | None = None,
+) -> Column:
+    """Sentences that fit, joined: verdict, provenance, generators or family, agreement, flags, strongest signal.
 
-    members: map of name to probability.
+    members, generators: maps of name to probability.  flags: array of (label, score), of the first three those of 0.5 and more are told.
     """
-    percent = lambda f, x: F.format_string(f, x)
-    lead = (
-        F.when(state == "ai", percent("High confidence of synthetic generation (%.1f%% confidence).", p * 100))
-        .when(state == "authentic", percent("Strong indication this is an authentic camera image (%.1f%% confidence in real).", p * 100))
-        .otherwise(percent("Verdict is inconclusive (%.1f%% fake probability).", p * 100))
-    )
-    gone = F.when(void, "Cryptographic provenance is absent (Provenance Void) — metadata was stripped, a common adversarial or social re-upload tactic.")
-    source = F.when(family_share >= 0.3, F.format_string("Artifact signature is most consistent with %s (%.1f%%).", family, family_share * 100))
-    ordered = F.slice(F.array_sort(F.transform(F.map_entries(members), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("name")))), 1, 2)
-    strongest = F.array_join(F.transform(ordered, lambda s: F.format_string("%s %.0f%%", s["name"], s["order"] * -100)), ", ")
-    together = F.when(agreement < 0.5, "Ensemble members disagree substantially, so the hard verdict is downgraded.").when(
-        F.size(members) > 0, F.concat(F.lit("Ensemble agreement is high; strongest members: "), strongest, F.lit("."))
-    )
-    toward = F.when(contribution > 0, "pushing toward fake").otherwise("pushing toward real")
-    signal = F.when(feature.isNotNull(), F.format_string("Strongest single signal is %s (%.2f), %s.", feature, F.abs(contribution), toward))
-    return F.concat_ws(" ", lead, gone, source, together, signal)
+    said = SENTENCES
+    none = F.lit(None).cast("string")
+    lead = F.when(state == "ai", F.format_string(said["ai"], p * 100)).when(state == "authentic", F.format_string(said["authentic"], p * 100)).otherwise(F.format_string(said["uncertain"], p * 100))
+    known = none if summary is None else F.when((summary != "") & (summary != said["none"]), F.concat(F.rtrim(summary, F.lit(".")), F.lit(".")))
+    origin = F.when(void, said["absent"]).otherwise(known)
+    source = F.when(family_share >= 0.3, F.format_string(said["family"], labelled(family, FAMILY_LABELS), family_share * 100))
+    if generators is not None:
+        source = F.when(F.size(generators) > 0, F.format_string(said["generators"], strongest(generators, 2, "%s %.1f%%"))).otherwise(source)
+    together = F.when(agreement < 0.5, said["disagree"]).when(F.size(members) > 0, F.format_string(said["members"], strongest(members, 2, "%s %.0f%%")))
+    raised = none
+    if flags is not None:
+        told = F.filter(F.slice(flags, 1, 3), lambda f: (f["label"] != "") & (f["score"] >= 0.5))
+        raised = F.when(F.size(told) > 0, F.array_join(F.transform(told, lambda f: F.format_string(said["flag"], F.lower(f["label"]), f["score"])), " "))
+    signal = F.when(feature.isNotNull(), F.format_string(said["signal"], feature, F.abs(contribution), F.when(contribution > 0, TOWARD[0]).otherwise(TOWARD[1])))
+    return F.concat_ws(" ", lead, origin, source, together, raised, signal)
 
 
 def sentence_count(text: Column) -> Column:
@@ -148,3 +228,116 @@ def arbiter_needed(p: Column) -> Column:
 
 def suspicious(flags: Column) -> Column:
     return F.exists(flags, lambda s: s >= 0.5)
+
+
+#: Highest frequency shown; labels of families and of models by family.
+MOST_HERTZ = 22050
+DISPLAY_LABELS = {"real": "Real Camera", "diffusion": "Diffusion Model", "gan": "GAN", "other": "Other / Unknown"}
+PREDICTED_FAMILIES = {"real": "Real", "diffusion": "Diffusion", "gan": "GAN", "other": "Unknown"}
+KNOWN_MODELS = {
+    "Diffusion": ("Stable Diffusion XL", "Stable Diffusion v2.1", "Stable Diffusion v1.5", "Custom"), "GAN": ("StyleGAN3", "StyleGAN2", "Custom"),
+    "Transformer": ("DALL-E 3", "DALL-E 2", "Custom"), "Real": (), "Unknown": (),
+}
+STYLE_WORDS = {"Diffusion": ("diffusion", "stable", "latent"), "GAN": ("gan", "stylegan", "generator"), "Transformer": ("transformer", "dalle", "attention")}
+FORM_CONFIDENCE = 85
+
+
+def spectrum_points(df: DataFrame, key: str, profile: str) -> DataFrame:
+    """A radial profile as chart points: bin, hz (of a share of the highest frequency), magnitude, energy."""
+    long = df.select(key, F.size(profile).alias("n"), F.posexplode(profile).alias("bin", "magnitude"))
+    share = F.col("bin") / F.greatest(F.col("n") - 1, F.lit(1))
+    return long.select(key, "bin", F.floor(share * MOST_HERTZ + 0.5).cast("long").alias("hz"), "magnitude", (F.col("magnitude") * F.col("magnitude")).alias("energy"))
+
+
+def explorer_series(df: DataFrame, key: str, radial: str, azimuthal: str) -> DataFrame:
+    """Radial and azimuthal profiles in one series (key, kind, place, value), and the series' mean value and energy."""
+    one = df.select(key, F.lit("radial").alias("kind"), F.posexplode(radial).alias("place", "value"))
+    two = df.select(key, F.lit("azimuthal").alias("kind"), F.posexplode(azimuthal).alias("place", "value"))
+    own = Window.partitionBy(key)  # the bins of one image
+    series = one.unionByName(two)
+    return series.withColumns({"mean_magnitude": F.avg("value").over(own), "mean_energy": F.avg(F.col("value") * F.col("value")).over(own)})
+
+
+def default_point(df: DataFrame, key: str, radial: str, azimuthal: str) -> DataFrame:
+    """The point in the middle of the joined series, selected at first."""
+    both = F.concat(F.transform(radial, lambda v, i: F.struct(F.lit("radial").alias("kind"), i.alias("place"), v.alias("value"))), F.transform(azimuthal, lambda v, i: F.struct(F.lit("azimuthal").alias("kind"), i.alias("place"), v.alias("value"))))
+    return df.select(key, F.get(both, F.floor(F.size(both) / 2).cast("int")).alias("point")).select(key, "point.*")
+
+
+def bands(df: DataFrame, key: str, energies: str, entropies: str) -> DataFrame:
+    """Flat arrays of energies and entropies, three to a level -> (key, level, band, energy, entropy)."""
+    long = df.select(key, F.posexplode(F.arrays_zip(F.col(energies).alias("energy"), F.col(entropies).alias("entropy"))).alias("i", "b"))
+    name = F.element_at(F.array(F.lit("LH"), F.lit("HL"), F.lit("HH")), F.col("i") % 3 + 1)
+    return long.select(key, F.floor(F.col("i") / 3).cast("int").alias("level"), name.alias("band"), "b.energy", "b.entropy")
+
+
+def levels(rows: DataFrame, key: str) -> DataFrame:
+    """Bands by level: summed energy, mean entropy, anomaly (mean lack of entropy), and whether the level is shown first."""
+    out = rows.groupBy(key, "level").agg(F.sum("energy").alias("energy"), F.avg("entropy").alias("entropy"), clip(F.avg(1 - F.col("entropy")), 0.0, 1.0).alias("anomaly"))
+    return out.withColumn("selected", F.col("level") == F.min("level").over(Window.partitionBy(key)))
+
+
+def sorted_list(rows: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """Each key's rows numbered from 1 by ``by`` downwards, equal ones by name."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by), name)))
+
+
+def family_list(rows: DataFrame, key: str) -> DataFrame:
+    """(key, family, probability) by probability, with display labels."""
+    return sorted_list(rows, key, "probability", "family").withColumn("name", labelled(F.col("family"), DISPLAY_LABELS))
+
+
+def insight(confidence: Column, is_ai: Column, model: Column, strong: Column, weak: Column) -> Column:
+    """Three lines on a result; strong and weak are the printed signals."""
+    band = F.when(confidence >= 85, "high confidence").when(confidence >= 65, "moderate confidence").otherwise("low confidence")
+    kind = F.when(is_ai, "AI-generated").otherwise("authentic")
+    return F.concat_ws(
+        "\n",
+        F.format_string("- The detector reports %s (%.1f%%) for %s content.", band, confidence, kind),
+        F.format_string("- The strongest signals are %s, which align with %s.", strong, model),
+        F.format_string("- Lower-impact signals (%s) suggest reviewing source quality (compression/resizing) before final action.", weak),
+    )
+
+
+def prediction(is_ai: Column, family: Column, confidence: Column, inconsistency: Column, prominence: Column, deviation: Column) -> Column:
+    """An analysis as the prediction that labelling starts from: family, model, confidence, cdcs, checkerboard, calibration."""
+    known = F.when(~is_ai, "Real").when(family.isin("diffusion", "gan"), labelled(family, PREDICTED_FAMILIES)).otherwise("Unknown")
+    model = F.when(~is_ai, "Real Camera").when(family == "diffusion", "Diffusion Model").when(family == "gan", "GAN").otherwise("Unknown Generator")
+    calibration = F.when(lit(1.0) - deviation > 0, clip(lit(1.0) - inconsistency, 0.0, 1.0)).otherwise(lit(0.5))
+    return F.struct(
+        known.alias("family"), model.alias("model"), (confidence / 100).alias("confidence"), inconsistency.alias("cdcs"), F.least(lit(1.0), prominence / 10).alias("checkerboard"), calibration.alias("calibration"),
+    )
+
+
+def model_choices(spark) -> DataFrame:
+    """(family, place, model): the small table that the label form looks families up in."""
+    return spark.createDataFrame([(f, n, m) for f, models in KNOWN_MODELS.items() for n, m in enumerate(models)], "family string, place int, model string")
+
+
+def label_form(predictions: DataFrame, choices: DataFrame, family: str = "family") -> DataFrame:
+    """Each prediction with the models of its family to choose from, the first chosen ("" if there are none), and the default confidence."""
+    own = choices.groupBy(F.col("family").alias("form__family")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "model"))), lambda s: s["model"]).alias("models"))
+    out = predictions.join(own, F.col(family) == F.col("form__family"), "left").drop("form__family")  # a row for each family: the planner broadcasts it
+    models = F.coalesce("models", F.array().cast("array<string>"))
+    return out.withColumns({"models": models, "selected": F.coalesce(F.get(models, F.lit(0)), F.lit("")), "confidence_default": F.lit(FORM_CONFIDENCE)})
+
+
+def model_info(report: DataFrame, fallback: dict[str, object]) -> DataFrame:
+    """Fields of the loaded model: the report's, else the fallback's."""
+    return report.select(*[F.coalesce(F.col(name) if name in report.columns else F.lit(None), F.lit(value)).alias(name) for name, value in fallback.items()])
+
+
+def curve_points(report: DataFrame, xs: str, ys: str) -> DataFrame:
+    """Two arrays of a report as rows (place, x, y)."""
+    return report.select(F.posexplode(F.arrays_zip(F.col(xs).alias("x"), F.col(ys).alias("y"))).alias("place", "p")).select("place", "p.x", "p.y")
+
+
+def provenance_profile(clusters: DataFrame, patterns: str, family: str) -> DataFrame:
+    """Patterns of a cluster by the word they contain, and its family's style words."""
+    kept = lambda word: F.filter(patterns, lambda x: x.contains(word))
+    words = F.lit(None).cast("array<string>")
+    for name, own in STYLE_WORDS.items():
+        words = F.when(F.col(family) == name, F.array(*map(F.lit, own))).otherwise(words)
+    return clusters.withColumns({
+        "software": kept("software"), "camera": kept("camera"), "processing": kept("processing"), "style": F.coalesce(words, F.array().cast("array<string>")),
+    })

@@ -57,6 +57,36 @@ def core_points(spark: SparkSession, d: str) -> DataFrame:
     return B.core_points(vectors(spark, d), 1.2)
 
 
+@reg("SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND vec_id % 7 <> 0")
+def checked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the wrong length are left out."""
+    v = vectors(spark, d)
+    some = v.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    return B.checked(some, "embedding", 64).select("vec_id")
+
+
+@reg(f"""WITH {E_SQL}, k AS (SELECT v, CASE WHEN label % 2 = 0 THEN 'GAN' ELSE 'Diffusion' END || '_m' || (vec_id % 3) AS cluster FROM e), u AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k),
+m AS (SELECT cluster, i, avg(x) AS x FROM u GROUP BY ALL), n AS (SELECT cluster, count(*) AS n FROM k GROUP BY 1)
+SELECT m.cluster, n, {r6('sum(x)')} AS total FROM m JOIN n ON m.cluster = n.cluster GROUP BY m.cluster, n""")
+def family_model_clusters(spark: SparkSession, d: str) -> DataFrame:
+    family = F.when(F.col("label") % 2 == 0, "GAN").otherwise("Diffusion")
+    rows = vectors(spark, d).withColumns({"family": family, "model": F.concat(F.lit("m"), F.col("vec_id") % 3)})
+    found = B.clusters(rows, "family", "model")
+    return found.select("cluster", "n", round6(F.aggregate("centroid", lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@reg("SELECT vec_id FROM embeddings WHERE label % 2 = 0 AND vec_id % 3 = 1")
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    family = F.when(F.col("label") % 2 == 0, "GAN").otherwise("Diffusion")
+    rows = vectors(spark, d).withColumns({"family": family, "model": F.concat(F.lit("m"), F.col("vec_id") % 3)})
+    return B.members(rows, "family", "model", "GAN_m1").select("vec_id")
+
+
+@reg("SELECT label AS seed, vec_id AS member, 'GAN_new' AS cluster, 'GAN' AS family, 'new' AS model FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5")
+def promoted_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return B.promote(vectors(spark, d).select(F.col("label").alias("seed"), F.col("vec_id").alias("member")), "GAN_new", "GAN", "new")
+
+
 @reg()
 def unknown_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy in id order: no SQL; tests compare it with a loop."""

@@ -85,7 +85,9 @@ def dft_scalars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("vec_id", "flatness", "phase_entropy", "dc_ratio", "quadrant_asymmetry"), "flatness", "phase_entropy", "dc_ratio", "quadrant_asymmetry")
 
 
-@reg(f"WITH {FREQ} SELECT vec_id, {r6('regr_slope(ln(m + 1e-12), ln(r))')} AS slope, {r6('regr_intercept(ln(m + 1e-12), ln(r))')} AS intercept FROM mg WHERE r > 2 GROUP BY vec_id")
+@reg(f"""WITH {FREQ}, ed AS (SELECT unnest(range(1, 25)) AS k), b AS (SELECT mg.*, least(23, (SELECT count(*) FROM ed WHERE pow(1e1, k * log10(sqrt(65) + 1) / 24) - 1 <= mg.r)) AS bin FROM mg),
+a AS (SELECT vec_id, bin, avg(m) AS m, avg(r) AS r FROM b GROUP BY ALL)
+SELECT vec_id, {r6('regr_slope(ln(m + 1e-12), ln(r))')} AS slope, {r6('regr_intercept(ln(m + 1e-12), ln(r))')} AS intercept FROM a WHERE r > 2 AND r < 85e-2 * (SELECT max(r) FROM a) GROUP BY vec_id""")
 def dft_slope(spark: SparkSession, d: str) -> DataFrame:
     s = K.with_spectrum(tiles(spark, d).select("vec_id", "embedding"), "embedding")
     return rounded(K.slope_fit(s, "vec_id"), "slope", "intercept")

@@ -113,17 +113,28 @@ def phash_tile(spark: SparkSession, d: str) -> DataFrame:
     return h.select("vec_id", F.bit_count("hash").alias("ones"), F.lpad(F.conv(F.hex("hash"), 16, 2), 64, "0").alias("bits"))
 
 
-@reg(f"WITH {HASH_SQL} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 14")
+#: Near hashes planted beside those of the tiles: two bits of every third are turned, five of every ninth.
+NEAR_SQL = f"""{HASH_SQL}, near AS (SELECT vec_id, h FROM hashes UNION ALL SELECT vec_id + 1000000, xor(h, lpad('101', 64, '0')::BIT) FROM hashes WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id + 2000000, xor(h, lpad('11111', 64, '0')::BIT) FROM hashes WHERE vec_id % 9 = 0)"""
+
+
+def near_hashes(spark: SparkSession, d: str) -> DataFrame:
+    h = tile_hashes(spark, d)
+    turned = lambda step, more, mask: h.where(F.col("vec_id") % step == 0).select((F.col("vec_id") + more).alias("vec_id"), F.col("hash").bitwiseXOR(F.lit(mask).cast("long")).alias("hash"))
+    return h.unionByName(turned(3, 1_000_000, 0b101)).unionByName(turned(9, 2_000_000, 0b11111))
+
+
+@reg(f"WITH {NEAR_SQL} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM near a JOIN near b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 4")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return M.hamming_pairs(tile_hashes(spark, d), "vec_id", "hash", 14)
+    return M.hamming_pairs(near_hashes(spark, d), "vec_id", "hash", 4)
 
 
 @reg()
 def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Greedy in id order: no SQL; tests compare it with a loop."""
     with_checkpoints(spark)
-    h = tile_hashes(spark, d)
-    return M.greedy_keep(h, M.hamming_pairs(h, "vec_id", "hash", 14), "vec_id", "vec_id").select("vec_id")
+    h = near_hashes(spark, d)
+    return M.greedy_keep(h, M.hamming_pairs(h, "vec_id", "hash", 4), "vec_id", "vec_id").select("vec_id")
 
 
 @reg("""SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON b.text = d.text GROUP BY b.item_id""")

@@ -13,15 +13,28 @@ from glintframe.plans.registry import Registry, rounded
 from glintframe.tables import SCORED_SQL, scored, table
 
 reg = Registry()
-#: Markers that the pages do contain.
-PAGE_MARKERS, PAGE_IPTC = (b"track(0)", b"cookie"), (b"</nav>",)
+SAID = {k: v.replace("'", "''") for k, v in N.SENTENCES.items()}
 
+#: Buffers of all kinds, made of the pages: every fifth a bare JPEG, one with IPTC data, one with a C2PA marker, one with metadata, the page itself.
+BUFFER_SQL = """b AS (SELECT page_id, page_id % 5 AS k FROM pages),
+f AS (SELECT page_id, k = 2 AS has_c2pa, k = 3 AS has_exif, k = 1 AS has_iptc, k = 0 AS void FROM b)"""
 
-@reg("""SELECT page_id, contains(html, 'track(0)') OR contains(html, 'cookie') AS has_c2pa, false AS has_exif, contains(html, '</nav>') AS has_iptc,
-CASE WHEN contains(html, 'track(0)') OR contains(html, 'cookie') THEN 'C2PA / Content-Credentials manifest detected — strong attestation signal.' WHEN contains(html, '</nav>') THEN 'IPTC metadata detected.' ELSE 'No metadata detected.' END AS summary FROM pages""")
+
+def buffers(spark: SparkSession, d: str) -> DataFrame:
+    entry = lambda tag, kind, slot: tag.to_bytes(2, "little") + kind.to_bytes(2, "little") + (1).to_bytes(4, "little") + slot
+    exif = N.EXIF + b"II*\0" + (8).to_bytes(4, "little") + (2).to_bytes(2, "little") + entry(0x8827, 3, b"\x64\0\0\0") + entry(0x0110, 2, b"X1\0\0")
+    jpeg = bytes.fromhex(N.CONTAINERS["jpeg"])
+    kinds = [jpeg + b"plain", jpeg + b"..iptc..", jpeg + b"..c2pa..", jpeg + exif, b"plain"]
+    content = F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", content.alias("content"))
+
+
+@reg(f"""WITH {BUFFER_SQL} SELECT page_id, has_c2pa, has_exif, has_iptc, void, CASE WHEN void THEN 1e-1 ELSE 0e0 END AS penalty, has_c2pa AS bifurcated,
+CASE WHEN has_c2pa THEN '{SAID["c2pa"]}' WHEN has_exif THEN '{SAID["exif"].replace("%d", "2")}' WHEN has_iptc THEN '{SAID["iptc"]}' WHEN void THEN '{SAID["void"]}' ELSE '{SAID["none"]}' END AS summary,
+CASE WHEN has_exif THEN 100 END AS iso_speed, CASE WHEN has_exif THEN 'X1' END AS model FROM f""")
 def provenance_summary(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
-    return N.provenance(pages, "content", PAGE_MARKERS, PAGE_IPTC).select("page_id", "has_c2pa", "has_exif", "has_iptc", "summary")
+    found = N.provenance(buffers(spark, d), "content")
+    return found.select("page_id", "has_c2pa", "has_exif", "has_iptc", "void", "penalty", "bifurcated", "summary", F.col("exif")["iso_speed"].cast("int").alias("iso_speed"), F.col("exif")["model"].alias("model"))
 
 
 @reg("""SELECT page_id, contains(html, 'jumb') OR contains(html, 'c2pa') OR contains(html, 'cai_') OR contains(html, 'contentcredentials') OR contains(html, 'claim_generator') AS c2pa,
@@ -54,13 +67,16 @@ def severity(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", s.alias("severity"), V.ui_verdict(F.col("verdict_state"), F.col("agreement")).alias("shown"))
 
 
+LABELS_SQL = "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.FAMILY_LABELS.items()) + " END"
+WHOLE = "floor({} * 1e2 + 5e-1)"
 TOLD_SQL = f"""{VERDICT_SQL}, {SOFT_SQL}, q AS (SELECT v.*, ['real','diffusion','gan','other'][list_position(s.s, list_max(s.s))] AS family, list_max(s.s) AS share FROM v JOIN s ON v.id = s.id),
-told AS (SELECT id, concat_ws(' ', CASE WHEN verdict_state = 'ai' THEN printf('High confidence of synthetic generation (%.1f%% confidence).', floor(p * 1e2 + 5e-1)) WHEN verdict_state = 'authentic' THEN printf('Strong indication this is an authentic camera image (%.1f%% confidence in real).', floor(p * 1e2 + 5e-1))
-  ELSE printf('Verdict is inconclusive (%.1f%% fake probability).', floor(p * 1e2 + 5e-1)) END,
- CASE WHEN toxic = 1 THEN 'Cryptographic provenance is absent (Provenance Void) — metadata was stripped, a common adversarial or social re-upload tactic.' END,
- CASE WHEN floor(share * 1e2 + 5e-1) / 1e2 >= 3e-1 THEN printf('Artifact signature is most consistent with %s (%.1f%%).', family, floor(share * 1e2 + 5e-1)) END,
- CASE WHEN agreement < 5e-1 THEN 'Ensemble members disagree substantially, so the hard verdict is downgraded.' ELSE 'Ensemble agreement is high; strongest members: ' || CASE WHEN y = 1 THEN 'forest 90%, svm 40%' ELSE 'svm 40%, forest 10%' END || '.' END,
- printf('Strongest single signal is spectral_slope (%.2f), %s.', floor(abs(p - 5e-1) * 1e1 + 5e-1), CASE WHEN p > 5e-1 AND floor(abs(p - 5e-1) * 1e1 + 5e-1) > 0 THEN 'pushing toward fake' ELSE 'pushing toward real' END)) AS narrative FROM q)"""
+told AS (SELECT id, concat_ws(' ', CASE WHEN verdict_state = 'ai' THEN printf('{SAID["ai"]}', {WHOLE.format("p")}) WHEN verdict_state = 'authentic' THEN printf('{SAID["authentic"]}', {WHOLE.format("p")})
+  ELSE printf('{SAID["uncertain"]}', {WHOLE.format("p")}) END,
+ CASE WHEN toxic = 1 THEN '{SAID["absent"]}' WHEN id % 3 = 0 THEN '{SAID["iptc"]}' END,
+ CASE WHEN id % 5 = 0 THEN 'Generator attribution: flux 70.0%, sdxl 20.0%.' WHEN {WHOLE.format("share")} / 1e2 >= 3e-1 THEN printf('{SAID["family"]}', {LABELS_SQL}, {WHOLE.format("share")}) END,
+ CASE WHEN agreement < 5e-1 THEN '{SAID["disagree"]}' ELSE printf('{SAID["members"]}', CASE WHEN y = 1 THEN 'forest 90%, svm 40%' ELSE 'svm 40%, forest 10%' END) END,
+ CASE WHEN id % 7 = 0 THEN printf('{SAID["flag"]}', 'odd shadows', 75e-2) END,
+ printf('{SAID["signal"]}', 'spectral_slope', floor(abs(p - 5e-1) * 1e1 + 5e-1), CASE WHEN p > 5e-1 AND floor(abs(p - 5e-1) * 1e1 + 5e-1) > 0 THEN '{N.TOWARD[0]}' ELSE '{N.TOWARD[1]}' END)) AS narrative FROM q)"""
 
 
 @reg(f"WITH {TOLD_SQL} SELECT id, narrative, (len(string_split(narrative, '. ')) - 1 + CASE WHEN ends_with(narrative, '.') THEN 1 ELSE 0 END)::INT AS sentences FROM told")
@@ -72,7 +88,9 @@ def narrative(spark: SparkSession, d: str) -> DataFrame:
     pull = F.floor(F.abs(F.col("p") - lit(0.5)) * lit(10.0) + lit(0.5)) * F.when(F.col("p") > 0.5, lit(1.0)).otherwise(lit(-1.0))
     text = N.narrative(
         F.col("verdict_state"), whole(F.col("p")), F.col("suspicious"), F.col("top.family"), whole(F.col("top.probability")), F.col("agreement"),
-        F.create_map(F.lit("forest"), strong, F.lit("svm"), lit(0.4)), F.lit("spectral_slope"), pull,
+        F.create_map(F.lit("forest"), strong, F.lit("svm"), lit(0.4)), F.lit("spectral_slope"), pull, F.when(F.col("id") % 3 == 0, N.SENTENCES["iptc"]).otherwise(N.SENTENCES["none"]),
+        F.when(F.col("id") % 5 == 0, F.create_map(F.lit("sdxl"), lit(0.2), F.lit("flux"), lit(0.7), F.lit("gan"), lit(0.1))),
+        F.array(F.struct(F.lit("Odd Shadows").alias("label"), F.when(F.col("id") % 7 == 0, lit(0.75)).otherwise(lit(0.25)).alias("score"))),
     )
     return v.select("id", text.alias("narrative")).withColumn("sentences", N.sentence_count(F.col("narrative")))
 
@@ -122,9 +140,126 @@ def arbiter_trigger(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@reg(f"WITH u AS (SELECT vec_id, unnest(embedding[1:9]) AS e, unnest(range(9)) AS i FROM embeddings) SELECT vec_id, (i // 3)::INT AS level, {r6('sum(e::DOUBLE * e::DOUBLE)')} AS energy, {r6('avg(e::DOUBLE)')} AS mean FROM u GROUP BY ALL")
+BAND_SQL = """a AS (SELECT vec_id, [abs(x)::DOUBLE for x in embedding[1:9]] AS e, [abs(x)::DOUBLE / (1 + abs(x)::DOUBLE) for x in embedding[10:18]] AS h FROM embeddings),
+u AS (SELECT vec_id, unnest(range(9)) AS i, unnest(e) AS energy, unnest(h) AS entropy FROM a),
+bands AS (SELECT vec_id, (i // 3)::INT AS level, ['LH', 'HL', 'HH'][i % 3 + 1] AS band, energy, entropy FROM u)"""
+
+
+def band_rows(spark: SparkSession, d: str) -> DataFrame:
+    size = lambda x: F.abs(x.cast("double"))
+    rows = table(spark, d, "embeddings").select(
+        "vec_id", F.transform(F.slice("embedding", 1, 9), size).alias("energies"), F.transform(F.slice("embedding", 10, 9), lambda x: size(x) / (size(x) + 1)).alias("entropies")
+    )
+    return N.bands(rows, "vec_id", "energies", "entropies")
+
+
+@reg(f"WITH {BAND_SQL} SELECT vec_id, level, band, {r6('energy')} AS energy, {r6('entropy')} AS entropy FROM bands")
+def wavelet_bands(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(band_rows(spark, d), "energy", "entropy")
+
+
+@reg(f"""WITH {BAND_SQL} SELECT vec_id, level, {r6('sum(energy)')} AS energy, {r6('avg(entropy)')} AS entropy, {r6('greatest(0e0, least(1e0, avg(1 - entropy)))')} AS anomaly, level = 0 AS selected
+FROM bands GROUP BY vec_id, level""")
 def wavelet_levels(spark: SparkSession, d: str) -> DataFrame:
-    """A flat array of bands as levels of three."""
-    long = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 9)).alias("i", "e"))
-    e = F.col("e").cast("double")
-    return long.groupBy("vec_id", F.floor(F.col("i") / 3).cast("int").alias("level")).agg(round6(F.sum(e * e)).alias("energy"), round6(F.avg(e)).alias("mean"))
+    """Flat arrays of bands as levels of three."""
+    return rounded(N.levels(band_rows(spark, d), "vec_id"), "energy", "entropy", "anomaly")
+
+
+@reg(f"""WITH u AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS bin, unnest(embedding)::DOUBLE AS magnitude, len(embedding) AS n FROM embeddings)
+SELECT vec_id, bin, floor(bin / (n - 1) * 22050 + 5e-1)::BIGINT AS hz, {r6('magnitude')} AS magnitude, {r6('magnitude * magnitude')} AS energy FROM u""")
+def spectrum_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("profile"))
+    return rounded(N.spectrum_points(rows, "vec_id", "profile"), "magnitude", "energy")
+
+
+SERIES_SQL = """u AS (SELECT vec_id, 'radial' AS kind, unnest(range(24))::INT AS place, unnest(embedding[1:24])::DOUBLE AS value FROM embeddings
+UNION ALL SELECT vec_id, 'azimuthal', unnest(range(18))::INT, unnest(embedding[25:42])::DOUBLE FROM embeddings)"""
+
+
+def profiles(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda start, n: F.transform(F.slice("embedding", start, n), lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", part(1, 24).alias("radial"), part(25, 18).alias("azimuthal"))
+
+
+@reg(f"WITH {SERIES_SQL} SELECT vec_id, kind, place, {r6('value')} AS value, {r6('avg(value) OVER (PARTITION BY vec_id)')} AS mean_magnitude, {r6('avg(value * value) OVER (PARTITION BY vec_id)')} AS mean_energy FROM u")
+def explorer_series(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(N.explorer_series(profiles(spark, d), "vec_id", "radial", "azimuthal"), "value", "mean_magnitude", "mean_energy")
+
+
+@reg(f"WITH {SERIES_SQL} SELECT vec_id, kind, place, {r6('value')} AS value FROM u WHERE kind = 'radial' AND place = 21")
+def explorer_default(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(N.default_point(profiles(spark, d), "vec_id", "radial", "azimuthal"), "value")
+
+
+@reg(f"""WITH {SCORED_SQL}, {SOFT_SQL}, u AS (SELECT id, unnest(['real','diffusion','gan','other']) AS family, unnest(s) AS probability FROM s)
+SELECT id, family, {r6('probability')} AS probability, row_number() OVER (PARTITION BY id ORDER BY {r6('probability')} DESC, family)::INT AS place,
+CASE family {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.DISPLAY_LABELS.items())} END AS name FROM u""")
+def family_list(spark: SparkSession, d: str) -> DataFrame:
+    shares = V.attribution(F.col("p"))
+    rows = scored(spark, d).select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("family"), round6(shares[i]).alias("probability")) for i, f in enumerate(V.FAMILIES)])))
+    return N.family_list(rows, "id")
+
+
+@reg(f"WITH {CARD_SQL}, c2 AS (SELECT id, card, {r6('score')} AS score FROM k) SELECT id, card, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, card)::INT AS place FROM c2")
+def parameter_list(spark: SparkSession, d: str) -> DataFrame:
+    return N.sorted_list(rounded(card_scores(spark, d), "score"), "id", "score", "card")
+
+
+@reg(f"""WITH {CARD_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, card) AS dn, row_number() OVER (PARTITION BY id ORDER BY score, card) AS up FROM k),
+t AS (SELECT id, string_agg(card, ', ' ORDER BY dn) FILTER (dn <= 3) AS strongest, string_agg(card, ', ' ORDER BY up) FILTER (up <= 2) AS weakest FROM q GROUP BY id)
+SELECT t.id, printf('- The detector reports %s (%.1f%%) for %s content.', CASE WHEN c >= 85 THEN 'high confidence' WHEN c >= 65 THEN 'moderate confidence' ELSE 'low confidence' END, c, CASE WHEN p >= 5e-1 THEN 'AI-generated' ELSE 'authentic' END)
+  || chr(10) || printf('- The strongest signals are %s, which align with %s.', strongest, 'GAN') || chr(10)
+  || printf('- Lower-impact signals (%s) suggest reviewing source quality (compression/resizing) before final action.', weakest) AS insight
+FROM t JOIN (SELECT id, p, floor(p * 1e2 + 5e-1) AS c FROM scored) s ON t.id = s.id""")
+def local_insight(spark: SparkSession, d: str) -> DataFrame:
+    top = N.top_signals(card_scores(spark, d), "id").join(scored(spark, d).select("id", "p"), "id")
+    whole = F.floor(F.col("p") * lit(100.0) + lit(0.5)).cast("double")
+    return top.select("id", N.insight(whole, F.col("p") >= 0.5, F.lit("GAN"), F.col("strongest"), F.col("weakest")).alias("insight"))
+
+
+PREDICTION_SQL = f"""{SCORED_SQL}, {SOFT_SQL}, r AS (SELECT scored.*, p >= 5e-1 AS is_ai, ['real','diffusion','gan','other'][list_position(s.s, list_max(s.s))] AS top FROM scored JOIN s ON scored.id = s.id),
+p AS (SELECT id, CASE WHEN NOT is_ai THEN 'Real' WHEN top = 'diffusion' THEN 'Diffusion' WHEN top = 'gan' THEN 'GAN' ELSE 'Unknown' END AS family,
+  CASE WHEN NOT is_ai THEN 'Real Camera' WHEN top = 'diffusion' THEN 'Diffusion Model' WHEN top = 'gan' THEN 'GAN' ELSE 'Unknown Generator' END AS model, p AS confidence, p * p AS cdcs,
+  least(1e0, p * 2) AS checkerboard, CASE WHEN 1 - p * 15e-1 > 0 THEN 1 - p * p ELSE 5e-1 END AS calibration FROM r)"""
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p")
+    rows = scored(spark, d).withColumn("top", V.top_family(p))
+    made = N.prediction(p >= 0.5, F.col("top.family"), p * 100, p * p, p * 20, p * 1.5)
+    return rows.select("id", made.alias("made")).select("id", "made.*")
+
+
+@reg(f"WITH {PREDICTION_SQL} SELECT id, family, model, {r6('confidence')} AS confidence, {r6('cdcs')} AS cdcs, {r6('checkerboard')} AS checkerboard, {r6('calibration')} AS calibration FROM p")
+def stage_prediction(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(predictions(spark, d), "confidence", "cdcs", "checkerboard", "calibration")
+
+
+@reg(f"""WITH {PREDICTION_SQL} SELECT id, family, CASE family WHEN 'Diffusion' THEN 4 WHEN 'GAN' THEN 3 ELSE 0 END AS n_models,
+CASE family WHEN 'Diffusion' THEN 'Stable Diffusion XL' WHEN 'GAN' THEN 'StyleGAN3' ELSE '' END AS selected, 85 AS confidence_default FROM p""")
+def label_form(spark: SparkSession, d: str) -> DataFrame:
+    rows = N.label_form(predictions(spark, d).select("id", "family"), N.model_choices(spark))
+    return rows.select("id", "family", F.size("models").alias("n_models"), "selected", "confidence_default")
+
+
+@reg(f"WITH {SCORED_SQL} SELECT '2.0.0' AS version, 'full' AS training_mode, {r6('avg((y = (p >= 5e-1)::INT)::INT)')} AS accuracy, count(*) AS n_training_samples FROM scored")
+def model_info(spark: SparkSession, d: str) -> DataFrame:
+    hit = (F.col("y") == (F.col("p") >= 0.5).cast("int")).cast("int")
+    report = scored(spark, d).agg(round6(F.avg(hit)).alias("accuracy"), F.count("*").alias("n_training_samples"), F.lit(None).cast("string").alias("training_mode"))
+    return N.model_info(report, {"version": "2.0.0", "training_mode": "full", "accuracy": 0.0, "n_training_samples": 0})
+
+
+@reg("SELECT (i - 1)::INT AS place, i / 8e0 AS x, (i / 8e0) * (i / 8e0) AS y FROM (SELECT unnest(range(1, 9)) AS i)")
+def curve_points(spark: SparkSession, d: str) -> DataFrame:
+    xs = [i / 8 for i in range(1, 9)]
+    return N.curve_points(spark.createDataFrame([(xs, [x * x for x in xs])], "fpr array<double>, tpr array<double>"), "fpr", "tpr")
+
+
+@reg("""WITH c AS (SELECT DISTINCT label, ['software-' || label, 'camera-x', 'other'] AS patterns, CASE label % 4 WHEN 0 THEN 'Diffusion' WHEN 1 THEN 'GAN' WHEN 2 THEN 'Transformer' ELSE 'Real' END AS family FROM embeddings)
+SELECT label, family, ['software-' || label] AS software, ['camera-x'] AS camera, []::VARCHAR[] AS processing,
+CASE family WHEN 'Diffusion' THEN ['diffusion', 'stable', 'latent'] WHEN 'GAN' THEN ['gan', 'stylegan', 'generator'] WHEN 'Transformer' THEN ['transformer', 'dalle', 'attention'] ELSE [] END AS style FROM c""")
+def provenance_profile(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("label") % 4
+    family = F.when(n == 0, "Diffusion").when(n == 1, "GAN").when(n == 2, "Transformer").otherwise("Real")
+    rows = table(spark, d, "embeddings").select("label").distinct().select("label", F.array(F.concat(F.lit("software-"), "label"), F.lit("camera-x"), F.lit("other")).alias("patterns"), family.alias("family"))
+    return N.provenance_profile(rows, "patterns", "family").drop("patterns")

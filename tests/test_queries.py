@@ -19,3 +19,16 @@ def test_same_as_sql(spark, sf, name):
 def test_runs(spark, sf, name):
     df = plans.queries()[name](spark, sf)
     assert df.columns and df.count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["part", "key", "metric", "value"] and df.count() > 10
+
+
+def test_registered_names():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
