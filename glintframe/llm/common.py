@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Paths of scratch tables; a block of ``collected()`` has a list of its own.
 _made: list[list[str]] = [[]]
 
@@ -78,10 +79,24 @@ def _delete_all() -> None:
         delete(spark, *[p for own in _made for p in own])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows at a time in readers' and Python's batches: whole texts, some of them very long, then take little memory."""
+    before = {key: spark.conf.get(key) for key in SMALL_BATCHES}
+    for key, value in SMALL_BATCHES.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table written in the shared folder and reread: lineage ends here, lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found

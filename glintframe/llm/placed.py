@@ -14,9 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch
+from .common import fresh, scratch, small_batches
 
 CHUNK_BITS = 15
+#: Files that a task keeps open: it writes chunk after chunk, each to its bucket's file.
+OPEN_FILES = "4"
+#: Bytes of a row group, which a reader holds as a whole.
+ROW_GROUP = 16 << 20
 
 
 @dataclass
@@ -62,7 +66,14 @@ def place(docs: DataFrame, name: str, row: str = "row", chunk: str = "chunk", pa
     rows = docs.select("*", number.alias(row), F.shiftright(number, CHUNK_BITS).alias(chunk))
     known = f"glintframe_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.write.bucketBy(buckets, chunk).option("path", path).option("compression", "snappy").saveAsTable(known)
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, OPEN_FILES)  # else each task would sort its texts by bucket
+    try:
+        with small_batches(spark):
+            rows.write.bucketBy(buckets, chunk).options(**{"path": path, "compression": "zstd", "parquet.block.size": ROW_GROUP}).saveAsTable(known)
+    finally:
+        spark.conf.set(setting, before)
     df = spark.table(known)
     spark.sql(f"DROP TABLE {known}")  # the catalog forgets it; files and ``df`` stay
     return Placed(df, row, chunk, path, columns)

@@ -47,7 +47,7 @@ BLOCK = 1 << 12
 DISTANCE = 410
 #: Texts of fewer shingles have fingerprints too coarse for that (4 of 5 shingles: 384 in the mean, 768 at times); all their pairs are compared.
 SMALL = 32
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Texts with a shingle in common that one task of the prefix join takes.
 SALT = 2048
 _odd = np.uint64(0x9E3779B97F4A7C15)
