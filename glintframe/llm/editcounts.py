@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoding
+from .tokens import encoder
 
 SEGMENT = 512
 _boundary = re.compile(r"[ \n](?=[^\s])").search
@@ -111,7 +111,7 @@ def edit(text: str, tree: CountTree, start: int, length: int, insert: str, count
 
 
 def _counter(tokenizer: str):
-    encode = encoding(tokenizer).encode_ordinary
+    encode = encoder(tokenizer)
     return lambda text: len(encode(text))
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 BUCKET_BITS = 16
 BLOCK = 1 << 20
 UNDETERMINED = "und"
@@ -143,4 +145,5 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [f.name for f in schema.fields])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias("language__text")).mapInArrow(run, schema)
+    (text_as,) = fresh(docs, "language__text")
+    return docs.select(*kept, F.col(text_col).cast("string").alias(text_as)).mapInArrow(run, schema)

@@ -7,11 +7,12 @@ prefix of its order that fills the rest of its budget.
 
 No source is ever sorted in one task.  Sizes are summed by (source, key range) first; the
 prefix sums of these ranges show in which range the budget ends, and only the documents of
-that range (about one in ``ranges``) are sorted.
+that range (about one in ``ranges``) are sorted.  Ranges follow the distribution of the keys: that of
+exponentials at the weights that there are, counted by powers of two.
 
 Defined cases: a null text has size 0; a null source is a source, the last one; a null id
-hashes as the empty string; a null, negative or NaN quality counts as 1; quality 0 is
-taken last; rows with equal key and id are taken or left together; an empty table gives an
+hashes as the empty string; a null, negative or NaN quality counts as 1; documents of quality 0 come
+last, in random order; rows with equal key and id are taken or left together; an empty table gives an
 empty result.  Columns of the input named like those added are replaced.
 """
 
@@ -27,6 +28,8 @@ from .common import fresh, written
 from .placed import place
 
 HASH_BITS = 52
+#: Least weight above 0, and a number that no key reaches at it: -ln(2 ** -52) is below 37.
+LEAST_WEIGHT, BEYOND = 2.0**-20, 2.0**26
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -36,12 +39,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
+def weight(quality: Column) -> Column:
+    return F.when(quality.isNull() | F.isnan(quality) | (quality < 0), F.lit(1.0)).otherwise(quality.cast("double"))
+
+
 def exponential_key(doc_id: Column, quality: Column, seed: str) -> Column:
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
     whole = F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
     u = (whole + 1).cast("double") / F.lit(float(2**HASH_BITS))
-    q = F.when(quality.isNull() | F.isnan(quality) | (quality < 0), F.lit(1.0)).otherwise(quality.cast("double"))
-    return F.when(q == 0, F.lit(float("inf"))).otherwise(-F.log(u) / q)
+    q = weight(quality)
+    # Weights below the least one count as it, and keys of weight 0 begin beyond the greatest of the others.
+    return F.when(q == 0, F.lit(BEYOND) - F.log(u)).otherwise(-F.log(u) / F.greatest(q, F.lit(LEAST_WEIGHT)))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -67,9 +75,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(slim: DataFrame, weights: tuple[float, ...], share: float, most: float, ranges: int) -> DataFrame:
-    """Where each source's order is cut: one row per source, from slim rows (id, source, size, key)."""
-    at = _range(F.col("key"), ranges)
+def plan_mix(slim: DataFrame, at: Column, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """Where each source's order is cut: one row per source, from slim rows (id, source, size, key) in ranges ``at``."""
     ranged = slim.groupBy("source", at.alias("span")).agg(F.sum("size").alias("words"))
     ranged = written(ranged, "mix-ranges")
     goal = targets(ranged.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -97,9 +104,19 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return written(plan.select("source", "source_size", "target", "epochs", "edge", "last"), "mix-plan")
 
 
-def _range(key: Column, ranges: int) -> Column:
-    """Key ranges that hold about equally many documents when weights are near 1."""
-    return F.least(F.floor((F.lit(1.0) - F.exp(-key)) * ranges), F.lit(ranges - 1)).cast("int")
+def key_ranges(slim: DataFrame, ranges: int) -> Callable[[Column], Column]:
+    """The range of a key, such that ranges hold about equally many rows; keys of weight 0 have ranges of their own."""
+    exponent = F.floor(F.log2(F.greatest(F.least("quality", F.lit(2.0**40)), F.lit(LEAST_WEIGHT)))).cast("int")
+    counts = slim.where("quality > 0").groupBy(exponent.alias("e")).agg(F.count("*").alias("n")).collect()  # 61 rows at most
+    total = sum(r["n"] for r in counts)
+    last = F.lit(ranges - 1)
+
+    def at(key: Column) -> Column:
+        passed = sum((F.lit(r["n"] / total) * F.exp(-key * float(1.5 * 2.0 ** r["e"])) for r in sorted(counts)), F.lit(0.0))
+        beyond = ranges + F.least(F.floor((F.lit(1.0) - F.exp(F.lit(BEYOND) - key)) * ranges), last)
+        return F.when(key >= BEYOND, beyond).otherwise(F.least(F.floor((F.lit(1.0) - passed) * ranges), last)).cast("int")
+
+    return at
 
 
 def mix(
@@ -125,16 +142,17 @@ def mix(
     size = word_count(F.col("text")) if size is None else size
     quality = F.lit(1.0) if quality is None else quality
     key = exponential_key(F.col(id_col), quality, seed)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), weight(quality).alias("quality"))
     slim = written(slim, "mix-slim")
-    plan = plan_mix(slim, weights, share, most, ranges)
+    at = key_ranges(slim, ranges)
+    plan = plan_mix(slim, at(F.col("key")), weights, share, most)
     kept = [c for c in docs.columns if c.lower() not in ADDED]
     sized_as, key_as, *named = fresh(docs, "mix__size", "mix__key", *[f"mix__{c}_" for c in plan.columns])
     plan = plan.select(*[F.col(c).alias(n) for c, n in zip(plan.columns, named)])
     plan_source, source_size, target, epochs, edge, last = map(F.col, named)
     sized = docs.select("*", size.alias(sized_as), key.alias(key_as))
     both = sized.join(plan, F.col(source_col).eqNullSafe(plan_source), "left")
-    span, here = _range(F.col(key_as), ranges), F.struct(F.col(key_as).alias("key"), F.col(id_col).alias("id"))
+    span, here = at(F.col(key_as)), F.struct(F.col(key_as).alias("key"), F.col(id_col).alias("id"))
     times = epochs + F.coalesce(((span < edge) | ((span == edge) & (here <= last))).cast("long"), F.lit(0))
     return both.select(
         *kept,

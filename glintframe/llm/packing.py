@@ -160,21 +160,22 @@ def numbered(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (any rows with a ``length`` of 1 to capacity) with sequence_id and offset."""
-    kept = cut.columns
+    """``cut`` (any rows with a ``length`` of 1 to capacity) with sequence_id and offset; columns of these names are replaced."""
     spark = cut.sparkSession
-    cut = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
+    kept = [c for c in cut.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # names of the input can't clash inside
+    cut = written(cut.select(rows, "length", F.monotonically_increasing_id().alias("uid")), "pack-pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = plan(counts, capacity)
     names = "run__length long, first long, n long, per_bin long, bin long, run__offset long"
     table = F.broadcast(spark.createDataFrame(runs, names))
     if not counts:
-        return cut.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return cut.select("row.*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     inside = (F.col("length") == F.col("run__length")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("n"))
     placed = numbered(cut, counts).join(table, inside)
     nth = F.col("number") - F.col("first")
     return placed.select(
-        *kept,
+        "row.*",
         (F.col("bin") + F.floor(nth / F.col("per_bin"))).cast("long").alias("sequence_id"),
         (F.col("run__offset") + (nth % F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
     )

@@ -19,7 +19,7 @@ card   the digits before the check digit; check digit by Luhn
 
 Defined cases: a null text stays null with nothing found; an empty text stays empty; a text of any
 length is treated whole; repeated rows are treated alike; an empty table gives an empty result;
-columns of the input that clash with those added are replaced.
+a column ``pii`` of the input is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -27,17 +27,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS, WALKS = 8, 64
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![A-Za-z])(?i:token|api[_-]?key|secret|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: The whole length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI NL", 19: "MK SI", 20: "AT BA EE LT LU", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN",
+    25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO HU LB PL", 29: "BR PS QA", 31: "MT",
+}
+
+
+def _iban_pattern() -> str:
+    """Countries at their own length, in fours or unbroken; others at any."""
+    forms, known = [], "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
+    for n, names in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        forms.append(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    forms.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+IBAN = _iban_pattern()
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/][0-9]{1,2}[/](?:19|20)[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.](?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
-CARD = r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9-])"
+PHONE = r"(?<![0-9A-Za-z+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])|(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ ]?|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
+CARD = r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "date": DATE, "ssn": SSN, "ip": IP, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every match has a part of: a text without it has none.
+SIGN = r"[0-9@]|(?i:token|api[_-]?key|secret|password)"
 #: Days of 1900-2099 are 17 x 4297.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 
@@ -246,11 +267,13 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str) -> DataFr
     key: the secret under which values are permuted; with it they can be turned back.
     """
     text = F.col(text_col)
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    staged = docs.drop("pii").withColumn("pii__found", F.transform(matches, lambda m: _pseudonym(m, key)))
+    kept = docs.drop("pii")
+    (found,) = fresh(kept, "pii__found")
+    matches = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    staged = kept.withColumn(found, F.transform(matches, lambda m: _pseudonym(m, key)))
     between = F.split(text, ANY, -1)
-    joined = F.zip_with(between, "pii__found", lambda gap, s: F.concat(gap, F.coalesce(s["text"], F.lit(""))))
-    staged = staged.withColumn(text_col, F.when(F.size("pii__found") > 0, F.array_join(joined, "")).otherwise(text))
-    kinds = F.filter(F.transform("pii__found", lambda s: s["kind"]), lambda k: k.isNotNull())
+    joined = F.zip_with(between, found, lambda gap, s: F.concat(gap, F.coalesce(s["text"], F.lit(""))))
+    staged = staged.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text))
+    kinds = F.filter(F.transform(found, lambda s: s["kind"]), lambda k: k.isNotNull())
     count = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    return staged.withColumn("pii", F.coalesce(count, F.create_map().cast("map<string,int>"))).drop("pii__found")
+    return staged.withColumn("pii", F.coalesce(count, F.create_map().cast("map<string,int>"))).drop(found)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, fresh
 
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 ALLOW, BLOCK = "allow", "block"
@@ -138,4 +138,5 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") ->
             columns = [pa.array([x[i] for x in found], pa.string()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [f.name for f in schema.fields])
 
-    return pages.select(*kept, F.col(url_col).cast("string").alias("url__text")).mapInArrow(run, schema)
+    (url_as,) = fresh(pages, "url__text")
+    return pages.select(*kept, F.col(url_col).cast("string").alias(url_as)).mapInArrow(run, schema)

@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,9 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         held += chunk
         at = 0
         while (end := held.find(b"\r\n\r\n", at)) >= 0:
-            header = dict(line.split(": ", 1) for line in held[at:end].decode().split("\r\n")[1:])
-            start, n = end + 4, int(header["Content-Length"])
+            lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            header = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+            start, n = end + 4, int(header["content-length"])
             if len(held) < start + n + 4:
                 break
             yield header, bytes(held[start : start + n]), bytes(held[at : start + n + 4])
@@ -143,7 +145,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 parts, index, at = [], [], 0
                 for header, _, whole in records(inflated(content.as_py())):
                     parts.append(member(whole))
-                    index.append({"record_id": header["WARC-Record-ID"], "record_type": header["WARC-Type"], "offset": at, "length": len(parts[-1])})
+                    index.append({"record_id": header.get("warc-record-id"), "record_type": header.get("warc-type"), "offset": at, "length": len(parts[-1])})
                     at += len(parts[-1])
                 kind = pa.list_(pa.struct([("record_id", pa.string()), ("record_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([b"".join(parts)], pa.binary()), pa.array([index], kind)], ["archive", "content", "index"])
@@ -164,11 +166,13 @@ def read_members(archives: DataFrame) -> DataFrame:
                 for entry in index.as_py():
                     part = bytes(view[entry["offset"] : entry["offset"] + entry["length"]])
                     ((header, payload, _),) = records(inflated(part))
-                    digest = header["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if header["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{name}: payload and digest of {header['WARC-Record-ID']} differ")
-                    refers = header.get("WARC-Refers-To")
-                    rows.append((name.as_py(), entry["offset"], _page(header["WARC-Record-ID"]), int(header["X-Payload-Length"]), digest, header["WARC-Type"], refers and _page(refers), payload))
+                    own, said = hashlib.sha256(payload).hexdigest(), header.get("warc-payload-digest", "")
+                    kind, record_id, refers = header.get("warc-type"), header.get("warc-record-id"), header.get("warc-refers-to")
+                    ours = said.startswith("sha256:")  # other archives name other digests, of other parts of a record
+                    if ours and kind != "revisit" and said != f"sha256:{own}":
+                        raise ValueError(f"{name}: payload and digest of {record_id} differ")
+                    digest, size = (said[7:] if ours else own), int(header.get("x-payload-length", len(payload)))
+                    rows.append((name.as_py(), entry["offset"], _page(record_id), size, digest, kind, _page(refers), payload))
                     if len(payload) > READ or len(rows) >= 256:
                         yield _batch(rows, kinds, names)
                         rows = []
@@ -182,7 +186,10 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names)
 
 
-def _page(urn: str) -> str | None:
+def _page(urn: str | None) -> str | None:
+    """The page's id in an identifier of our own making; others stay as they are."""
+    if urn is None or not urn.startswith("<urn:page:"):
+        return urn
     found = json.loads(urn.removeprefix("<urn:page:").removesuffix(">"))
     return None if found is None else str(found)
 
@@ -215,14 +222,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes rows of normalised archives as files ``<archive>.warc.gz`` and ``<archive>.idx`` in a folder that all executors mount; one row (archive, bytes) each."""
+    """Writes rows of normalised archives as files ``<archive>.warc.gz`` and ``<archive>.idx``; one row (archive, bytes) each.
+
+    folder: a URI of a store that every executor reaches (``pyarrow.fs``).  A file gets its name when it is whole, so a task that runs again writes the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             for name, content, entries in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                Path(folder).mkdir(parents=True, exist_ok=True)
-                Path(folder, f"{name}.warc.gz").write_bytes(content)
-                Path(folder, f"{name}.idx").write_text("".join(json.dumps(e) + "\n" for e in entries))
+                for ending, data in (("warc.gz", content), ("idx", "".join(json.dumps(e) + "\n" for e in entries).encode())):
+                    at = f"{root}/.{name}-{uuid.uuid4().hex}"
+                    with store.open_output_stream(at) as out:
+                        out.write(data)
+                    store.move(at, f"{root}/{name}.{ending}")
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)])], ["archive", "bytes"])
 
     return archives.select("archive", "content", "index").mapInArrow(run, "archive string, bytes long")

@@ -66,7 +66,6 @@ def test_simhash_components(spark, sf, texts):
 
 def test_packing_whole_and_gapless(spark, sf, texts):
     tokenizer = Tokenizer.from_file(Q.tokenizer())
-    tokenizer.encode_special_tokens = True
     rows = Q.op10_packing(spark, sf).collect()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -101,7 +100,6 @@ def test_flac_payloads(spark, sf, texts):
 
 def test_token_counts_after_edits(spark, sf, texts):
     tokenizer = Tokenizer.from_file(Q.tokenizer())
-    tokenizer.encode_special_tokens = True
     for r in Q.op4_token_counts(spark, sf).collect():
         old = new = texts[r.doc_id] or ""
         for at, n, insert in ((len(old) // 2, 12, "revised, "), (0, 0, "Draft 2: "), (len(old) + 64, 0, " End.")):
