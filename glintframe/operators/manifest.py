@@ -170,3 +170,15 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, key: str, order: str) -> DataF
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` by hash within each label: about equal sizes, no sort."""
     return df.withColumn("fold", F.pmod(F.xxhash64(label, key, F.lit(seed)), F.lit(k)).cast("int"))
+
+
+def path_stem(path: Column) -> Column:
+    """The file's name without its last ending."""
+    name = F.element_at(F.split(normal_path(path), "/"), -1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def path_parent(path: Column) -> Column:
+    """The name of the folder that the file lies in, empty without one."""
+    parts = F.split(normal_path(path), "/")
+    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")

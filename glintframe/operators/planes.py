@@ -8,6 +8,7 @@ expressions.  Spark runs all families of a plane in one pass over its rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from glintframe.functions import signal as S
 from glintframe.functions.numeric import clip, finite, fold, let, lit, ratio, total
 
 RADIAL, SECTORS, BLOCK, LEVELS, SIDE = 24, 18, 8, 3, 256
+TILES = 4
 GLCM_LEVELS, PAIRS, BOX_SCALES = 64, 600, (2, 4, 8, 16, 32, 64)
 
 
@@ -269,6 +271,34 @@ def _print(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+@batches("bits array<int>")
+def _perceptual(planes: np.ndarray) -> dict[str, np.ndarray]:
+    small = np.round(S.resized(np.round(planes * 255), 32, 32))
+    basis = S.cosines(32)
+    low = (basis @ small @ basis.T)[:, :8, :8].reshape(len(planes), -1)
+    return {"bits": (low > np.median(low, axis=1, keepdims=True)).astype(np.int32)}
+
+
+TILE_BINS = 12
+
+
+@batches("profiles array<array<double>>, centres array<double>, mean_log array<double>, mean_power array<double>")
+def _tile_spectra(planes: np.ndarray) -> dict[str, np.ndarray]:
+    n, h, w = planes.shape
+    side = max(2, min(TILES, min(h, w) // 16))
+    th, tw = h // side, w // side
+    cut = planes[:, : th * side, : tw * side].reshape(n, side, th, side, tw).swapaxes(2, 3).reshape(-1, th, tw)
+    size = np.abs(np.fft.rfft2(cut - cut.mean(axis=(1, 2), keepdims=True)))
+    r, bins = S.radius(*size.shape[1:]), S.radial_bins(*size.shape[1:], TILE_BINS)
+    power = size[:, r > 2.0] ** 2
+    many = power.shape[1] >= 4
+    return {
+        "profiles": [[t.tolist() for t in own] for own in S.binned(size, bins, TILE_BINS).reshape(n, side * side, TILE_BINS)], "centres": np.repeat(S.binned(r[None], bins, TILE_BINS), n, axis=0),
+        "mean_log": (np.log(power + S.EPS).mean(axis=1) if many else np.full(len(size), -np.inf)).reshape(n, -1), "mean_power": (power.mean(axis=1) if many else np.ones(len(size))).reshape(n, -1),
+    }
+
+
+perceptual, tile_spectra = _udf(_perceptual), _udf(_tile_spectra)
 spectra, cosine_blocks, subbands, noise, texture, coupling, sensor_print = map(_udf, (_spectra, _cosines, _subbands, _noise, _texture, _coupling, _print))
 colour = _udf(_colour, 3)
 
@@ -465,6 +495,22 @@ def extract(df: DataFrame) -> DataFrame:
     return parts.select(*kept, features.alias("features"))
 
 
+def perceptual_hash(plane: Column) -> Column:
+    """64 bits, the first one highest: which low frequencies of the plane at 32 x 32 are above their median."""
+    return F.aggregate(perceptual(plane)["bits"], F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+
+
+def tile_slopes(df: DataFrame, key: str, plane: str = "y") -> DataFrame:
+    """(key, tile, slope, flatness) of the tiles of each plane; 2 and 0 where a tile has too few radial bins for a fit."""
+    parts = df.select(key, tile_spectra(plane).alias("t"))
+    long = parts.select(key, F.col("t.centres").alias("r"), F.posexplode(F.arrays_zip(F.col("t.profiles").alias("p"), F.col("t.mean_log").alias("a"), F.col("t.mean_power").alias("b"))).alias("tile", "z"))
+    points = F.filter(F.arrays_zip(F.col("r").alias("x"), F.col("z.p").alias("y")), lambda q: q["x"] > 2.0)
+    logs = F.transform(points, lambda q: F.struct(F.log(q["x"]).alias("x"), F.log(q["y"] + S.EPS).alias("y")))
+    few = F.size(F.filter("r", lambda x: x > 2.0)) < 4
+    slope = F.when(few, lit(2.0)).otherwise(let(logs, line)["slope"])
+    return long.select(key, "tile", slope.alias("slope"), F.when(few, lit(0.0)).otherwise(F.exp("z.a") / (F.col("z.b") + S.EPS)).alias("flatness"))
+
+
 def signature(side: int = SIDE, block: int = BLOCK, wavelet: str = "db4", levels: int = LEVELS, radial: int = RADIAL, sectors: int = SECTORS) -> str:
     """The settings that features depend on, as one text."""
     return ",".join(map(str, (side, block, wavelet, levels, radial, sectors)))
@@ -629,3 +675,47 @@ def variants(images: DataFrame, kind: str, seed_col: str | None = None) -> DataF
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["variant string", "number int"])
     return images.mapInPandas(run, schema)
+
+
+ORIENTATION = 0x0112
+
+
+def _turn(content: bytes | None) -> int:
+    """The orientation (1 to 8) that a file's metadata gives; 1 where it gives none."""
+    content = content or b""
+    base = content.find(b"Exif\0\0") + 6
+    order = {b"II": "<", b"MM": ">"}.get(content[base : base + 2]) if base >= 6 else None
+    if order is None or len(content) < base + 10:
+        return 1
+    entries = content[base + struct.unpack(order + "I", content[base + 4 : base + 8])[0] :]
+    count = struct.unpack(order + "H", entries[:2])[0] if len(entries) >= 2 else 0
+    for at in range(2, min(2 + 12 * count, len(entries) - 11), 12):
+        tag, _, _, value = struct.unpack(order + "HHIH", entries[at : at + 10])
+        if tag == ORIENTATION:
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+@pandas_udf(T.IntegerType())
+def orientation(content: pd.Series) -> pd.Series:
+    return content.map(_turn)
+
+
+def upright(images: DataFrame, turn: str = "orientation") -> DataFrame:
+    """Images turned and mirrored once as their orientation says; afterwards it is 1."""
+    fields = images.schema.fields
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                image, way = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], row["channels"]), row[turn] or 1
+                if way in (2, 5, 7):
+                    image = image[:, ::-1]
+                if way == 4:
+                    image = image[::-1]
+                image = np.rot90(image, {3: 2, 5: 3, 6: 3, 7: 1, 8: 1}.get(way, 0))
+                out.append(row | {"pixels": image.tobytes(), "height": image.shape[0], "width": image.shape[1], turn: 1})
+            yield pd.DataFrame(out, columns=list(frame.columns))
+
+    return images.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))

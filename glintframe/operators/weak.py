@@ -82,3 +82,11 @@ def leaderboard(users: DataFrame, least: int = 10, n: int = 10) -> DataFrame:
 
 def contributors(users: DataFrame, n: int = 10) -> DataFrame:
     return users.orderBy(F.desc("labels"), "user").limit(n)
+
+
+def submit(signals: DataFrame, vector: str, dimension: int) -> DataFrame:
+    """Fused signals with their quality, and success or the error of each: a vector of the wrong length costs its own row alone."""
+    rows = quality(noise(fuse(signals)))
+    error = F.when(F.col(vector).isNull() | (F.size(vector) != dimension), F.format_string("Invalid embedding dimension: expected %d", F.lit(dimension)))
+    done = rows.withColumns({"success": error.isNull(), "error": error})
+    return done.withColumn("quality", F.when(F.col("success"), F.col("quality")))

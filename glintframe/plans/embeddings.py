@@ -174,6 +174,16 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(W.quality(W.noise(W.fuse(signals(spark, d)))).select("id", "quality"), "quality")
 
 
+@reg(f"""WITH {SIGNAL_SQL}, v AS (SELECT n.*, e.vec_id IS NOT NULL AND id % 5 <> 0 AS ok FROM n LEFT JOIN embeddings e ON n.id = e.vec_id)
+SELECT id, ok AS success, CASE WHEN NOT ok THEN 'Invalid embedding dimension: expected 64' END AS error, CASE WHEN ok THEN {r6('''greatest(0e0, least(1e0, 5e-1 + CASE WHEN confidence > 9e-1 THEN 2e-1 ELSE 0e0 END + CASE WHEN uc > 85 THEN 15e-2 ELSE 0e0 END
++ CASE WHEN model = um THEN 2e-1 ELSE 0e0 END + CASE WHEN cdcs > 8e-1 OR cdcs < 2e-1 THEN 15e-2 ELSE 0e0 END - 3e-1 * nc - CASE WHEN fc < 6e-1 THEN 2e-1 ELSE 0e0 END))''')} END AS quality FROM v""")
+def submitted_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Training signals with their vectors; every fifth vector is too short."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding")).alias("vector"))
+    done = W.submit(signals(spark, d).join(v, "id", "left"), "vector", 64)
+    return rounded(done.select("id", "success", "error", "quality"), "quality")
+
+
 EMA_SQL = f"""r AS (SELECT user_id, (event_type = 'purchase')::INT AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) - 1 AS later FROM events),
 a AS (SELECT user_id AS "user", count(*) AS labels, sum(hit)::BIGINT AS hits, sum(1e-1 * pow(9e-1, later) * hit) + 5e-1 * pow(9e-1, count(*)) AS acc FROM r GROUP BY 1)"""
 

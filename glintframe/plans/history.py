@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glintframe.functions.numeric import lit, round6
 from glintframe.operators import history as H
 from glintframe.plans.evaluation import r6
+from glintframe.streaming import jobs
 from glintframe.plans.registry import Registry, rounded
 from glintframe.tables import SCORED_SQL, scored, table
 
@@ -99,11 +100,10 @@ def batch_progress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(H.job_progress(table(spark, d, "conversations"), "conv_id", F.length("text") > 300), "share")
 
 
-@reg("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
+@reg("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS index FROM conversations QUALIFY index < 64")
 def batch_submit(spark: SparkSession, d: str) -> DataFrame:
-    """The first files of a job; what is over its limit is left out, as the service does."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", (-F.col("turn")).alias("newest"))
-    return H.keep_last(c, 3, "newest", ["conv_id"]).drop("newest")
+    """The first 64 files of a job, numbered; what is over its limit is left out, as the service does."""
+    return jobs.submitted(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
 @reg(f"SELECT date_trunc('day', ts)::DATE AS day, event_type, count(*) AS n, {r6('avg(value)')} AS mean_value FROM events GROUP BY ALL")

@@ -142,3 +142,11 @@ def leakage_equal_texts(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "benchmark")
     same = table(spark, d, "documents").select("doc_id", F.col("text").alias("own"))
     return held.join(same, F.col("text") == F.col("own"), "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"))
+
+
+@reg("SELECT doc_id, 'img.' || doc_id AS image_id, lang AS state FROM documents")
+def holdout_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Image and state of each row of a holdout, from its path."""
+    path = F.concat(F.lit("bench\\"), "lang", F.lit("/img."), "doc_id", F.lit(".png"))
+    rows = table(spark, d, "documents").select("doc_id", path.alias("path"), "lang")
+    return rows.select("doc_id", M.path_stem(F.col("path")).alias("image_id"), M.path_parent(F.col("path")).alias("state"))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import lit
+from glintframe.operators import arbiter as A
 from glintframe.operators import models as M
+from glintframe.operators import narrative as N
 from glintframe.operators import planes as P
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
@@ -93,3 +95,27 @@ def image_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(into).withColumnRenamed("label", "y")
     config = M.Config(trees=10, tree_depth=4, boosts=5, boost_depth=3, waves=32, iterations=50)
     return rounded(M.out_of_fold(rows, config, k=2).select("id", "y", "fold", "p"), "p")
+
+
+@reg()
+def perceptual_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return P.preprocess(images(spark), SIDE).select("id", P.perceptual_hash(F.col("gray")).alias("hash"))
+
+
+@reg()
+def tile_saliency(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of each image's tiles, and how far they are from the natural one and from the image's mean."""
+    slopes = P.tile_slopes(P.preprocess(images(spark), SIDE), "id")
+    return N.saliency(slopes, "id").select("id", "tile", "saliency", "inconsistency", "score")
+
+
+@reg()
+def arbitration(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.preprocess(images(spark), SIDE).withColumn("p", (F.col("id") % 10) / lit(10.0))
+    return A.arbitrate(rows).select("id", "p", "flags", "suspicious")
+
+
+@reg()
+def upright_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = images(spark).withColumn("orientation", (F.col("id") % 8 + 1).cast("int"))
+    return P.upright(rows).select("id", "orientation", "height", "width", F.sha2("pixels", 256).alias("sha256"))

@@ -262,3 +262,43 @@ def test_metadata_tags_that_do_not_fit(spark):
     rows = {r.id: r for r in N.provenance(df, "content").collect()}
     assert rows[1].exif == {"datetime": "00000100", "focal_length": "35", "iso_speed": "256"} and rows[1].has_exif and not rows[1].void
     assert rows[2].exif == {} and rows[2].void and rows[2].penalty == 0.1
+
+
+def test_settings_by_type():
+    from glintframe.settings import Settings, load
+
+    said = {"GLINTFRAME_IMAGE_SIZE": "64", "GLINTFRAME_VERBOSE": "Yes", "GLINTFRAME_SUPPORTED_FORMATS": ".a, .b,", "GLINTFRAME_THRESHOLD_FPR_TARGET": "0.1", "OTHER": "x"}
+    found = load(said)
+    assert (found.image_size, found.verbose, found.supported_formats, found.threshold_fpr_target) == (64, True, (".a", ".b"), 0.1) and load({}) == Settings()
+
+
+def test_orientations_as_they_are_defined(spark):
+    image = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    rows = [(way, image.tobytes(), 2, 3, 3, way) for way in range(1, 9)]
+    df = spark.createDataFrame(rows, "id int, pixels binary, height int, width int, channels int, orientation int")
+    mirrored, turn = image[:, ::-1], lambda x, k: np.rot90(x, -k)  # clockwise quarter turns
+    want = {1: image, 2: mirrored, 3: turn(image, 2), 4: image[::-1], 5: turn(mirrored, 1), 6: turn(image, 1), 7: turn(mirrored, 3), 8: turn(image, 3)}
+    for r in P.upright(df).collect():
+        assert (r.height, r.width) == want[r.id].shape[:2] and bytes(r.pixels) == want[r.id].tobytes() and r.orientation == 1
+    head = b"\xff\xd8Exif\0\0II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0)
+    files_ = spark.createDataFrame([(1, bytearray(head)), (2, bytearray(b"")), (3, None), (4, bytearray(head[:14]))], "id int, content binary")
+    assert {r.id: r.o for r in files_.select("id", P.orientation("content").alias("o")).collect()} == {1: 6, 2: 1, 3: 1, 4: 1}
+
+
+def test_arbiter_sees_light_edges_and_skin(spark):
+    from glintframe.operators import arbiter as A
+
+    mask = np.zeros((60, 60), bool)
+    mask[5:15, 5:15] = mask[30:33, 30:33] = True
+    assert sorted(A.regions(mask)) == [4, 81] and A.regions(np.zeros((4, 4), bool)) == [] and sorted(A.regions(A.opened(mask, 2))) == [81]
+    step = np.zeros((32, 32))
+    step[:, 16:] = 255.0
+    assert A.edges(step).sum(axis=1).max() == 1 and not A.edges(np.zeros((8, 8))).any()
+    hand = np.zeros((64, 64))
+    hand[10:50, 2:30] = 0.8
+    flat, low = np.zeros((64, 64)), hand * 0.6
+    rows = [(1, 0.5, hand, low), (2, 0.5, flat, flat), (3, 0.9, flat, flat)]
+    df = spark.createDataFrame([(i, p, a.ravel().tolist(), a.ravel().tolist(), b.ravel().tolist(), b.ravel().tolist()) for i, p, a, b in rows], "id int, p double, gray array<double>, red array<double>, green array<double>, blue array<double>")
+    found = {r.id: r for r in A.arbitrate(df).collect()}
+    assert A.LABELS["asymmetry"] in {f.label for f in found[1].flags} and found[1].suspicious
+    assert [f.label for f in found[2].flags] == [A.LABELS["none"]] and found[3].flags == [] and not found[3].suspicious
