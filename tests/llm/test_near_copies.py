@@ -30,6 +30,35 @@ def test_pairs_within_a_template(spark):
     assert kept == {i for i, _ in rows} - {b for _, b in planted}
 
 
+def test_large_groups_of_mixed_similarity(spark):
+    """Four families of 150 texts, edited a little or a lot: the components are those of all pairs compared."""
+    rng, rows = random.Random(23), []
+    for family in range(4):
+        base = [f"f{family}w{rng.getrandbits(30):x}" for _ in range(260)]
+        for _ in range(150):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 6, 8, 12])):
+                words[rng.randrange(len(words))] = f"x{rng.getrandbits(40):x}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a // 150 * 150, a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    kept = {r.doc_id for r in W.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    want = {i for i in range(len(rows)) if find(i) == i}
+    assert kept == want and 4 < len(want) < 600
+
+
 def test_prefix_pairs_miss_none(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(40) for _ in range(60)]
