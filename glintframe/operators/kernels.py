@@ -203,7 +203,8 @@ def jpeg_history(df: DataFrame, image: str, vector: str, side: int = 8, bins: in
     edges = staged.groupBy(image).agg(
         F.min(F.array_min(picked)).alias("low"), F.max(F.array_max(picked)).alias("high"), F.sum(squares(F.col("c"))).alias("total"), F.sum(squares(picked)).alias("ac")
     )
-    long = staged.select(image, F.explode(picked).alias("x")).join(edges, image)
+    # Edges meet the rows before these are taken apart.
+    long = staged.select(image, picked.alias("picked")).join(edges, image).select(image, "low", "high", "total", "ac", F.explode("picked").alias("x"))
     counted = long.groupBy(image, "low", "high", "total", "ac", bin_index(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin")).agg(
         F.count("*").alias("n"), F.sum((F.abs("x") < 0.5).cast("long")).alias("zeros")
     )
@@ -226,12 +227,13 @@ def jpeg_history(df: DataFrame, image: str, vector: str, side: int = 8, bins: in
     )
 
 
-def histogram_entropy(df: DataFrame, image: str, value: Column, bins: int) -> DataFrame:
-    """Normalised Shannon entropy of an equal-width histogram over each image's own range."""
-    rows = df.select(image, value.alias("x"))
-    edges = rows.groupBy(image).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+def histogram_entropy(df: DataFrame, image: str, vector: str, bins: int) -> DataFrame:
+    """Normalised Shannon entropy of an equal-width histogram over each image's own range; its rows have arrays of values."""
+    rows = df.select(image, plane(F.col(vector)).alias("xs"))
+    edges = rows.groupBy(image).agg(F.min(F.array_min("xs")).alias("low"), F.max(F.array_max("xs")).alias("high"))
     at = F.when(F.col("high") > F.col("low"), bin_index(F.col("x"), F.col("low"), F.col("high"), bins)).otherwise(F.lit(0))
-    counts = rows.join(edges, image).groupBy(image, at.alias("bin")).agg(F.count("*").alias("n"))
+    long = rows.join(edges, image).select(image, "low", "high", F.explode("xs").alias("x"))
+    counts = long.groupBy(image, at.alias("bin")).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(image))
     return counts.select(image, (-p * F.log2(p)).alias("part")).groupBy(image).agg((F.sum("part") / math.log2(bins)).alias("entropy"))
 
@@ -327,10 +329,10 @@ def gradient_consistency(df: DataFrame, image: str, vector: str, side: int = 8)
         gy = at(cell, 6) - at(cell, 0) + 2 * (at(cell, 7) - at(cell, 1)) + at(cell, 8) - at(cell, 2)
         return F.struct(gx.alias("gx"), gy.alias("gy"))
 
-    long = df.select(image, px.alias("px")).select(image, F.explode(F.transform(constant(cells, "array<array<int>>"), gradient)).alias("g"))
-    long = long.select(image, F.sqrt(F.col("g.gx") * F.col("g.gx") + F.col("g.gy") * F.col("g.gy")).alias("size"), F.atan2("g.gy", "g.gx").alias("angle"))
-    bound = long.groupBy(image).agg((F.avg("size") + F.stddev_pop("size")).alias("bound"))
-    strong = long.join(bound, image).where(F.col("size") > F.col("bound"))
+    turned = lambda g: F.struct(F.sqrt(g["gx"] * g["gx"] + g["gy"] * g["gy"]).alias("size"), F.atan2(g["gy"], g["gx"]).alias("angle"))
+    rows = df.select(image, px.alias("px")).select(image, F.transform(F.transform(constant(cells, "array<array<int>>"), gradient), turned).alias("steps"))
+    bound = rows.select(image, F.explode("steps.size").alias("size")).groupBy(image).agg((F.avg("size") + F.stddev_pop("size")).alias("bound"))
+    strong = rows.join(bound, image).select(image, F.explode(F.filter("steps", lambda g: g["size"] > F.col("bound"))).alias("g")).select(image, "g.angle")
     s = strong.groupBy(image).agg(F.count("*").alias("n"), F.avg(F.cos(F.col("angle") * 2)).alias("c"), F.avg(F.sin(F.col("angle") * 2)).alias("s"))
     return s.select(image, "n", F.when(F.col("n") < 10, lit(0.0)).otherwise(clip(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")), 0.0, 1.0)).alias("consistency"))
 

@@ -96,8 +96,7 @@ def dft_slope(spark: SparkSession, d: str) -> DataFrame:
 @reg(f"""WITH {PX}, e AS (SELECT label, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1), c AS (SELECT px.label, least(floor((v - lo) / (hi - lo) * 32), 31) AS b, count(*) AS n FROM px JOIN e ON px.label = e.label GROUP BY ALL),
 p AS (SELECT label, n / sum(n) OVER (PARTITION BY label) AS p FROM c) SELECT label, {r6("-sum(p * log2(p)) / 5")} AS entropy FROM p GROUP BY 1""")
 def hist_entropy(spark: SparkSession, d: str) -> DataFrame:
-    long = tiles(spark, d).select("label", F.explode("embedding").alias("v"))
-    return rounded(K.histogram_entropy(long, "label", F.col("v").cast("double"), 32), "entropy")
+    return rounded(K.histogram_entropy(tiles(spark, d), "label", "embedding", 32), "entropy")
 
 
 @reg(f"SELECT label, {r6('corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE)')} AS first, {r6('corr(embedding[1]::DOUBLE, embedding[64]::DOUBLE)')} AS far, 0e0 AS constant FROM embeddings GROUP BY label")
