@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, scratch, written
@@ -84,6 +84,11 @@ def keyed_state(stream: DataFrame, into: str, checkpoint: str) -> None:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _is_new(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def groups(landed: Placed, files_per_batch: int | None = None, store: str | None = None) -> DataFrame:
     """digest, keep (struct of id, arrival, row, file) and group_size of every digest, after the whole stream."""
     spark = landed.df.sparkSession
@@ -97,7 +102,8 @@ def groups(landed: Placed, files_per_batch: int | None = None, store: str | None
         return landed.df.groupBy("exact__digest").agg(kept, F.count("*").alias("group_size"))
     keyed_state(reader.parquet(f"{store}/landed/*" if store else landed.path).select(*SMALL), into, checkpoint)
     # A key changes in any batch; its last state has the greatest keep and count.
-    states = spark.read.parquet(into)
+    state = landed.df.groupBy("exact__digest").agg(kept, F.count("*").alias("group_size")).schema
+    states = spark.createDataFrame([], state) if _is_new(spark, into) else spark.read.schema(state).parquet(into)
     return states.groupBy("exact__digest").agg(F.max("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 

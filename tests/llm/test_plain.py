@@ -230,3 +230,10 @@ def test_mixing_as_a_loop_takes(spark):
         for _, i, n in own:
             through += n
             assert found[i].times == epochs + (through - n / 2 <= target - epochs * size) and found[i].source_size == size
+
+
+def test_exact_store_that_begins_empty(spark, tmp_path):
+    schema, store = "doc_id long, text string", f"file://{tmp_path}/store"
+    assert exact.exact_duplicates(spark.createDataFrame([], schema), store=store).collect() == []
+    (row,) = exact.exact_duplicates(spark.createDataFrame([(1, "a")], schema), store=store).collect()
+    assert (row.doc_id, row.keep_id, row.group_size, row.kept) == (1, 1, 1, True)
