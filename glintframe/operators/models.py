@@ -31,6 +31,7 @@ from pyspark.sql.functions import pandas_udf
 from glintframe.functions.numeric import clip, lit, logistic, total
 from glintframe.operators import evaluation as E
 from glintframe.operators.manifest import folds
+from glintframe.operators.verdict import contributions as strongest_contributions
 
 #: Members in the order of their columns; prefixes of feature names and their families.
 MEMBERS = ("rf", "svm", "lr", "gb")
@@ -302,6 +303,21 @@ def top_features(df: DataFrame, k: int, vector: str = "features", label: str = "
     return info.withColumn("place", place).where(F.col("place") <= k)
 
 
+def contributions(ensemble: Ensemble, df: DataFrame, key: str, vector: str = "features", probe: int = 24, keep: int = 10) -> DataFrame:
+    """(key, feature, value, delta, place): what each of a row's ``probe`` largest features adds to its score, the ``keep`` strongest of them.
+
+    A feature's part is the score less that of the row with this feature set to 0; every such row is scored.
+    """
+    base = ensemble.members(df.select(key, vector), vector).select(key, vector, average(F.col("members")).alias("ml__base"))
+    each = base.select(key, vector, "ml__base", F.posexplode(vector).alias("feature", "value"))
+    large = Window.partitionBy(key).orderBy(F.abs("value").desc(), "feature")  # the features of one row
+    each = each.withColumn("ml__rank", F.row_number().over(large)).where(F.col("ml__rank") <= probe)
+    without = each.withColumn("ml__without", F.transform(vector, lambda x, i: F.when(i == F.col("feature"), lit(0.0)).otherwise(x)))
+    scored = ensemble.members(without, "ml__without")
+    deltas = scored.select(key, "feature", "value", (F.col("ml__base") - average(F.col("members"))).alias("delta"))
+    return strongest_contributions(deltas, key, probe, keep)
+
+
 @dataclass
 class Trained:
     ensemble: Ensemble

@@ -68,6 +68,14 @@ def cross_dataset_report(spark: SparkSession, d: str) -> DataFrame:
     return E.evaluation_report(judged, 0.05, table(spark, d, "events").select("value"))
 
 
+@reg()
+def feature_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """What each feature adds to the score of a document: the score less that without it."""
+    rows = featured(spark, d)
+    found = M.contributions(M.fit(rows, SMALL), rows.where("id % 10 = 0"), "id", probe=6, keep=3)
+    return found.select("id", "feature", "value", "delta", "place")
+
+
 @reg()
 def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).select("id", "y", "p")

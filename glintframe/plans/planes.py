@@ -14,6 +14,7 @@ from glintframe.operators import arbiter as A
 from glintframe.operators import models as M
 from glintframe.operators import narrative as N
 from glintframe.operators import planes as P
+from glintframe.operators import verdict as V
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
 from glintframe.tables import table
@@ -97,6 +98,18 @@ def image_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.out_of_fold(rows, config, k=2).select("id", "y", "fold", "p"), "p")
 
 
+@reg()
+def tta_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's five variants scored by an ensemble fitted to the images, and their mean."""
+    into = workspace(spark, "vectors")
+    features(spark).write.parquet(into)
+    config = M.Config(trees=10, tree_depth=4, boosts=5, boost_depth=3, waves=32, iterations=50)
+    ensemble = M.fit(spark.read.parquet(into), config, label="label")
+    varied_rows = P.extract(P.preprocess(P.variants(images(spark), "tta"), SIDE)).withColumnRenamed("number", "variant_number")
+    scored = ensemble.members(varied_rows).select("id", F.col("variant_number").alias("variant"), "members").withColumn("raw", M.average(F.col("members")))
+    return rounded(V.tta_average(scored).select("id", "variants", "p"), "p")
+
+
 @reg()
 def perceptual_hashes(spark: SparkSession, d: str) -> DataFrame:
     return P.preprocess(images(spark), SIDE).select("id", P.perceptual_hash(F.col("gray")).alias("hash"))
