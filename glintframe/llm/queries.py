@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, urls, warc
+from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, urls, variants, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -164,6 +164,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -175,6 +179,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
