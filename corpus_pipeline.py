@@ -17,20 +17,25 @@ from glintframe.llm.common import collected, delete, discard, table, written
 from glintframe.llm.queries import labelled, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch tables of the stage called last.
-_last: list[str] = []
+Stage = Callable[..., DataFrame]
+#: Scratch tables of the stage that was called last by itself, outside ``run``.
+_alone: list[str] = []
 
 
-def stage(work: Stage) -> Stage:
-    """A stage called with ``docs``, the written result of the one before, whose scratch tables are then deleted."""
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Stage:
+    """A stage called with ``docs``, the written result of the one before, whose scratch tables (``before``) are then deleted.
+
+    The first stage deletes nothing: what another run has returned is read lazily and stays until the driver ends.
+    """
 
     @wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, *_last)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, before: list[str] | None = None) -> DataFrame:
+        before = _alone if before is None else before
+        if work.__name__ != STAGES[0][1].__name__:
+            delete(spark, *before)
         with collected() as made:
             out = work(spark, docs.select(*COLUMNS), sf_dir)
-        _last[:] = made
+        before[:] = made
         return out
 
     return run_stage
@@ -38,10 +43,11 @@ def stage(work: Stage) -> Stage:
 
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language is told; those without a letter (null and empty ones too), or between two languages, go."""
+    """Texts whose language is told; those without a letter (null and empty ones too), or between two languages, go.  A null lang becomes the one told."""
     model = language.fit(docs, ~language.held_out(F.col("doc_id")))
     told = language.predict(docs, model)
-    return told.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")).select(*COLUMNS)
+    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous"))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 @stage
@@ -82,9 +88,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), []
+    docs, before, scratch = table(spark, sf_dir, "documents"), [], []
     for n, (name, step) in enumerate(STAGES, 1):
-        docs = step(spark, docs, sf_dir)
+        docs = step(spark, docs, sf_dir, scratch)
         if n < len(STAGES):
             docs = written(docs, f"pipeline-{n}")
             discard(*before)

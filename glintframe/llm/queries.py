@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, urls, variants, warc
+from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, trie, urls, variants, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -168,6 +168,37 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a conversation's number is spelled out: bytes, and the eight bits of each.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT c, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 6 AS h FROM t),
+r AS (
+  SELECT c.c, 0 AS part, b.pos, b.role, b.text FROM c JOIN t b ON b.c = c.c - c.c % 100 AND b.pos < c.h
+  UNION ALL SELECT c.c, 1, t.pos, t.role, t.text FROM c JOIN t ON t.c = c.c AND t.pos >= c.h),
+arr AS (SELECT c, list({'r': role, 't': text} ORDER BY part, pos) AS a FROM r GROUP BY c),
+whole AS (SELECT c.c, coalesce(arr.a, []) AS a FROM c LEFT JOIN arr ON c.c = arr.c),
+path AS (SELECT c, a[1:d] AS p, d, len(a) = d AS ends FROM (SELECT c, a, unnest(range(len(a) + 1)) AS d FROM whole)),
+node AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '') AS ids,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].t) ELSE 0 END AS own FROM path GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS up, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+leaf AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids ON node.p = kids.up AND node.d = kids.d),
+below AS (SELECT p[1:e] AS p, e, sum(own) AS saved, sum((k = 0)::INT) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS e FROM leaf) GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, x.k AS n_children, below.leaves::BIGINT AS n_leaves,
+  below.saved::BIGINT AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM leaf x JOIN below ON x.p = below.p AND x.d = below.e LEFT JOIN node u ON u.p = x.p[1:x.d - 1] AND u.d = x.d - 1
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -180,10 +211,12 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
     "op3_url_filters": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -78,3 +78,12 @@ def test_hard_rows(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert P.run(spark, tables(spark, tmp_path / "t", [])).collect() == []
+
+
+def test_a_second_run_leaves_the_first_ones_result(spark, tmp_path):
+    own = {"aa": "abra kadabra simsala ", "bb": "zuzu mizu wuzu kuzu "}
+    rows = [(i, own[lang] * (3 + i), lang if i % 4 else None, "s", 5) for i, lang in enumerate(["aa", "bb"] * 10)]
+    folder = tables(spark, tmp_path / "t", rows)
+    first, second = P.run(spark, folder), P.run(spark, folder)
+    a, b = ({(r.doc_id, r.piece) for r in df.collect()} for df in (first, second))
+    assert a == b and a
