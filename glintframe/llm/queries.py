@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editcounts, exact, flac, language, mixing, packing, pii, simhash, trie, urls, variants, warc
+from . import editcounts, exact, flac, language, mixing, packing, pii, pitman_yor, simhash, trie, urls, variants, warc
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -164,6 +164,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pitman_yor.scores(table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(table(spark, sf_dir, "documents"))
 
@@ -210,6 +215,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
