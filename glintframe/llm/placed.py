@@ -56,14 +56,9 @@ class Placed:
         return out.where(~mark)
 
 
-def place(docs: DataFrame, name: str, row: str = "row", chunk: str = "chunk", path: str | None = None) -> Placed:
-    """``docs`` with a unique ``row`` (those of a chunk without gaps) and its ``chunk``, or names near these where ``docs`` has them."""
-    spark = docs.sparkSession
-    columns = docs.columns
-    row, chunk = fresh(docs, row, chunk)
-    path = path or scratch(spark, name)
-    number = F.monotonically_increasing_id()
-    rows = docs.select("*", number.alias(row), F.shiftright(number, CHUNK_BITS).alias(chunk))
+def bucketed(rows: DataFrame, column: str, path: str) -> DataFrame:
+    """``rows`` written at ``path`` and reread, bucketed by ``column``, of which a task has few values, one after the other: nothing is shuffled or sorted."""
+    spark = rows.sparkSession
     known = f"glintframe_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     setting = "spark.sql.maxConcurrentOutputFileWriters"
@@ -71,9 +66,19 @@ def place(docs: DataFrame, name: str, row: str = "row", chunk: str = "chunk", pa
     spark.conf.set(setting, OPEN_FILES)  # else each task would sort its texts by bucket
     try:
         with small_batches(spark):
-            rows.write.bucketBy(buckets, chunk).options(**{"path": path, "compression": "zstd", "parquet.block.size": ROW_GROUP}).saveAsTable(known)
+            rows.write.bucketBy(buckets, column).options(**{"path": path, "compression": "zstd", "parquet.block.size": ROW_GROUP}).saveAsTable(known)
     finally:
         spark.conf.set(setting, before)
     df = spark.table(known)
     spark.sql(f"DROP TABLE {known}")  # the catalog forgets it; files and ``df`` stay
-    return Placed(df, row, chunk, path, columns)
+    return df
+
+
+def place(docs: DataFrame, name: str, row: str = "row", chunk: str = "chunk", path: str | None = None) -> Placed:
+    """``docs`` with a unique ``row`` (those of a chunk without gaps) and its ``chunk``, or names near these where ``docs`` has them."""
+    columns = docs.columns
+    row, chunk = fresh(docs, row, chunk)
+    path = path or scratch(docs.sparkSession, name)
+    number = F.monotonically_increasing_id()
+    rows = docs.select("*", number.alias(row), F.shiftright(number, CHUNK_BITS).alias(chunk))
+    return Placed(bucketed(rows, chunk, path), row, chunk, path, columns)
