@@ -1,7 +1,7 @@
 """Checks of a picture's content, for scores that are in doubt: light, edges, skin.
 
-Arrow functions measure (means of edge directions, edge coherence, skin components); flags are column
-expressions over what they return.  ``arbitrate`` sends only rows in doubt to Python.
+Families of ``planes.measured`` measure (means of edge directions, edge coherence, skin components); flags are column
+expressions over what they return.  ``arbitrate`` sends only images in doubt to Python.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glintframe.functions import signal as S
 from glintframe.functions.numeric import lit
 from glintframe.operators.narrative import arbiter_needed, suspicious
-from glintframe.operators.planes import _udf, batches
+from glintframe.operators.planes import SIDE, family, measured
 
 #: Bounds of the flags, least area of a region, regions that are too many.
 LIGHT_SPREAD, EDGE_SPREAD, ASYMMETRY, NO_REGION = 0.55, 0.5, 0.55, 0.55
@@ -75,7 +75,7 @@ def regions(mask: np.ndarray) -> list[int]:
     return [int(n - b / 2 - 1) for n, b in zip(sizes, np.pad(rims, (0, len(sizes) - len(rims)))) if n]
 
 
-@batches("directions array<double>, irregularity double, edge_pixels long")
+@family("light", "directions array<double>, irregularity double, edge_pixels long", "gray")
 def _light(gray: np.ndarray) -> dict[str, np.ndarray]:
     grey = np.round(gray * 255)
     gx, gy = S.slopes(grey)
@@ -98,7 +98,7 @@ def _light(gray: np.ndarray) -> dict[str, np.ndarray]:
     return {"directions": means, "irregularity": np.array(spread), "edge_pixels": np.array(count)}
 
 
-@batches("areas array<int>, left double, right double, pixels long")
+@family("skin", "areas array<int>, left double, right double, pixels long", "red", "green", "blue")
 def _skin(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> dict[str, np.ndarray]:
     r, g, b = (np.round(c * 255) for c in (red, green, blue))
     top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
@@ -116,9 +116,6 @@ def _skin(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> dict[str, np.
     return out
 
 
-light, skin = _udf(_light), _udf(_skin, 3)
-
-
 def _flag(kind: str, condition: Column, label: Column | str, score: Column) -> Column:
     words = F.lit(label) if isinstance(label, str) else label
     return F.when(condition, F.struct(F.lit(kind).alias("kind"), words.alias("label"), F.least(lit(1.0), score).alias("score")))
@@ -140,11 +137,10 @@ def flags(light_parts: Column, skin_parts: Column) -> Column:
     return F.array_compact(F.array(*raised))
 
 
-def arbitrate(df: DataFrame, p: str = "p") -> DataFrame:
-    """``df`` (gray, red, green, blue and a score) with flags and whether they make it suspicious; none for scores out of doubt."""
-    open_ = arbiter_needed(F.col(p))
-    asked = df.withColumns({"arbiter__light": light(F.when(open_, F.col("gray"))), "arbiter__skin": skin(*[F.when(open_, F.col(c)) for c in ("red", "green", "blue")])})
+def arbitrate(df: DataFrame, p: str = "p", side: int = SIDE) -> DataFrame:
+    """``df`` (images or planes, as ``measured`` takes them, and a score) with flags and whether they make it suspicious; none for scores out of doubt."""
+    asked = measured(df, ["light", "skin"], side, when=arbiter_needed(F.col(p)))
     none = F.array().cast("array<struct<kind:string,label:string,score:double>>")
-    raised = F.when(open_ & F.col("arbiter__light.edge_pixels").isNotNull(), flags(F.col("arbiter__light"), F.col("arbiter__skin"))).otherwise(none)
-    out = asked.withColumn("flags", raised).drop("arbiter__light", "arbiter__skin")
+    raised = F.when(F.col("plane__light.edge_pixels").isNotNull(), flags(F.col("plane__light"), F.col("plane__skin"))).otherwise(none)
+    out = asked.withColumn("flags", raised).drop("plane__light", "plane__skin")
     return out.withColumn("suspicious", suspicious(F.transform("flags", lambda f: f["score"])))

@@ -1,22 +1,24 @@
 """Image planes and the 120 numbers of their feature vector.
 
-A plane is an array of floats in rows, as long as the square of its side.  Each family of features has one
-small Arrow function that transforms whole batches of planes (spectra, sub-bands, residuals) and
+Each family of features has one small function that transforms stacks of planes (spectra, sub-bands, residuals) and
 returns sums, profiles and histograms; slopes, ratios, entropies and moments of these are column
-expressions.  Spark runs all families of a plane in one pass over its rows.
+expressions.  ``measured`` runs all families in one pass over the images, whose planes never leave it.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glintframe.functions import signal as S
 from glintframe.functions.numeric import clip, finite, fold, let, lit, ratio, total
@@ -32,50 +34,30 @@ def _kind(name: str) -> T.DataType:
     return {"double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}[name]
 
 
-def batches(kind: str) -> Callable:
-    """An Arrow function of a struct result from one of stacked planes; planes of a batch may differ in size."""
+class Family(NamedTuple):
+    """Numbers of stacked planes of one size: what computes them, their type as a struct, the planes it takes."""
 
-    def wrap(work: Callable[..., dict[str, np.ndarray]]) -> Callable:
-        fields = [part.split(" ") for part in kind.split(", ")]
-        names = [name for name, _ in fields]
-
-        def run(*columns: pd.Series) -> pd.DataFrame:
-            out: list = [None] * len(columns[0])
-            sizes = pd.Series([0 if v is None else len(v) for v in columns[0]])
-            for size, rows in sizes.groupby(sizes).groups.items():
-                side = int(round(np.sqrt(size)))
-                if size == 0 or side * side != size:
-                    continue
-                stacks = [np.stack([np.asarray(c.iloc[i], np.float64) for i in rows]).reshape(-1, side, side) for c in columns]
-                found = work(*stacks)
-                for at, i in enumerate(rows):
-                    out[i] = {n: found[n][at] for n in names}
-            empty = dict.fromkeys(names)
-            return pd.DataFrame([x or empty for x in out], columns=names)
-
-        return run, T.StructType([T.StructField(name, _kind(of)) for name, of in fields])
+    work: Callable[..., dict[str, Any]]
+    kind: T.StructType
+    planes: tuple[str, ...]
 
-    return wrap
 
+#: Families by name, as ``measured`` finds them.
+FAMILIES: dict[str, Family] = {}
 
-def _udf(work_and_kind: tuple[Callable, T.StructType], arguments: int = 1):
-    work, kind = work_and_kind
-    if arguments == 1:
 
-        @pandas_udf(kind)
-        def one(a: pd.Series) -> pd.DataFrame:
-            return work(a)
+def family(name: str, kind: str, *planes: str) -> Callable:
+    """Registers a family; what it returns is small: sums, profiles and histograms of each plane."""
 
-        return one
-
-    @pandas_udf(kind)
-    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return work(a, b, c)
+    def add(work: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any]]:
+        fields = [part.split(" ") for part in kind.split(", ")]
+        FAMILIES[name] = Family(work, T.StructType([T.StructField(n, _kind(of)) for n, of in fields]), planes or ("y",))
+        return work
 
-    return three
+    return add
 
 
-@batches("radial array<double>, centres array<double>, sectors array<double>, phases array<long>, mean_log double, mean_power double, high double, dc double, energy double, peak double, median double, peak_bin int")
+@family("fft", "radial array<double>, centres array<double>, sectors array<double>, phases array<long>, mean_log double, mean_power double, high double, dc double, energy double, peak double, median double, peak_bin int")
 def _spectra(planes: np.ndarray) -> dict[str, np.ndarray]:
     found = np.fft.rfft2(planes - planes.mean(axis=(1, 2), keepdims=True))
     size = np.abs(found)
@@ -96,7 +78,7 @@ def _spectra(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("energy array<double>, moments array<double>, history array<long>, low double, high double, near_zero double, ac double, all double")
+@family("dct", "energy array<double>, moments array<double>, history array<long>, low double, high double, near_zero double, ac double, all double")
 def _cosines(planes: np.ndarray) -> dict[str, np.ndarray]:
     found = S.block_cosines(S.tiles(planes, BLOCK, centred=True))
     n = len(found)
@@ -109,7 +91,7 @@ def _cosines(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("energies array<double>, histograms array<array<long>>, average double, plane double, lbp array<long>, cos2 double, sin2 double, strong long, cells array<array<long>>")
+@family("wavelet", "energies array<double>, histograms array<array<long>>, average double, plane double, lbp array<long>, cos2 double, sin2 double, strong long, cells array<array<long>>")
 def _subbands(planes: np.ndarray) -> dict[str, np.ndarray]:
     average, details = S.wavelet(planes, LEVELS)
     n = len(planes)
@@ -139,7 +121,7 @@ def _subbands(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("moments array<double>, mean_abs double, tiles array<double>, mean_log double, mean_power double, bins long")
+@family("noise", "moments array<double>, mean_abs double, tiles array<double>, mean_log double, mean_power double, bins long")
 def _noise(planes: np.ndarray) -> dict[str, np.ndarray]:
     rest = S.residual(planes)
     flat = rest.reshape(len(rest), -1)
@@ -152,7 +134,7 @@ def _noise(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("properties array<array<double>>, boxes array<long>, scales array<double>")
+@family("texture", "properties array<array<double>>, boxes array<long>, scales array<double>", "gray")
 def _texture(planes: np.ndarray) -> dict[str, np.ndarray]:
     n, h, w = planes.shape
     grey = np.clip(planes * GLCM_LEVELS, 0, GLCM_LEVELS - 1).astype(np.int64)
@@ -203,7 +185,7 @@ def _colour_plane(plane: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("flatness array<double>, high array<double>, slope array<double>, dc array<double>, phases array<array<long>>, profile array<array<double>>, correlations array<double>")
+@family("colour", "flatness array<double>, high array<double>, slope array<double>, dc array<double>, phases array<array<long>>, profile array<array<double>>, correlations array<double>", "red", "green", "blue")
 def _colour(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> dict[str, np.ndarray]:
     r, g, b = (np.floor(np.clip(c, 0, 1) * 255) for c in (red, green, blue))
     y = 0.299 * r + 0.587 * g + 0.114 * b
@@ -220,7 +202,7 @@ def _colour(red: np.ndarray, green: np.ndarray, blue: np.ndarray) -> dict[str, n
     return both | {"correlations": np.stack([alike(*chroma), alike(red, green), alike(green, blue)], axis=1)}
 
 
-@batches("coherence double, real array<double>, sizes array<double>, whole double, weighed double, there long, drawn int, first double, second double")
+@family("coupling", "coherence double, real array<double>, sizes array<double>, whole double, weighed double, there long, drawn int, first double, second double")
 def _coupling(planes: np.ndarray) -> dict[str, np.ndarray]:
     n, h, w = planes.shape
     even = planes[:, : h - h % 2, : w - w % 2]
@@ -249,7 +231,7 @@ def _sensor(planes: np.ndarray) -> np.ndarray:
     return (planes - smooth) / (planes + S.EPS)
 
 
-@batches("quadrants array<double>, mean_abs double, moments array<double>, scales double, spread double")
+@family("print", "quadrants array<double>, mean_abs double, moments array<double>, scales double, spread double")
 def _print(planes: np.ndarray) -> dict[str, np.ndarray]:
     n, h, w = planes.shape
     rest = _sensor(planes)
@@ -271,7 +253,7 @@ def _print(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-@batches("bits array<int>")
+@family("hash", "bits array<int>", "gray")
 def _perceptual(planes: np.ndarray) -> dict[str, np.ndarray]:
     small = np.round(S.resized(np.round(planes * 255), 32, 32))
     basis = S.cosines(32)
@@ -279,10 +261,15 @@ def _perceptual(planes: np.ndarray) -> dict[str, np.ndarray]:
     return {"bits": (low > np.median(low, axis=1, keepdims=True)).astype(np.int32)}
 
 
+@family("means", "y double, gray double, red double, green double, blue double", "y", "gray", "red", "green", "blue")
+def _means(*planes: np.ndarray) -> dict[str, np.ndarray]:
+    return {name: plane.mean(axis=(1, 2)) for name, plane in zip(PLANES, planes)}
+
+
 TILE_BINS = 12
 
 
-@batches("profiles array<array<double>>, centres array<double>, mean_log array<double>, mean_power array<double>")
+@family("tiles", "profiles array<array<double>>, centres array<double>, mean_log array<double>, mean_power array<double>")
 def _tile_spectra(planes: np.ndarray) -> dict[str, np.ndarray]:
     n, h, w = planes.shape
     side = max(2, min(TILES, min(h, w) // 16))
@@ -298,11 +285,6 @@ def _tile_spectra(planes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-perceptual, tile_spectra = _udf(_perceptual), _udf(_tile_spectra)
-spectra, cosine_blocks, subbands, noise, texture, coupling, sensor_print = map(_udf, (_spectra, _cosines, _subbands, _noise, _texture, _coupling, _print))
-colour = _udf(_colour, 3)
-
-
 def entropy(counts: Column, bins: int) -> Column:
     """Shannon entropy of counts, 1 for ``bins`` equal ones."""
     n = total(F.transform(counts, lambda c: c.cast("double")))
@@ -469,12 +451,101 @@ def print_features(p: Column) -> dict[str, Column]:
     }
 
 
-def with_parts(df: DataFrame) -> DataFrame:
-    """``df`` (y, gray, red, green, blue) with the transforms' results, one column a family."""
-    return df.withColumns({
-        "plane__fft": spectra("y"), "plane__dct": cosine_blocks("y"), "plane__wavelet": subbands("y"), "plane__noise": noise("y"), "plane__texture": texture("gray"),
-        "plane__colour": colour("red", "green", "blue"), "plane__coupling": coupling("y"), "plane__print": sensor_print("y"),
-    })
+PLANES = ("y", "gray", "red", "green", "blue")
+#: The families that features are made of.
+VECTOR = ("fft", "dct", "wavelet", "noise", "texture", "colour", "coupling", "print")
+#: Pixels of a plane that a task works on at a time.
+PIECE = 1 << 19
+
+
+def _from_image(content: bytes | None, height: int | None, width: int | None, channels: int | None, kind: str | None, seed: int | None, side: int) -> list[tuple]:
+    """(variant, number, height, width, planes) of one image, or of each of its variants; planes are None where the bytes are no image of that size."""
+    if content is None or not height or not width or channels not in (1, 3, 4) or len(content) != height * width * channels:
+        return [(None, None, height, width, None)]
+    image = _pixels(content, height, width, channels)
+    found = {None: image} if kind is None else VARIANTS[kind](image) if seed is None else VARIANTS[kind](image, seed)
+    return [(name, n if name else None, own.shape[1], own.shape[2], planes_of(own, side)) for n, (name, own) in enumerate(found.items())]
+
+
+def planes_of(image: np.ndarray, side: int) -> dict[str, np.ndarray]:
+    """Planes in [0, 1] of a blue-green-red image at ``side``; gray is y."""
+    b, g, r = letterboxed(image, side)
+    scaled = lambda plane: (plane / 255.0).astype(np.float32).astype(np.float64)
+    grey = scaled(np.round(0.299 * r + 0.587 * g + 0.114 * b))
+    return {"y": grey, "gray": grey, "red": scaled(r), "green": scaled(g), "blue": scaled(b)}
+
+
+def _square(values: list[float] | None) -> np.ndarray | None:
+    side = int(round(np.sqrt(len(values or ()))))
+    return np.asarray(values, np.float64).reshape(side, side) if values and side * side == len(values) else None
+
+
+def measured(df: DataFrame, families: Sequence[str] = VECTOR, side: int = SIDE, variants: str | None = None, seed_col: str | None = None, when: Column | None = None) -> DataFrame:
+    """``df`` without its pixels or planes, with a struct column plane__<name> for each of ``families``: one pass over the rows.
+
+    Rows are images (pixels: blue-green-red bytes, height, width, channels), which are letterboxed to ``side`` in the same pass, each once for each of its
+    ``variants`` if these are asked for (then with variant, number, and the variant's size); or they have the planes y, gray, red, green, blue as arrays.
+    An image goes to Python once, as bytes, and only the families' numbers come back, ``PIECE`` pixels at a time. Rows without an
+    image of their size, and those for which ``when`` isn't true, get null structs.
+    """
+    images = "pixels" in df.columns
+    own = {name: FAMILIES[name] for name in families}
+    needed = [c for c in PLANES if any(c in f.planes for f in own.values())]
+    sources = ["pixels"] if images else needed
+    if when is not None:
+        df = df.withColumns({c: F.when(when, F.col(c)) for c in sources})
+    kept = [f for f in df.schema.fields if f.name not in (["pixels"] if images else PLANES)]
+    extra = [T.StructField("variant", T.StringType()), T.StructField("number", T.IntegerType())] if variants else []
+    schema = T.StructType([*kept, *extra, *[T.StructField(f"plane__{name}", f.kind) for name, f in own.items()]])
+    arrow = to_arrow_schema(schema)
+    names = [f.name for f in kept]
+
+    def numbers(planes: list[dict[str, np.ndarray] | None]) -> list[pa.Array]:
+        out = []
+        by_shape: dict[tuple, list[int]] = {}
+        for i, p in enumerate(planes):
+            if p is not None:
+                by_shape.setdefault(next(iter(p.values())).shape, []).append(i)
+        stacks = [(rows, {c: np.stack([planes[i][c] for i in rows]) for c in needed}) for rows in by_shape.values()]
+        for name, f in own.items():
+            values: list[dict | None] = [None] * len(planes)
+            for rows, stack in stacks:
+                found = {n: v.tolist() if isinstance(v, np.ndarray) else v for n, v in f.work(*[stack[c] for c in f.planes]).items()}
+                for at, i in enumerate(rows):
+                    values[i] = {n: v[at] for n, v in found.items()}
+            out.append(pa.array(values, arrow.field(f"plane__{name}").type))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+
+            def emit(piece: list[tuple]) -> pa.RecordBatch:
+                rows = pa.array([p[0] for p in piece], pa.int64())
+                fixed = {n: column[n].take(rows) for n in names}
+                if variants:
+                    fixed |= {"variant": pa.array([p[1] for p in piece], pa.string()), "number": pa.array([p[2] for p in piece], pa.int32())}
+                    fixed |= {n: pa.array([p[k] for p in piece], arrow.field(n).type) for n, k in (("height", 3), ("width", 4)) if n in names}
+                return pa.RecordBatch.from_arrays([*fixed.values(), *numbers([p[5] for p in piece])], schema=arrow)
+
+            piece, size = [], 0
+            for i in range(batch.num_rows):
+                if images:
+                    seed = column[seed_col][i].as_py() if seed_col else None
+                    found = _from_image(*[column[c][i].as_py() for c in ("pixels", "height", "width", "channels")], variants, seed, side)
+                else:
+                    planes = {c: _square(column[c][i].as_py()) for c in needed}
+                    found = [(None, None, None, None, None if any(p is None for p in planes.values()) else planes)]
+                for one in found:
+                    piece.append((i, *one))
+                    size += next(iter(one[4].values())).size if one[4] else 0
+                    if size >= PIECE or len(piece) >= 1000:
+                        yield emit(piece)
+                        piece, size = [], 0
+            if piece:
+                yield emit(piece)
+
+    return df.mapInArrow(run, schema)
 
 
 def feature_columns() -> dict[str, Column]:
@@ -486,23 +557,24 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
-def extract(df: DataFrame) -> DataFrame:
-    """``df`` with planes y, gray, red, green, blue -> without them, with ``features``: an array of 120, non-finite ones 0; null where a plane is none."""
-    planes = ("y", "gray", "red", "green", "blue")
-    kept = [c for c in df.columns if c not in planes]
-    parts = with_parts(df)
+def extract(df: DataFrame, side: int = SIDE, variants: str | None = None, seed_col: str | None = None) -> DataFrame:
+    """``df`` (images or planes, as ``measured`` takes them) with ``features``: an array of 120, non-finite ones 0; null where there is no image."""
+    parts = measured(df, VECTOR, side, variants, seed_col)
+    kept = [c for c in parts.columns if not c.startswith("plane__")]
     features = F.when(F.col("plane__fft.energy").isNotNull(), F.array(*[finite(c.cast("double")) for c in feature_columns().values()]))
     return parts.select(*kept, features.alias("features"))
 
 
-def perceptual_hash(plane: Column) -> Column:
-    """64 bits, the first one highest: which low frequencies of the plane at 32 x 32 are above their median."""
-    return F.aggregate(perceptual(plane)["bits"], F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+def perceptual_hash(df: DataFrame, name: str = "hash", side: int = SIDE) -> DataFrame:
+    """``df`` with 64 bits, the first one highest: which low frequencies of the plane at 32 x 32 are above their median."""
+    found = measured(df, ["hash"], side)
+    bits = F.aggregate(F.col("plane__hash.bits"), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+    return found.withColumn(name, bits).drop("plane__hash")
 
 
-def tile_slopes(df: DataFrame, key: str, plane: str = "y") -> DataFrame:
+def tile_slopes(df: DataFrame, key: str, side: int = SIDE) -> DataFrame:
     """(key, tile, slope, flatness) of the tiles of each plane; 2 and 0 where a tile has too few radial bins for a fit."""
-    parts = df.select(key, tile_spectra(plane).alias("t"))
+    parts = measured(df, ["tiles"], side).select(key, F.col("plane__tiles").alias("t"))
     long = parts.select(key, F.col("t.centres").alias("r"), F.posexplode(F.arrays_zip(F.col("t.profiles").alias("p"), F.col("t.mean_log").alias("a"), F.col("t.mean_power").alias("b"))).alias("tile", "z"))
     points = F.filter(F.arrays_zip(F.col("r").alias("x"), F.col("z.p").alias("y")), lambda q: q["x"] > 2.0)
     logs = F.transform(points, lambda q: F.struct(F.log(q["x"]).alias("x"), F.log(q["y"] + S.EPS).alias("y")))
@@ -526,8 +598,8 @@ def bounded(cached: DataFrame, order: str, most: int) -> DataFrame:
     return cached.orderBy(F.desc(order)).limit(most)
 
 
-def synthetic(spark: SparkSession, pairs: int, side: int = SIDE) -> DataFrame:
-    """(id, label, pixels, height, width, channels): ``pairs`` images with a natural spectrum (0) and as many with a flat one and a grid (1)."""
+def synthetic(seeds: DataFrame, side: int = SIDE) -> DataFrame:
+    """(id, label, pixels, height, width, channels) for each row of ``seeds`` (id): even ones have a natural spectrum (0), odd ones a flat one and a grid (1)."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:side, :side]
@@ -543,9 +615,16 @@ def synthetic(spark: SparkSession, pairs: int, side: int = SIDE) -> DataFrame:
                 extra = 0.35 * np.sin(x * np.pi / 2) * np.sin(y * np.pi / 2) if label else 0.045 * np.sin(x / (10 + seed % 17)) * np.cos(y / (12 + seed % 23))
                 image = base + extra + random.normal(0, 0.004 if label else 0.02, (side, side))
                 out.append(np.repeat((np.clip(image * 0.5 + 0.5, 0, 1) * 255).astype(np.uint8)[:, :, None], 3, axis=2).tobytes())
-            yield pd.DataFrame({"id": frame["id"], "label": (frame["id"] % 2).astype("int32"), "pixels": out})
+                if len(out) * side * side >= PIECE:
+                    yield frame_of(frame, out)
+                    frame, out = frame.iloc[len(out) :], []
+            yield frame_of(frame, out)
 
-    rows = spark.range(2 * pairs).mapInPandas(make, "id long, label int, pixels binary")
+    def frame_of(frame: pd.DataFrame, out: list[bytes]) -> pd.DataFrame:
+        ids = frame["id"].iloc[: len(out)]
+        return pd.DataFrame({"id": ids, "label": (ids % 2).astype("int32"), "pixels": out})
+
+    rows = seeds.select(F.col("id").cast("long").alias("id")).where("id is not null").mapInPandas(make, "id long, label int, pixels binary")
     return rows.withColumns({"height": F.lit(side), "width": F.lit(side), "channels": F.lit(3)})
 
 
@@ -567,22 +646,24 @@ def letterboxed(image: np.ndarray, side: int) -> np.ndarray:
 
 
 def preprocess(images: DataFrame, side: int = SIDE) -> DataFrame:
-    """Images (pixels: blue-green-red bytes, height, width, channels) -> planes y, gray, red, green, blue in [0, 1]; other columns stay."""
+    """Images (pixels: blue-green-red bytes, height, width, channels) -> planes y, gray, red, green, blue in [0, 1]; other columns stay.
+
+    For those who need the planes themselves: features come from ``extract``, which never sends them back.
+    """
     kept = [f for f in images.schema.fields if f.name != "pixels"]
-    planes = ("y", "gray", "red", "green", "blue")
+    schema = T.StructType([*kept, *[T.StructField(p, T.ArrayType(T.FloatType())) for p in PLANES]])
+    arrow = to_arrow_schema(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: dict[str, list] = {p: [] for p in planes}
-            for row in frame.itertuples(index=False):
-                b, g, r = letterboxed(_pixels(row.pixels, row.height, row.width, row.channels), side)
-                grey = np.round(0.299 * r + 0.587 * g + 0.114 * b)
-                for name, plane in zip(planes, (grey, grey, r, g, b)):
-                    out[name].append((plane / 255.0).astype(np.float32).ravel())
-            yield frame.drop(columns="pixels").assign(**out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, PIECE // (side * side))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                planes = [_from_image(*[part.column(c)[i].as_py() for c in ("pixels", "height", "width", "channels")], None, None, side)[0][4] for i in range(part.num_rows)]
+                made = [pa.array([None if p is None else p[c].ravel().astype(np.float32) for p in planes], arrow.field(c).type) for c in PLANES]
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made], schema=arrow)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{p} array<float>" for p in planes])
-    return images.mapInPandas(run, schema)
+    return images.mapInArrow(run, schema)
 
 
 #: The luminance quantisation steps that JPEG quality scales, by rows.
@@ -660,21 +741,26 @@ VARIANTS = {"tta": tta, "demo": demo, "benchmark": benchmark, "augmented": augme
 def variants(images: DataFrame, kind: str, seed_col: str | None = None) -> DataFrame:
     """Each image once for each of its variants, named in ``variant`` and numbered in ``number``; sizes are those of the variants."""
     make = VARIANTS[kind]
-    fields = images.schema.fields
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
+    schema = T.StructType([*images.schema.fields, T.StructField("variant", T.StringType()), T.StructField("number", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 image = _pixels(row["pixels"], row["height"], row["width"], row["channels"])
                 found = make(image, int(row[seed_col])) if seed_col else make(image)
                 for number, (name, own) in enumerate(found.items()):
                     shape = {"pixels": own.transpose(1, 2, 0).astype(np.uint8).tobytes(), "height": own.shape[1], "width": own.shape[2], "channels": 3}
                     out.append(row | shape | {"variant": name, "number": number})
-            yield pd.DataFrame(out, columns=[*frame.columns, "variant", "number"])
+                    size += own[0].size
+                if size >= PIECE:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["variant string", "number int"])
-    return images.mapInPandas(run, schema)
+    return images.mapInArrow(run, schema)
 
 
 ORIENTATION = 0x0112

@@ -1,7 +1,7 @@
 """Registered queries: image planes and feature vectors.
 
-Images are made from seeds, sixteen of a class; pixel transforms have no SQL, so the tests hold
-them against plain numpy.  What is computed from the transforms' results has SQL.
+Images are the given rows' bytes as rasters: those of ``pages``, and of labelled ``documents`` where an ensemble is fitted.  Pixel
+transforms have no SQL: the tests hold them against plain numpy, image by image.
 """
 
 from __future__ import annotations
@@ -17,43 +17,72 @@ from glintframe.operators import planes as P
 from glintframe.operators import verdict as V
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
+from glintframe.sources.raster import raster
 from glintframe.tables import table
 
 reg = Registry()
-ROUND = "floor(({}) * 1e6 + 5e-1) / 1e6"
-SIDE, IMAGES = 64, 16
+SIDE = 64
+SMALL = M.Config(trees=10, tree_depth=4, boosts=5, boost_depth=3, waves=32, iterations=50)
 
 
-def images(spark: SparkSession) -> DataFrame:
-    return P.synthetic(spark, IMAGES, SIDE)
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """(id, pixels, height, width, channels): the bytes of each page."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("content"))
+    return spread(raster(pages, F.col("content")).drop("content"))
 
 
-def features(spark: SparkSession) -> DataFrame:
-    return P.extract(P.preprocess(images(spark), SIDE)).select("id", "label", "features")
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(id, y, generator, pixels, height, width, channels): the bytes of each labelled document, its quality and its source."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("generator"), F.col("text").cast("binary").alias("content"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
+    return spread(raster(docs.join(labels, "id"), F.col("content")).drop("content"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores at least: an image costs far more work than its bytes cost to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and reread, so that what is built on it computes it once."""
+    into = workspace(df.sparkSession, name)
+    df.write.parquet(into)
+    return df.sparkSession.read.parquet(into)
+
+
+@reg("""WITH p AS (SELECT page_id AS id, encode(coalesce(html, '')) AS b FROM pages),
+w AS (SELECT id, b, greatest(8, ceil(sqrt(octet_length(b) / 3e0)))::INT AS width FROM p),
+h AS (SELECT id, b, width, greatest(8, ceil(octet_length(b) / (width * 3e0)))::INT AS height FROM w)
+SELECT id, height, width, sha256(b || repeat('\x00'::BLOB, (3 * width * height - octet_length(b))::INT)) AS sha256 FROM h""")
+def raster_images(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's bytes as an image: no byte is left out."""
+    return images(spark, d).select("id", "height", "width", F.sha2("pixels", 256).alias("sha256"))
 
 
 @reg()
 def synthetic_images(spark: SparkSession, d: str) -> DataFrame:
-    return images(spark).select("id", "label", "height", "width", F.sha2("pixels", 256).alias("sha256"))
+    """An image from each page's number as its seed."""
+    made = P.synthetic(table(spark, d, "pages").select(F.col("page_id").alias("id")), SIDE)
+    return made.select("id", "label", "height", "width", F.sha2("pixels", 256).alias("sha256"))
 
 
 @reg()
 def preprocessed_planes(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda c: F.aggregate(c, lit(0.0), lambda s, x: s + x) / F.size(c)
-    planes = P.preprocess(images(spark), 48)
-    return planes.select("id", "height", "width", *[mean(c).alias(c) for c in ("y", "gray", "red", "green", "blue")])
+    """Mean of each plane, letterboxed to 48 pixels."""
+    return P.measured(images(spark, d), ["means"], 48).select("id", "height", "width", "plane__means.*")
 
 
 @reg()
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark)
+    return P.extract(images(spark, d), SIDE).select("id", "features")
 
 
 @reg()
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """One row for each feature and image, by name."""
     names = F.array(*[F.lit(n) for n in P.feature_columns()])
-    return features(spark).select("id", "label", F.inline(F.arrays_zip(names.alias("name"), F.col("features").alias("value"))))
+    return P.extract(images(spark, d), SIDE).select("id", F.inline(F.arrays_zip(names.alias("name"), F.col("features").alias("value"))))
 
 
 @reg("SELECT vec_id, '64,8,db4,3,24,18' AS signature FROM embeddings WHERE vec_id % 3 <> 0")
@@ -71,8 +100,8 @@ def feature_cache_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 def varied(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = P.variants(images(spark), kind, "id" if kind == "augmented" else None)
-        return rows.select("id", "label", "variant", "number", "height", "width", F.sha2("pixels", 256).alias("sha256"))
+        rows = P.variants(images(spark, d), kind, "id" if kind == "augmented" else None)
+        return rows.select("id", "variant", "number", "height", "width", F.sha2("pixels", 256).alias("sha256"))
 
     query.__name__ = f"{kind}_variants"
     return query
@@ -83,52 +112,45 @@ tta_variants, demo_variants, benchmark_variants, augmented_variants = (reg()(var
 
 @reg()
 def training_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that an ensemble is fitted to: each image and its degraded form."""
-    both = P.variants(images(spark), "augmented", "id")
-    return P.extract(P.preprocess(both, SIDE)).select("id", "label", "variant", "features")
+    """The rows that an ensemble is fitted to: each labelled image and its degraded form."""
+    return P.extract(labelled(spark, d), SIDE, "augmented", "id").select("id", F.col("y").alias("label"), "variant", "features")
 
 
 @reg()
 def image_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     """Images from pixels to out-of-fold scores."""
-    into = workspace(spark, "vectors")
-    features(spark).write.parquet(into)
-    rows = spark.read.parquet(into).withColumnRenamed("label", "y")
-    config = M.Config(trees=10, tree_depth=4, boosts=5, boost_depth=3, waves=32, iterations=50)
-    return rounded(M.out_of_fold(rows, config, k=2).select("id", "y", "fold", "p"), "p")
+    rows = stored(P.extract(labelled(spark, d), SIDE).select("id", "y", "features"), "vectors")
+    return rounded(M.out_of_fold(rows, SMALL, k=2).select("id", "y", "fold", "p"), "p")
 
 
 @reg()
 def tta_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Each image's five variants scored by an ensemble fitted to the images, and their mean."""
-    into = workspace(spark, "vectors")
-    features(spark).write.parquet(into)
-    config = M.Config(trees=10, tree_depth=4, boosts=5, boost_depth=3, waves=32, iterations=50)
-    ensemble = M.fit(spark.read.parquet(into), config, label="label")
-    varied_rows = P.extract(P.preprocess(P.variants(images(spark), "tta"), SIDE)).withColumnRenamed("number", "variant_number")
-    scored = ensemble.members(varied_rows).select("id", F.col("variant_number").alias("variant"), "members").withColumn("raw", M.average(F.col("members")))
+    """Each labelled image's five variants scored by an ensemble fitted to the images, and their mean.  The first variant is the image itself."""
+    rows = stored(P.extract(labelled(spark, d), SIDE, "tta").select("id", "y", "number", "features"), "vectors")
+    ensemble = M.fit(rows.where("number = 0"), SMALL)
+    scored = ensemble.members(rows).select("id", F.col("number").alias("variant"), "members").withColumn("raw", M.average(F.col("members")))
     return rounded(V.tta_average(scored).select("id", "variants", "p"), "p")
 
 
 @reg()
 def perceptual_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return P.preprocess(images(spark), SIDE).select("id", P.perceptual_hash(F.col("gray")).alias("hash"))
+    return P.perceptual_hash(images(spark, d), "hash", SIDE).select("id", "hash")
 
 
 @reg()
 def tile_saliency(spark: SparkSession, d: str) -> DataFrame:
     """Slopes of each image's tiles, and how far they are from the natural one and from the image's mean."""
-    slopes = P.tile_slopes(P.preprocess(images(spark), SIDE), "id")
+    slopes = P.tile_slopes(images(spark, d), "id", SIDE)
     return N.saliency(slopes, "id").select("id", "tile", "saliency", "inconsistency", "score")
 
 
 @reg()
 def arbitration(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.preprocess(images(spark), SIDE).withColumn("p", (F.col("id") % 10) / lit(10.0))
-    return A.arbitrate(rows).select("id", "p", "flags", "suspicious")
+    rows = images(spark, d).withColumn("p", (F.col("id") % 10) / lit(10.0))
+    return A.arbitrate(rows, side=SIDE).select("id", "p", "flags", "suspicious")
 
 
 @reg()
 def upright_images(spark: SparkSession, d: str) -> DataFrame:
-    rows = images(spark).withColumn("orientation", (F.col("id") % 8 + 1).cast("int"))
+    rows = images(spark, d).withColumn("orientation", (F.col("id") % 8 + 1).cast("int"))
     return P.upright(rows).select("id", "orientation", "height", "width", F.sha2("pixels", 256).alias("sha256"))
