@@ -80,16 +80,21 @@ def _delete_all() -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Fewer rows at a time in readers' and Python's batches: whole texts, some of them very long, then take little memory."""
-    before = {key: spark.conf.get(key) for key in SMALL_BATCHES}
-    for key, value in SMALL_BATCHES.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed inside, and as they were after; ones that weren't set at all are unset."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def small_batches(spark: SparkSession):
+    """Fewer rows at a time in readers' and Python's batches: whole texts, some of them very long, then take little memory."""
+    return settings(spark, SMALL_BATCHES)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

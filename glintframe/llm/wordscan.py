@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Bytes of a word that the array hash takes; longer words are hashed one by one.
 LONGEST = 256
 #: Bytes that are scanned at a time.
-SCAN = 1 << 20
+SCAN = 1 << 18
 _odd = np.random.default_rng(97).integers(0, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERM, BASE = _odd[:256], _odd[256]
 POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONGEST, BASE)]))
