@@ -339,13 +339,14 @@ class Trained:
         return scored.withColumn("members", F.when(ok, F.col("members"))).drop("ml__safe")
 
 
-def train(df: DataFrame, config: Config | None = None, key: str = "id", vector: str = "features", label: str = "y", by: str = "generator", method: str = "isotonic", k: int = 5) -> Trained:
-    """The whole run: out-of-fold scores, the meta-learner and the calibrator on these, the final ensemble on all rows, each generator held out once."""
+def train(df: DataFrame, config: Config | None = None, key: str = "id", vector: str = "features", label: str = "y", by: str | None = "generator", method: str = "isotonic", k: int = 5) -> Trained:
+    """The whole run: out-of-fold scores, the meta-learner and the calibrator on these, the final ensemble on all rows, each generator (``by``, if any) held out once."""
     oof = out_of_fold(df, config, key, vector, label, k).persist()
     meta = fit_meta(oof, label)
     raw = oof.withColumn("raw", F.coalesce(meta.score(F.col("members")), F.col("p")))
     calibrator = calibrate(raw, "raw", label, method, key)
-    return Trained(fit(df, config, vector, label), meta, calibrator, fold_metrics(oof.withColumn("y", F.col(label))), leave_one_out(df, config, by, vector, label))
+    holdouts = df.sparkSession.createDataFrame([], "generator string, n long, accuracy double, roc_auc double") if by is None else leave_one_out(df, config, by, vector, label)
+    return Trained(fit(df, config, vector, label), meta, calibrator, fold_metrics(oof.withColumn("y", F.col(label))), holdouts)
 
 
 def save(trained: Trained, spark: SparkSession, path: str) -> None:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from glintframe.functions import codecs
 from glintframe.functions import signal as S
 from glintframe.functions.numeric import clip, finite, fold, let, lit, ratio, total
 
@@ -572,15 +573,24 @@ def perceptual_hash(df: DataFrame, name: str = "hash", side: int = SIDE) -> Data
     return found.withColumn(name, bits).drop("plane__hash")
 
 
+def tile_figures(t: Column) -> Column:
+    """Of the tiles of one image an array of (slope, flatness); 2 and 0 where a tile has too few radial bins for a fit."""
+    few = F.size(F.filter(t["centres"], lambda x: x > 2.0)) < 4
+    tiles = F.arrays_zip(t["profiles"].alias("p"), t["mean_log"].alias("a"), t["mean_power"].alias("b"))
+
+    def figures(z: Column) -> Column:
+        points = F.filter(F.arrays_zip(t["centres"].alias("x"), z["p"].alias("y")), lambda q: q["x"] > 2.0)
+        logs = F.transform(points, lambda q: F.struct(F.log(q["x"]).alias("x"), F.log(q["y"] + S.EPS).alias("y")))
+        slope = F.when(few, lit(2.0)).otherwise(let(logs, line)["slope"])
+        return F.struct(slope.alias("slope"), F.when(few, lit(0.0)).otherwise(F.exp(z["a"]) / (z["b"] + S.EPS)).alias("flatness"))
+
+    return F.transform(tiles, figures)
+
+
 def tile_slopes(df: DataFrame, key: str, side: int = SIDE) -> DataFrame:
-    """(key, tile, slope, flatness) of the tiles of each plane; 2 and 0 where a tile has too few radial bins for a fit."""
-    parts = measured(df, ["tiles"], side).select(key, F.col("plane__tiles").alias("t"))
-    long = parts.select(key, F.col("t.centres").alias("r"), F.posexplode(F.arrays_zip(F.col("t.profiles").alias("p"), F.col("t.mean_log").alias("a"), F.col("t.mean_power").alias("b"))).alias("tile", "z"))
-    points = F.filter(F.arrays_zip(F.col("r").alias("x"), F.col("z.p").alias("y")), lambda q: q["x"] > 2.0)
-    logs = F.transform(points, lambda q: F.struct(F.log(q["x"]).alias("x"), F.log(q["y"] + S.EPS).alias("y")))
-    few = F.size(F.filter("r", lambda x: x > 2.0)) < 4
-    slope = F.when(few, lit(2.0)).otherwise(let(logs, line)["slope"])
-    return long.select(key, "tile", slope.alias("slope"), F.when(few, lit(0.0)).otherwise(F.exp("z.a") / (F.col("z.b") + S.EPS)).alias("flatness"))
+    """(key, tile, slope, flatness) of the tiles of each plane."""
+    parts = measured(df, ["tiles"], side).select(key, tile_figures(F.col("plane__tiles")).alias("t"))
+    return parts.select(key, F.posexplode("t").alias("tile", "z")).select(key, "tile", "z.slope", "z.flatness")
 
 
 def signature(side: int = SIDE, block: int = BLOCK, wavelet: str = "db4", levels: int = LEVELS, radial: int = RADIAL, sectors: int = SECTORS) -> str:
@@ -763,10 +773,25 @@ def variants(images: DataFrame, kind: str, seed_col: str | None = None) -> DataF
     return images.mapInArrow(run, schema)
 
 
+def as_files(images: DataFrame, key: str) -> DataFrame:
+    """(key, png, bmp): each image in both containers."""
+    schema = T.StructType([images.schema[key], T.StructField("png", T.BinaryType()), T.StructField("bmp", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shaped = [_pixels(*x).transpose(1, 2, 0).astype(np.uint8) for x in zip(*[batch.column(c).to_pylist() for c in ("pixels", "height", "width", "channels")])]
+            for first in range(0, len(shaped), 256):
+                own = shaped[first : first + 256]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, 256), pa.array(map(codecs.encode, own), pa.binary()), pa.array(map(codecs.encode_bmp, own), pa.binary())], schema=arrow)
+
+    return images.mapInArrow(run, schema)
+
+
 ORIENTATION = 0x0112
 
 
-def _turn(content: bytes | None) -> int:
+def turn_of(content: bytes | None) -> int:
     """The orientation (1 to 8) that a file's metadata gives; 1 where it gives none."""
     content = content or b""
     base = content.find(b"Exif\0\0") + 6
@@ -782,26 +807,30 @@ def _turn(content: bytes | None) -> int:
     return 1
 
 
+def turned(image: np.ndarray, way: int) -> np.ndarray:
+    """An image (rows, columns, samples) mirrored and turned as its orientation (1 to 8) says."""
+    if way in (2, 5, 7):
+        image = image[:, ::-1]
+    if way == 4:
+        image = image[::-1]
+    return np.rot90(image, {3: 2, 5: 3, 6: 3, 7: 1, 8: 1}.get(way, 0))
+
+
 @pandas_udf(T.IntegerType())
 def orientation(content: pd.Series) -> pd.Series:
-    return content.map(_turn)
+    return content.map(turn_of)
 
 
 def upright(images: DataFrame, turn: str = "orientation") -> DataFrame:
     """Images turned and mirrored once as their orientation says; afterwards it is 1."""
-    fields = images.schema.fields
+    arrow = to_arrow_schema(images.schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                image, way = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], row["channels"]), row[turn] or 1
-                if way in (2, 5, 7):
-                    image = image[:, ::-1]
-                if way == 4:
-                    image = image[::-1]
-                image = np.rot90(image, {3: 2, 5: 3, 6: 3, 7: 1, 8: 1}.get(way, 0))
-                out.append(row | {"pixels": image.tobytes(), "height": image.shape[0], "width": image.shape[1], turn: 1})
-            yield pd.DataFrame(out, columns=list(frame.columns))
-
-    return images.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                image = turned(np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], row["channels"]), row[turn] or 1)
+                row |= {"pixels": image.tobytes(), "height": image.shape[0], "width": image.shape[1], turn: 1}
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return images.mapInArrow(run, images.schema)

@@ -6,7 +6,7 @@ transforms have no SQL: the tests hold them against plain numpy, image by image.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import lit
@@ -15,8 +15,11 @@ from glintframe.operators import models as M
 from glintframe.operators import narrative as N
 from glintframe.operators import planes as P
 from glintframe.operators import verdict as V
+from glintframe.operators.analysis import analyze
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
+from glintframe.sources.contents import images as load_images
+from glintframe.sources.contents import write_contents
 from glintframe.sources.raster import raster
 from glintframe.tables import table
 
@@ -154,3 +157,52 @@ def arbitration(spark: SparkSession, d: str) -> DataFrame:
 def upright_images(spark: SparkSession, d: str) -> DataFrame:
     rows = images(spark, d).withColumn("orientation", (F.col("id") % 8 + 1).cast("int"))
     return P.upright(rows).select("id", "orientation", "height", "width", F.sha2("pixels", 256).alias("sha256"))
+
+
+#: Bytes beyond which the files of the queries are refused.
+MOST = 1_000_000
+#: What becomes of a page's file, by the last digit of its number: three kinds that can't be read, one that is too large, one without an image's name.
+FILE_SQL = f"""p AS (SELECT page_id, page_id % 10 AS k, encode(coalesce(html, '')) AS b FROM pages),
+w AS (SELECT *, greatest(8, ceil(sqrt(octet_length(b) / 3e0)))::INT AS width FROM p),
+h AS (SELECT *, greatest(8, ceil(octet_length(b) / (width * 3e0)))::INT AS height FROM w),
+f AS (SELECT page_id, CASE WHEN k = 9 THEN 'x' || page_id || '.BMP' ELSE 'deep/x' || page_id || '.png' END AS name, k, width, height,
+  CASE k WHEN 3 THEN 'empty file' WHEN 4 THEN 'no decoder for webp' WHEN 5 THEN 'a png chunk is broken' WHEN 6 THEN 'file is too large' WHEN 7 THEN 'no image that can be decoded' END AS reason,
+  sha256(b || repeat('\x00'::BLOB, (3 * width * height - octet_length(b))::INT)) AS sha256 FROM h WHERE k <> 8)"""
+
+
+def page_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each page: mostly good images, a BMP, and files that can't be used."""
+    into = workspace(spark, "files")
+    P.as_files(images(spark, d), "id").write.parquet(f"{into}/rows")
+    digit, i = F.col("id") % 10, F.col("id").cast("string")
+    rows = spark.read.parquet(f"{into}/rows")
+    content = (
+        F.when(digit == 3, F.lit(b"")).when(digit == 4, F.lit(b"RIFF\0\0\0\0WEBPVP8 ")).when(digit == 5, F.substring("png", 1, 50))
+        .when(digit == 6, F.rpad("png", F.lit(MOST + 1), F.lit(b"\0"))).when(digit == 7, F.lit(b"no image")).when(digit == 9, F.col("bmp")).otherwise(F.col("png"))
+    )
+    name = F.when(digit == 8, F.concat(F.lit("x"), i, F.lit(".txt"))).when(digit == 9, F.concat(F.lit("x"), i, F.lit(".BMP"))).otherwise(F.concat(F.lit("deep/x"), i, F.lit(".png")))
+    write_contents(rows.select(name.alias("path"), content.alias("content")), f"{into}/files")
+    return f"{into}/files"
+
+
+def page_number() -> Column:
+    return F.regexp_extract("path", "x([0-9]+)[.][A-Za-z]+$", 1).cast("long")
+
+
+@reg(f"""WITH {FILE_SQL} SELECT page_id AS id, name, CASE WHEN reason IS NULL THEN height END AS height, CASE WHEN reason IS NULL THEN width END AS width,
+CASE WHEN reason IS NULL THEN sha256 END AS sha256, reason FROM f""")
+def loaded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as image files, good and bad, and read again: pixels or the reason."""
+    found = load_images(spark, page_files(spark, d), most=str(MOST))
+    name = F.regexp_extract("path", "/files/(.*)$", 1)
+    return found.select(page_number().alias("id"), name.alias("name"), "height", "width", F.sha2("pixels", 256).alias("sha256"), "reason")
+
+
+@reg()
+def analyzed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of pages, from bytes to verdicts, by an ensemble trained on the images of labelled documents."""
+    rows = stored(P.extract(labelled(spark, d), SIDE).select("id", "y", "features"), "vectors")
+    trained = M.train(rows, SMALL, by=None, k=2)
+    files = load_images(spark, page_files(spark, d), most=str(MOST), content="true")
+    keep = lambda df: stored(df, "described")
+    return analyze(files.withColumn("id", page_number()).drop("path"), trained, "id", SIDE, probe=6, told=3, stored=keep)
