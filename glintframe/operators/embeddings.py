@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from glintframe.functions.numeric import lit, ratio, squared_distance
+from glintframe.operators import scan
 
 #: About as many queries are searched at a time; blocks are searched one after the other.
 QUERY_BLOCK = 10_000
@@ -194,8 +195,9 @@ def compare_models(meta: DataFrame, key: str) -> DataFrame:
 
 
 def versions(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Each row's version, counted from 1 in ``order`` within its key."""
-    return df.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    """Each row's version, counted from 1 in ``order`` within its key; rows that tie by a hash of all their columns."""
+    found = scan.ranked(df, [key], F.col(order), F.xxhash64(*df.columns), "version")
+    return found.withColumn("version", F.col("version").cast("int"))
 
 
 def relabel(df: DataFrame, updates: DataFrame, id_col: str, column: str) -> DataFrame:

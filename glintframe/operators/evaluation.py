@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import clip, lit, ratio
+from glintframe.operators import scan
+from glintframe.session import stored
 
 #: Metric -> (more is better, allowed change for the worse).
 DRIFT = {"accuracy": (True, 0.02), "f1": (True, 0.02), "roc_auc": (True, 0.01), "ece": (False, 0.05), "fpr_at_threshold": (False, 0.01)}
@@ -262,11 +264,11 @@ def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], parts
 
 
 def roc_auc_by(df: DataFrame, key: str) -> DataFrame:
-    """AUC of each key; 0.5 where a class is missing.  Distinct scores of a key are ranked together: round scores where keys are few and rows are many."""
+    """AUC of each key; 0.5 where a class is missing.  The distinct scores of a key are summed in pieces of bounded size."""
     counts = df.groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias(key), "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    own = Window.partitionBy(key)
-    below = F.coalesce(F.sum("neg").over(own.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.select(key, "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    counts = stored(counts, "score-counts")
+    upto = scan.carried(counts, [key], F.col("p"), F.col("p"), {"upto": F.col("neg")})
+    wins = upto.select(key, "pos", "neg", (F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("wins"))
     return wins.groupBy(key).agg(ratio(F.sum("wins"), F.sum("pos") * F.sum("neg"), 0.5).alias("roc_auc"))
 
 

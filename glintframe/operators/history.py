@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import lit, ratio
+from glintframe.operators import scan
 
 #: Fixed values.
 RECENT_MOST, SOURCE_MOST, SAMPLE_MOST, SAMPLE_DROP, TREND_ROWS, FEED_ROWS, PAGE_ROWS = 1000, 512, 2000, 1000, 60, 12, 23
@@ -100,8 +101,9 @@ def with_style(df: DataFrame, styles: DataFrame, key: str, fallback: str) -> Dat
 
 
 def pages(df: DataFrame, order: str, by: str, rows: int = PAGE_ROWS) -> DataFrame:
-    """The page of each row when a report of ``by`` shows ``rows`` to a page."""
-    return df.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / rows))
+    """The page of each row when a report of ``by`` shows ``rows`` to a page; rows that tie by a hash of all their columns."""
+    name = scan.fresh(df, "page__place")
+    return scan.ranked(df, [by], F.col(order), F.xxhash64(*df.columns), name).withColumn("page", F.floor((F.col(name) - 1) / rows)).drop(name)
 
 
 def job_progress(df: DataFrame, by: str, failed: Column) -> DataFrame:

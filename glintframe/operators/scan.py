@@ -30,8 +30,18 @@ def same(left: list[Column], right: list[Column]) -> Column:
     return both
 
 
+def number(df: DataFrame, order: Column) -> Column:
+    """``order`` as a number that grows with it; null comes first."""
+    kind = df.select(order).schema[0].dataType.typeName()
+    if kind == "date":
+        order = F.unix_date(order)
+    elif kind == "timestamp_ntz":  # a day may have no such hour in the session's zone
+        order = F.unix_date(order.cast("date")) * 86_400 + F.hour(order) * 3600 + F.minute(order) * 60 + F.extract(F.lit("SECOND"), order)
+    return F.coalesce(order.cast("double"), F.lit(float("-inf")))
+
+
 def cut(df: DataFrame, keys: list[str], order: Column, tie: Column, piece: str, most: int = PIECE_ROWS) -> DataFrame:
-    """``df`` with ``piece``: within a key rows of a piece come before those of the next, by ``order`` (a number, null first), ties by a hash of ``tie``.
+    """``df`` with ``piece``: within a key rows of a piece come before those of the next, by ``order`` (a number, date or time, null first), ties by a hash of ``tie``.
 
     Keys of up to ``most`` rows are one piece.  Large keys are few (at most ``MOST_PIECES``, for which ``most`` grows with the table), so are
     their cuts: both tables are broadcast within that bound.  A value of ``order`` that many rows share is cut by the hash.
@@ -39,7 +49,7 @@ def cut(df: DataFrame, keys: list[str], order: Column, tie: Column, piece: str,
     sizes = df.groupBy(*[F.col(k).alias(f"cut__{k}") for k in keys]).agg(F.count("*").alias("cut__n"))
     total = df.count()
     most = max(most, -(-total // MOST_PIECES))
-    value = F.coalesce(order.cast("double"), F.lit(float("-inf")))
+    value = number(df, order)
     names = [F.col(f"cut__{k}") for k in keys]
     large = F.broadcast(sizes.where(F.col("cut__n") > most))  # at most MOST_PIECES rows
     here = same([F.col(k) for k in keys], names)
@@ -65,7 +75,7 @@ def carried(df: DataFrame, keys: list[str], order: Column, tie: Column, sums: di
     """``df`` with, for each of ``sums``, the sum over the rows of its key up to and including this one (``descending``: from this one on)."""
     piece, own_key = fresh(df, "scan__piece"), "scan__own"
     rows = cut(df, keys, order, tie, piece, most)
-    value = F.coalesce(order.cast("double"), F.lit(float("-inf")))
+    value = number(df, order)
     totals = rows.groupBy(*[F.col(k).alias(f"{own_key}_{k}") for k in keys], F.col(piece).alias(f"{own_key}_piece")).agg(*[F.sum(c).alias(f"scan__{name}") for name, c in sums.items()])
     own = [f"{own_key}_{k}" for k in keys]
     by = Window.partitionBy(*own).orderBy(F.desc(f"{own_key}_piece") if descending else F.asc(f"{own_key}_piece"))  # a row for each piece of a key
@@ -96,7 +106,7 @@ def moving_average(df: DataFrame, keys: list[str], order: Column, tie: Column, v
     rows = cut(df.withColumn(fresh(df, "scan__x"), value.cast("double")), keys, order, tie, piece, most)
     x = fresh(df, "scan__x")
     keep = F.lit(1.0 - share)
-    by_order = [c.desc() for c in (F.coalesce(order.cast("double"), F.lit(float("-inf"))), place(tie), tie)]
+    by_order = [c.desc() for c in (number(df, order), place(tie), tie)]
     later = F.row_number().over(Window.partitionBy(*keys, piece).orderBy(*by_order)) - 1
     maps = rows.withColumn("scan__later", later).groupBy(*keys, piece).agg(
         F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(F.lit(share) * F.pow(keep, F.col("scan__later")) * F.col(x)).alias("scan__moved")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintframe.functions.numeric import clip, lit
+from glintframe.operators import scan
 
 #: Fixed values.
 EMA_NEW, EMA_START = 0.1, 0.5
@@ -63,16 +64,12 @@ def quality(df: DataFrame) -> DataFrame:
 def user_accuracy(df: DataFrame, user: str, order: str, hit: Column) -> DataFrame:
     """Moving accuracy of each user, and counters.
 
-    The average after n labels is 0.5 * 0.9^n + sum of 0.1 * 0.9^(n - i) * hit_i, so a label's
-    share depends on how many of its user's come after it: ranks, then a plain sum, no list of a user's labels.
+    Labels of one user at the same ``order`` count in the order of their hits' hashes.  A user's labels are cut into pieces of bounded size,
+    each one affine map of the average.
     """
-    from pyspark.sql import Window
-
-    later = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(order))) - 1
-    rows = df.select(F.col(user).alias("user"), hit.cast("int").alias("hit"), later.alias("later"))
-    decay = lit(1.0 - EMA_NEW)
-    sums = rows.groupBy("user").agg(F.count("*").alias("labels"), F.sum("hit").cast("long").alias("hits"), F.sum(lit(EMA_NEW) * F.pow(decay, F.col("later")) * F.col("hit")).alias("moved"))
-    return sums.select("user", "labels", "hits", (F.col("moved") + lit(EMA_START) * F.pow(decay, F.col("labels"))).alias("accuracy"))
+    rows = df.select(F.col(user).alias("user"), F.col(order).alias("order"), hit.cast("int").alias("hit"))
+    moved = scan.moving_average(rows, ["user"], F.col("order"), F.col("hit"), F.col("hit"), EMA_NEW, EMA_START)
+    return moved.select("user", F.col("n").alias("labels"), F.col("total").cast("long").alias("hits"), F.col("average").alias("accuracy"))
 
 
 def leaderboard(users: DataFrame, least: int = 10, n: int = 10) -> DataFrame:

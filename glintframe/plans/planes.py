@@ -17,7 +17,7 @@ from glintframe.operators import planes as P
 from glintframe.operators import verdict as V
 from glintframe.operators.analysis import analyze
 from glintframe.plans.registry import Registry, rounded
-from glintframe.session import workspace
+from glintframe.session import stored, workspace
 from glintframe.sources.contents import images as load_images
 from glintframe.sources.contents import write_contents
 from glintframe.sources.raster import raster
@@ -47,13 +47,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written in the shared folder and reread, so that what is built on it computes it once."""
-    into = workspace(df.sparkSession, name)
-    df.write.parquet(into)
-    return df.sparkSession.read.parquet(into)
-
-
 @reg("""WITH p AS (SELECT page_id AS id, encode(coalesce(html, '')) AS b FROM pages),
 w AS (SELECT id, b, greatest(8, ceil(sqrt(octet_length(b) / 3e0)))::INT AS width FROM p),
 h AS (SELECT id, b, width, greatest(8, ceil(octet_length(b) / (width * 3e0)))::INT AS height FROM w)

@@ -153,19 +153,14 @@ def live_figures(spark: SparkSession, d: str) -> DataFrame:
 @reg(f"""SELECT user_id, {ROUND.format("list_reduce(list_prepend(5e-1::DOUBLE, list(CASE WHEN value > 5e1 THEN 1e0 ELSE 0e0 END ORDER BY event_id)), lambda a, x: 1e-1 * x + 9e-1 * a)")} AS accuracy,
 count(*) AS n FROM events GROUP BY user_id""")
 def user_accuracy_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The moving accuracy of each user, kept as state while events arrive in three parts."""
-    arrived, into = workspace(spark, "hits"), workspace(spark, "accuracy")
+    """The moving accuracy of each user, kept from batch to batch while events arrive in three parts, one after the other."""
+    arrived, into, checkpoint = (workspace(spark, name) for name in ("hits", "accuracy", "checkpoint"))
     rows = table(spark, d, "events").select("user_id", "event_id", (F.col("value") > 50).cast("int").alias("hit"))
-    rows.orderBy("event_id").coalesce(1).write.option("maxRecordsPerFile", max(1, rows.count() // 3 + 1)).parquet(arrived)
-    stream = jobs.arrivals(spark, arrived, rows.schema, 1)
-    changed = jobs.user_accuracy(stream, "user_id", "event_id", "hit")
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{into}/batch={number}")
-
-    changed.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", workspace(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(into).groupBy("user_id").agg(F.max_by("accuracy", "n").alias("accuracy"), F.max("n").alias("n"))
-    return rounded(last, "accuracy")
+    cuts = rows.agg(F.percentile_approx("event_id", [1 / 3, 2 / 3])).first()[0]
+    for part in (F.col("event_id") <= cuts[0], (F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1]), F.col("event_id") > cuts[1]):
+        rows.where(part).write.mode("append").parquet(arrived)
+        jobs.moving_averages(jobs.arrivals(spark, arrived, rows.schema), into, checkpoint, "user_id", "event_id", "hit").awaitTermination()
+    return rounded(jobs.last_batch(spark, into), "accuracy")
 
 
 @reg("SELECT event_type AS stamp, round(avg(value), 3) AS accuracy, count(*) AS n FROM events GROUP BY 1 ORDER BY stamp DESC LIMIT 3")

@@ -7,14 +7,15 @@ checkpoint it goes on with what has come since.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glintframe.operators import scan
+
 #: Files that a job takes; seconds between two looks at it, and until it is given up.
 JOB_FILES, POLL_SECONDS, POLL_TIMEOUT = 64, 0.7, 300.0
 
@@ -81,19 +82,32 @@ def latest(spark: SparkSession, into: str) -> DataFrame:
     return all_rows.where(F.col("refresh") == newest).drop("refresh")
 
 
-def user_accuracy(stream: DataFrame, user: str, order: str, hit: str, share: float = 0.1, start: float = 0.5) -> DataFrame:
-    """Per batch and user: the moving accuracy after the batch's rows in ``order``, and how many rows there were so far.
+def batch_before(spark: SparkSession, into: str, number: int) -> DataFrame | None:
+    """What the batch before ``number`` left in ``into``; None for the first."""
+    return spark.read.parquet(f"{into}/batch={number - 1:09d}") if number else None
+
+
+def moving_averages(stream: DataFrame, into: str, checkpoint: str, user: str, order: str, hit: str, share: float = 0.1, start: float = 0.5) -> StreamingQuery:
+    """Per user the moving accuracy after each batch's rows in ``order``, and how many rows there were so far; after batch n ``into``/batch=n has all users.
 
-    The state of a user is two numbers; it never expires.
+    A batch's rows of a user are one affine map, made of maps of pieces of bounded size: no task has a user's rows. The state is the table that the
+    batch before left; a batch that is done again reads and writes the same tables.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value, n = state.get if state.exists else (start, 0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        for one in rows[hit]:
-            value, n = share * float(one) + (1 - share) * value, n + 1
-        state.update((value, n))
-        yield pd.DataFrame({user: [key[0]], "accuracy": [value], "n": [n]})
+    def step(batch: DataFrame, number: int) -> None:
+        maps = scan.moving_average(batch, [user], F.col(order), F.col(hit), F.col(hit), share, 0.0).select(user, F.col("n").alias("new"), F.col("average").alias("moved"))
+        before = batch_before(batch.sparkSession, into, number)
+        if before is None:
+            before = batch.sparkSession.createDataFrame([], f"{user} {batch.schema[user].dataType.simpleString()}, accuracy double, n long")
+        both = maps.join(before.withColumnRenamed(user, "before__user"), F.col(user).eqNullSafe(F.col("before__user")), "full")
+        old, new = F.coalesce("n", F.lit(0)), F.coalesce("new", F.lit(0))
+        value = F.coalesce("moved", F.lit(0.0)) + F.pow(F.lit(1.0 - share), new) * F.coalesce("accuracy", F.lit(start))
+        both.select(F.coalesce(user, "before__user").alias(user), value.alias("accuracy"), (old + new).alias("n")).write.mode("overwrite").parquet(f"{into}/batch={number:09d}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    kind = stream.schema[user].dataType.simpleString()
-    return stream.groupBy(user).applyInPandasWithState(step, f"{user} {kind}, accuracy double, n long", "accuracy double, n long", "update", "NoTimeout")
+def last_batch(spark: SparkSession, into: str) -> DataFrame:
+    """The table that the last batch left."""
+    every = spark.read.parquet(into)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
