@@ -10,7 +10,10 @@ from glintframe.operators import embeddings as B
 from glintframe.operators import weak as W
 from glintframe.plans.evaluation import r6
 from glintframe.plans.registry import Registry, rounded
-from glintframe.session import with_checkpoints
+from glintframe.session import with_checkpoints, workspace
+from glintframe.sources.snapshots import Snapshots
+from glintframe.streaming import centroids as C
+from glintframe.streaming import jobs
 from glintframe.tables import SCORED_SQL, scored, table
 
 reg = Registry()
@@ -205,3 +208,32 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 @reg(f'WITH {EMA_SQL} SELECT "user", labels FROM a ORDER BY labels DESC, "user" LIMIT 10')
 def top_contributors(spark: SparkSession, d: str) -> DataFrame:
     return W.contributors(users(spark, d)).select("user", "labels")
+
+
+@reg(f"""WITH {CENTRE_SQL}, n AS (SELECT label, count(*) AS n FROM e GROUP BY 1) SELECT cluster, n, {r6('c[1]')} AS first, {r6('list_sum(c)')} AS total FROM c JOIN n ON cluster = label""")
+def centroid_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Centroids kept as state while vectors arrive in three parts, the first ids last, some of them twice."""
+    arrived, root, at = (workspace(spark, name) for name in ("vectors", "centroids", "checkpoint"))
+    v = vectors(spark, d).select("vec_id", "label", "embedding")
+    part = F.col("vec_id") % 3
+    for own in (v.where(part == 2), v.where(part == 1), v.where((part == 0) | (F.col("vec_id") % 5 == 1))):
+        own.write.mode("append").parquet(arrived)
+        C.keep(jobs.arrivals(spark, arrived, v.schema), root, at, "vec_id", "label", "embedding").awaitTermination()
+    c = C.read(C.store(spark, root, v.schema["label"].dataType.simpleString()))
+    total = F.aggregate("centroid", lit(0.0), lambda s, x: s + x)
+    return c.select("cluster", "n", round6(F.col("centroid")[0]).alias("first"), round6(total).alias("total"))
+
+
+@reg("""SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 99 ELSE label END AS label, (CASE WHEN vec_id % 10 = 0 THEN 2 WHEN vec_id % 4 = 0 THEN 3 ELSE 1 END)::BIGINT AS version
+FROM embeddings WHERE vec_id % 7 <> 3""")
+def store_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A store that lasts: rows put, some put again twice at once, some relabelled, some taken out."""
+    v = vectors(spark, d).select("vec_id", "label")
+    kind = v.schema["label"].dataType.simpleString()
+    store = Snapshots(spark, workspace(spark, "store"), ["vec_id"], f"vec_id {v.schema['vec_id'].dataType.simpleString()}, label {kind}", 16)
+    again = v.where("vec_id % 4 = 0 and vec_id % 10 <> 0")
+    store.upsert(v)
+    store.upsert(again.unionByName(again))
+    store.upsert(v.where("vec_id % 10 = 0").withColumn("label", F.lit(99).cast(kind)))
+    store.delete(v.where("vec_id % 7 = 3"))
+    return store.read()
