@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from glintframe.functions.numeric import lit, ratio, squared_distance
-from glintframe.operators import scan
+from glintframe.operators import radius, scan
 
 #: About as many queries are searched at a time; blocks are searched one after the other.
 QUERY_BLOCK = 10_000
 #: Rows that are compared with a block of queries at once, at most.
 CHUNK = 4096
-#: Rows of a cell and ring that one task of the radius join compares with others.
-CELL_ROWS = 4096
 #: Fixed value: the rows of a discovered cluster that get its label.
 REPRESENTATIVES = 5
 
@@ -110,41 +108,29 @@ def cluster_health(df: DataFrame, by: str = "label", vector: str = "embedding")
     }).drop("mean_distance")
 
 
-def within(df: DataFrame, epsilon: float, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 32) -> DataFrame:
-    """Pairs (a, b) of different rows within ``epsilon``; exact.
-
-    Rows belong to the cell of the nearest of ``pivots`` rows and, in it, to a ring ``epsilon`` wide.  By the triangle
-    inequality a row can have others in reach only in cells whose pivot is at most 2 ``epsilon`` further than its own,
-    and there in the rings beside its own distance.  Large rings are dealt out over salts.
-    """
-    chosen = df.orderBy(F.xxhash64(id_col), id_col).limit(pivots).select(F.col(vector).alias("pivot"))  # ``pivots`` rows
-    centres = F.broadcast(chosen.agg(F.collect_list("pivot").alias("pivots")))
-    reach = F.transform("pivots", lambda p, i: F.struct(F.sqrt(squared_distance(F.col(vector), p)).alias("far"), i.alias("cell")))
-    rows = df.crossJoin(centres).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.array_sort(reach).alias("reach"))  # one row
-    ring = lambda far: F.floor(far / epsilon).cast("long")
-    own = rows.select("id", "v", F.col("reach")[0]["cell"].alias("cell"), ring(F.col("reach")[0]["far"]).alias("ring"))
-    sizes = own.groupBy("cell", "ring").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("salts"))
-    right = own.join(sizes, ["cell", "ring"]).select(F.col("id").alias("b"), F.col("v").alias("right"), "cell", "ring", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
-    near = F.filter("reach", lambda c: c["far"] <= F.col("reach")[0]["far"] + 2 * epsilon + 1e-9)
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("left"), F.explode(near).alias("c"))
-    left = left.select("a", "left", F.col("c.cell").alias("cell"), F.explode(F.array(*[ring(F.col("c.far")) + k for k in (-1, 0, 1)])).alias("ring"))
-    left = left.join(sizes, ["cell", "ring"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    close = squared_distance(F.col("left"), F.col("right")) < epsilon * epsilon
-    return left.join(right, ["cell", "ring", "salt"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
+def within(df: DataFrame, epsilon: float, id_col: str = "vec_id", vector: str = "embedding", pivots: int = radius.PIVOTS) -> DataFrame:
+    """Pairs (a, b) of different rows closer than ``epsilon``; exact.  Where counts are enough ``core_points`` makes no pairs."""
+    return radius.pairs(*radius.rings(df, id_col, vector, pivots), epsilon)
 
 
 def core_points(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows with at least ``least`` rows within ``epsilon``, themselves included."""
-    near = within(df, epsilon, id_col, vector).groupBy("a").agg((F.count("*") + 1).alias("neighbours"))
-    return near.where(F.col("neighbours") >= least).select(F.col("a").alias(id_col), "neighbours")
+    near = radius.counts(*radius.rings(df, id_col, vector), epsilon).withColumn("near", F.col("near") + 1)
+    if least <= 1:
+        alone = df.select(F.col(id_col).cast("long").alias("id"), F.lit(1).cast("long").alias("near"))
+        near = near.unionByName(alone).groupBy("id").agg(F.max("near").alias("near"))
+    return near.where(F.col("near") >= least).select(F.col("id").alias(id_col), F.col("near").alias("neighbours"))
 
 
 def unknown_clusters(df: DataFrame, epsilon: float, least: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(seed, member): in id order, each unvisited row with ``least`` unvisited rows in reach takes these as a cluster.
 
+    Rows are counted first; neighbours are fetched only for rows that have ``least``, as no other can ever be a seed.
     A round settles every row whose earlier rivals within two steps are settled: the result is that of the loop.
     """
-    near = within(df, epsilon, id_col, vector).checkpoint()
+    blocks, centres = radius.rings(df, id_col, vector)
+    able = radius.counts(blocks, centres, epsilon).where(F.col("near") + 1 >= least).select("id").checkpoint()
+    near = radius.pairs(blocks, centres, epsilon, able).checkpoint()
     free = df.select(F.col(id_col).alias("id")).checkpoint()
     found = None
     while True:

@@ -23,10 +23,13 @@ class Conflict(RuntimeError):
 
 
 class Snapshots:
-    """A table of rows with a unique ``key`` (one column or several) and ``version``, how often the row has been put."""
+    """A table of rows with a unique ``key`` (one column or several) and ``version``, how often the row has been put.
 
-    def __init__(self, spark: SparkSession, root: str, key: list[str], schema: str | StructType, buckets: int = 64) -> None:
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+    ``bucket_by``: columns of the key that decide the bucket, where rows are looked up by these.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str], schema: str | StructType, buckets: int = 64, bucket_by: list[str] | None = None) -> None:
+        self.spark, self.root, self.key, self.buckets, self.by = spark, root.rstrip("/"), key, buckets, bucket_by or key
         self.schema = spark.createDataFrame([], schema).schema
         self.jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -83,8 +86,14 @@ class Snapshots:
         """The rows of the newest version, or of one that is named."""
         return self._rows(sorted(set(self.manifest(version)["folders"].values())))
 
+    def touched(self, rows: DataFrame) -> DataFrame:
+        """The rows of the buckets that ``rows`` (with the columns that buckets are made by) fall in; other files aren't opened."""
+        folders = self.manifest()["folders"]
+        wanted = {str(r[0]) for r in rows.select(self._bucket()).distinct().collect()}  # as many as there are buckets at most
+        return self._rows(sorted({f for b, f in folders.items() if b in wanted}))
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def upsert(self, rows: DataFrame, order: Column | None = None) -> int:
         """Puts ``rows``; of several with one key the last by ``order`` stays, and each counts in its version.  Returns the new version."""

@@ -35,6 +35,7 @@ def test_near_duplicates_as_a_loop_drops_them(spark, sf):
             kept.append((i, h))
     found = {r.vec_id for r in manifest_plans.near_dup_greedy(spark, sf).collect()}
     assert found == {i for i, _ in kept} and len(found) < len(hashes)
+    assert {r.vec_id for r in manifest_plans.near_dup_arrivals(spark, sf).collect()} == found
 
 
 def test_near_duplicate_chain(spark):

@@ -98,3 +98,30 @@ def test_centroids_of_three_arrivals(spark, tmp_path):
             own = np.array([vectors[i][1] for i in seen if vectors[i][0] == label])
             assert found[label].n == len(own) and np.allclose(found[label].centroid, own.mean(axis=0))
         assert len(found) == len({vectors[i][0] for i in seen})
+
+
+def test_an_index_of_hashes_keeps_first(spark, tmp_path):
+    """Arrivals one by one give what one pass over all of them gives; only touched buckets are opened."""
+    from glintframe.session import with_checkpoints
+    from glintframe.sources.hash_index import HashIndex
+
+    with_checkpoints(spark)
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 60)]
+    hashes = []
+    for i in range(400):
+        h = base[int(rng.integers(0, 60))]
+        for b in rng.choice(64, int(rng.integers(0, 8)), replace=False):
+            h ^= 1 << int(b)
+        hashes.append((i, (h + 2**63) % 2**64 - 2**63))
+    kept: list[tuple[int, int]] = []
+    for i, h in hashes:
+        if all(bin((h ^ own) & (2**64 - 1)).count("1") > 4 for _, own in kept):
+            kept.append((i, h))
+    index = HashIndex(spark, f"file://{tmp_path}/index", buckets=512)
+    for first, last in ((0, 150), (150, 151), (151, 400)):
+        index.add(spark.createDataFrame([*hashes[first:last], (None, 5), (900 + first, None)], "name long, h long"), "name", "h")
+    assert sorted(map(tuple, index.rows().collect())) == kept
+    one = spark.createDataFrame(hashes[:1], "id long, hash long")
+    assert len(index.table.touched(one.select("id", "hash", F.explode(F.array(*[F.struct(F.lit(0).alias("place"), F.lit(3).cast("long").alias("bits"))])).alias("s")).select("s.*")).inputFiles()) <= 5
+    assert {r.kept for r in index.near(one).collect()} >= {0}
