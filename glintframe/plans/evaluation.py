@@ -9,6 +9,7 @@ from glintframe.functions.numeric import lit, round6
 from glintframe.operators import evaluation as E
 from glintframe.operators import verdict as V
 from glintframe.plans.registry import Registry, rounded
+from glintframe.streaming.watch import with_peak_memory
 from glintframe.tables import SCORED_SQL, scored, table
 
 reg = Registry()
@@ -266,6 +267,14 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.evaluation_report(df, 0.05, table(spark, d, "events").select("value")), "value")
 
 
+@reg()
+def report_with_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The same report, and the memory that the executors needed at most until it was made."""
+    df = scored(spark, d).withColumns({"width": F.col("size"), "height": F.lit(1200)})
+    report = rounded(E.evaluation_report(df, 0.05, table(spark, d, "events").select("value")), "value")
+    return with_peak_memory(report)
+
+
 SHARP = "CASE WHEN p <= 0 OR p >= 1 THEN p ELSE 1e0 / (1e0 + exp(-ln(p / (1e0 - p)) / 15e-1)) END"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from glintframe.operators import manifest as M
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
 from glintframe.sources import files, stores
-from glintframe.streaming import jobs
+from glintframe.streaming import jobs, watch
 from glintframe.tables import table
 
 reg = Registry()
@@ -163,6 +165,39 @@ def user_accuracy_stream(spark: SparkSession, d: str) -> DataFrame:
     return rounded(jobs.last_batch(spark, into), "accuracy")
 
 
+@reg("""WITH n AS (SELECT count(*) AS n, count(*) - ceil(greatest(count(*) - 2000, 0) / 1e3)::BIGINT * 1000 AS k FROM events),
+b AS (SELECT value FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= (SELECT k FROM n)), s AS (SELECT list(value ORDER BY value) AS v, count(*) AS k FROM b)
+SELECT n AS total, s.k AS n, v[(s.k // 2 + 1)::INT] AS p50, v[(least(s.k - 1, floor(s.k * 95e-2)) + 1)::INT] AS p95, v[(least(s.k - 1, floor(s.k * 99e-2)) + 1)::INT] AS p99 FROM n, s""")
+def live_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Latencies arrive in three parts; a buffer that drops its oldest gives the figures after each."""
+    arrived, into, checkpoint = (workspace(spark, name) for name in ("latencies", "samples", "checkpoint"))
+    rows = table(spark, d, "events").select("event_id", "value")
+    cuts = rows.agg(F.percentile_approx("event_id", [0.2, 0.7])).first()[0]
+    for part in (F.col("event_id") <= cuts[0], (F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1]), F.col("event_id") > cuts[1]):
+        rows.where(part).write.mode("append").parquet(arrived)
+        jobs.sample_figures(jobs.arrivals(spark, arrived, rows.schema), into, checkpoint, "event_id", "value").awaitTermination()
+    return jobs.last_batch(spark, f"{into}/figures")
+
+
+@reg(f"""WITH {JOB_SQL}, k AS (SELECT count(*) AS n, sum((status = 'error')::INT)::BIGINT AS failed FROM r) SELECT n AS total, failed AS total_failed FROM k""")
+def job_progress_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a listener wrote while the files of all jobs were judged: rows done and failed so far, of its last row."""
+    arrived, into, told = workspace(spark, "arrived"), workspace(spark, "judged"), workspace(spark, "progress")
+    job_files(spark, d).repartition(4).write.parquet(arrived)
+    rows = job_outcomes(jobs.arrivals(spark, arrived, spark.read.parquet(arrived).schema, 2))
+    listener = watch.Progress(spark, told)
+    spark.streams.addListener(listener)
+    try:
+        query = jobs.run_job(watch.counted(rows, F.col("status") == "error"), into, workspace(spark, "checkpoint"))
+        query.awaitTermination()
+        until = time.monotonic() + 60
+        while str(query.id) not in listener.ended and time.monotonic() < until:
+            time.sleep(0.1)  # the listener hears of the end a little later
+    finally:
+        spark.streams.removeListener(listener)
+    return watch.progress_rows(spark, told).agg(F.max("total").alias("total"), F.max("total_failed").alias("total_failed"))
+
+
 @reg("SELECT event_type AS stamp, round(avg(value), 3) AS accuracy, count(*) AS n FROM events GROUP BY 1 ORDER BY stamp DESC LIMIT 3")
 def report_history(spark: SparkSession, d: str) -> DataFrame:
     """Reports appended one by one; a broken entry is left out, the newest three are kept."""

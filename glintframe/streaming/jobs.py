@@ -111,3 +111,41 @@ def last_batch(spark: SparkSession, into: str) -> DataFrame:
     """The table that the last batch left."""
     every = spark.read.parquet(into)
     return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+#: Rows that a buffer of samples holds at most, and the oldest ones that go when it is over.
+BUFFER_MOST, BUFFER_DROP = 2000, 1000
+
+
+def buffered(n: Column) -> Column:
+    """How many of ``n`` arrivals the buffer holds."""
+    over = F.greatest(F.lit(0), F.ceil((n - BUFFER_MOST) / BUFFER_DROP)) * BUFFER_DROP
+    return n - over
+
+
+def nearest_ranks(values: Column, shares: dict[str, float]) -> list[Column]:
+    """Of a sorted array the value at place floor(n * share), the last one at most; 0 of an empty one."""
+    n = F.size(values)
+    return [F.coalesce(F.get(values, F.least(n - 1, F.floor(n * F.lit(share))).cast("int")), F.lit(0.0)).alias(name) for name, share in shares.items()]
+
+
+def sample_figures(stream: DataFrame, into: str, checkpoint: str, order: str, value: str) -> StreamingQuery:
+    """A buffer of the newest arrivals (batch after batch, in ``order`` within one) and its nearest-rank figures after each batch.
+
+    ``into``/buffer has the buffer of each batch, ``into``/figures a row (total, n, p50, p95, p99).  Of a batch only as many rows
+    as the buffer can hold are sorted out, as a distributed top-N; a batch that is done again writes the same.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = batch_before(spark, f"{into}/buffer", number)
+        total = (spark.read.parquet(f"{into}/figures/batch={number - 1:09d}").first().total if number else 0) + batch.count()
+        keep = spark.range(1).select(buffered(F.lit(total)).cast("long")).first()[0]
+        rows = batch.select(F.lit(number).cast("long").alias("arrival"), F.col(order).alias("place"), F.col(value).cast("double").alias("value"))
+        rows = rows if held is None else rows.unionByName(held)
+        rows.orderBy(F.desc("arrival"), F.desc("place")).limit(keep).write.mode("overwrite").parquet(f"{into}/buffer/batch={number:09d}")
+        kept = spark.read.parquet(f"{into}/buffer/batch={number:09d}").agg(F.sort_array(F.collect_list("value")).alias("values"))  # BUFFER_MOST rows
+        figures = kept.select(F.lit(total).cast("long").alias("total"), F.size("values").cast("long").alias("n"), *nearest_ranks(F.col("values"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
+        figures.write.mode("overwrite").parquet(f"{into}/figures/batch={number:09d}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

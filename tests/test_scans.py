@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,48 @@ def test_streamed_averages_go_on(spark, tmp_path):
         found = {r.user: (r.accuracy, r.n) for r in jobs.last_batch(spark, into).collect()}
         assert {u: n for u, (_, n) in found.items()} == seen and all(found[u][0] == pytest.approx(value[u]) for u in value)
     assert jobs.batch_before(spark, into, 0) is None and jobs.batch_before(spark, into, 3).count() == len(seen)
+
+
+def test_a_buffer_that_drops_its_oldest(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    folder, into, at = (f"{tmp_path}/{n}" for n in ("in", "out", "at"))
+    buffer, place, figures = [], 0, []
+    for size in (1500, 1, 700, 4000, 3):
+        values = [float(x) for x in rng.integers(0, 1000, size)]
+        spark.createDataFrame([(place + i, v) for i, v in enumerate(values)], "at long, ms double").repartition(4).write.mode("append").parquet(folder)
+        place += size
+        for v in values:
+            buffer.append(v)
+            if len(buffer) > 2000:
+                del buffer[:1000]
+        own, n = sorted(buffer), len(buffer)
+        figures.append((place, n, own[n // 2], own[min(n - 1, int(n * 0.95))], own[min(n - 1, int(n * 0.99))]))
+        jobs.sample_figures(jobs.arrivals(spark, folder, "at long, ms double"), into, at, "at", "ms").awaitTermination()
+        assert tuple(jobs.last_batch(spark, f"{into}/figures").select("total", "n", "p50", "p95", "p99").first()) == figures[-1]
+    assert spark.read.parquet(f"{into}/figures").count() == len(figures)
+
+
+def test_progress_and_memory_from_spark(spark, tmp_path):
+    from glintframe.streaming import watch
+
+    folder, into, told, at = (f"{tmp_path}/{n}" for n in ("in", "out", "told", "at"))
+    for part in range(3):
+        spark.createDataFrame([(part * 10 + i, "x" * (400 if i == 1 else 5)) for i in range(10)], "id long, text string").coalesce(1).write.mode("append").parquet(folder)
+    listener = watch.Progress(spark, told)
+    spark.streams.addListener(listener)
+    stream = jobs.outcomes(jobs.arrivals(spark, folder, "id long, text string", 1), F.when(F.length("text") > 300, "too long"), {"size": F.length("text")})
+    query = jobs.run_job(watch.counted(stream, F.col("status") == "error"), into, at)
+    assert jobs.poll(query)
+    for _ in range(100):
+        if str(query.id) in listener.ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    rows = [(r.batch, r.rows, r.failed, r.total, r.total_failed) for r in watch.progress_rows(spark, told).orderBy("batch").collect()]
+    assert rows == [(b, 10, 1, 10 * (b + 1), b + 1) for b in range(3)]
+    assert set(watch.tasks_done(spark)) == {"done", "failed", "all"}
+    peaks = watch.peak_memory(spark)
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2**20
+    assert peaks and all(0 < e["heap_mb"] <= heap and e["total_mb"] >= e["heap_mb"] for e in peaks)
+    report = watch.with_peak_memory(spark.createDataFrame([("overall", "", "n", 3.0)], "part string, key string, metric string, value double"))
+    assert report.count() == 2 and watch.memory_gate(report, 1e6).first().ok and not watch.memory_gate(report, 1).first().ok
