@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import time
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from glintframe.functions.numeric import lit
 from glintframe.operators import manifest as M
 from glintframe.plans.registry import Registry, rounded
 from glintframe.session import workspace
-from glintframe.sources import files, stores
+from glintframe.sources import archives, files, stores
+from glintframe.sources.contents import write_contents
 from glintframe.streaming import jobs, watch
 from glintframe.tables import table
 
@@ -198,6 +202,32 @@ def job_progress_rows(spark: SparkSession, d: str) -> DataFrame:
     return watch.progress_rows(spark, told).agg(F.max("total").alias("total"), F.max("total_failed").alias("total_failed"))
 
 
+def zipped(key: tuple, table_: pa.Table) -> pa.Table:
+    """Pages as one archive; one in twenty is broken in it."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        rows = sorted(table_.select(["page_id", "html"]).to_pylist(), key=lambda r: r["page_id"])
+        for r in rows:
+            archive.writestr(zipfile.ZipInfo(f"deep/{r['page_id']}.html"), r["html"] or "", zipfile.ZIP_STORED if r["page_id"] % 2 else zipfile.ZIP_DEFLATED)
+        broken = [i for i, r in zip(archive.infolist(), rows) if r["page_id"] % 20 == 1 and i.file_size]
+    data = bytearray(out.getvalue())
+    for i in broken:
+        data[i.header_offset + 30 + len(i.filename)] ^= 255
+    return pa.table({"path": [f"part-{key[0].as_py()}.zip"], "content": pa.array([bytes(data)], pa.binary())})
+
+
+@reg("""SELECT page_id AS id, 'part-' || (page_id // 40) || '.zip' AS archive, CASE WHEN page_id % 20 <> 1 THEN sha256(coalesce(html, '')) END AS sha256,
+CASE WHEN page_id % 20 = 1 THEN 'broken: checksum' END AS reason FROM pages""")
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """Pages packed into archives of forty, and their members read again in groups, good ones and broken ones."""
+    into = workspace(spark, "archives")
+    rows = table(spark, d, "pages").select("page_id", "html", F.floor(F.col("page_id") / 40).cast("long").alias("part"))
+    write_contents(rows.groupBy("part").applyInArrow(zipped, "path string, content binary"), into)  # forty pages a group
+    found = archives.members(spark, into, split="20000")
+    number = F.regexp_extract("name", "([0-9]+)[.]html$", 1).cast("long")
+    return found.select(number.alias("id"), F.element_at(F.split("archive", "/"), -1).alias("archive"), F.sha2("content", 256).alias("sha256"), "reason")
+
+
 @reg("SELECT event_type AS stamp, round(avg(value), 3) AS accuracy, count(*) AS n FROM events GROUP BY 1 ORDER BY stamp DESC LIMIT 3")
 def report_history(spark: SparkSession, d: str) -> DataFrame:
     """Reports appended one by one; a broken entry is left out, the newest three are kept."""

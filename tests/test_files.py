@@ -187,3 +187,39 @@ def test_queries(spark, sf):
     good = [r for r in rows if r.error is None]
     assert all(0 <= r.p <= 1 and r.narrative and len(r.evidence) == 3 for r in good)
     assert plans.loaded_images(spark, sf).where(F.col("reason").isNull()).count() == len(good)
+
+
+def test_members_of_archives(spark, tmp_path):
+    import zipfile
+
+    from glintframe.sources import archives
+
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    rng = np.random.default_rng(0)
+    want = {}
+    for k in range(2):
+        with zipfile.ZipFile(folder / f"{k}.ZIP", "w") as archive:
+            for i in range(300):
+                data = rng.integers(0, 4, int(rng.integers(0, 400)), np.uint8).tobytes()
+                archive.writestr(f"d/{i}.bin", data, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+                want[f"{k}.ZIP", f"d/{i}.bin"] = data
+            archive.writestr("../out.bin", b"x")
+            archive.writestr("slow.bin", b"y" * 100, zipfile.ZIP_BZIP2)
+    data = bytearray((folder / "0.ZIP").read_bytes())
+    with zipfile.ZipFile(folder / "0.ZIP") as archive:
+        info = archive.getinfo("d/7.bin")
+    data[info.header_offset + 36 + 3] ^= 85
+    (folder / "0.ZIP").write_bytes(data)
+    (folder / "bad.zip").write_bytes(b"nothing")
+    df = archives.members(spark, str(folder), split="5000")
+    assert df.rdd.getNumPartitions() > 8
+    rows = {(r.archive.rsplit("/", 1)[1], r.name): r for r in df.collect()}
+    assert rows.pop(("bad.zip", None)).reason.startswith("not a zip")
+    assert rows["0.ZIP", "d/7.bin"].reason.startswith("broken") and rows.pop(("0.ZIP", "d/7.bin")).content is None and want.pop(("0.ZIP", "d/7.bin")) is not None
+    for k in range(2):
+        assert rows.pop((f"{k}.ZIP", "../out.bin")).reason.startswith("a name outside") and rows.pop((f"{k}.ZIP", "slow.bin")).reason == "packing method 12"
+    assert {k: bytes(r.content) for k, r in rows.items()} == want and all(r.reason is None for r in rows.values())
+    pins = spark.createDataFrame([("1.ZIP", hashlib.sha256((folder / "1.ZIP").read_bytes()).hexdigest().upper()), ("0.ZIP", "0" * 64)], "file string, sha256 string")
+    state = {(r.archive.rsplit("/", 1)[1], r.reason): r.n for r in archives.members(spark, str(folder), pins).groupBy("archive", "reason").agg(F.count("*").alias("n")).collect()}
+    assert state["0.ZIP", "the archive's checksum is another"] == 302 and state["1.ZIP", None] == 300
