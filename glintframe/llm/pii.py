@@ -81,7 +81,7 @@ def _letter(value: Column, like: Column) -> Column:
     return F.chr(value + F.when(like.rlike("^[0-9]$"), 48).when(like.rlike("^[a-z]$"), 97).otherwise(65))
 
 
-def feistel(values: Column, moduli: Column, tweak: Column, key: str) -> Column:
+def feistel(values: Column, moduli: Column, tweak: Column, key: Column) -> Column:
     """A keyed permutation of all ``values`` (ints) below ``moduli``; ``tweak`` tells formats apart."""
     half = F.floor(F.size(values) / 2).cast("int")
     rest = F.size(values) - half
@@ -91,7 +91,7 @@ def feistel(values: Column, moduli: Column, tweak: Column, key: str) -> Column:
 
     def turn(state: Column, number: Column) -> Column:
         said = F.concat_ws(",", F.transform(state["b"], lambda v: v.cast("string")))
-        stream = F.sha2(F.concat_ws("|", F.lit(key), tweak, number.cast("string"), said), 512)
+        stream = F.sha2(F.concat_ws("|", key, tweak, number.cast("string"), said), 512)
 
         def shifted(v: Column, i: Column) -> Column:
             more = F.conv(F.substr(stream, i % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int")
@@ -102,7 +102,7 @@ def feistel(values: Column, moduli: Column, tweak: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
 
-def _permute_marks(text: Column, kind: str, key: str) -> Column:
+def _permute_marks(text: Column, kind: str, key: Column) -> Column:
     """``text`` with its letters and digits permuted and all else in place."""
     chars = _chars(text)
     marks = F.filter(chars, lambda c: _value(c).isNotNull())
@@ -147,7 +147,7 @@ def _refill(text: Column, digits: Column) -> Column:
     return _with(chars, places, _chars(digits), lambda v, c: v)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     digits = _digits(m)
     payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
     new = _permute_marks(payload, "card", key)
@@ -161,7 +161,7 @@ def _mod97(text: Column) -> Column:
     )
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     flat = F.regexp_replace(m, " ", "")
     land, account = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5))
     valid = _mod97(F.concat(account, F.substr(flat, F.lit(1), F.lit(4)))) == 1
@@ -177,7 +177,7 @@ def _ssn_valid(digits: Column) -> Column:
     return ~digits.rlike("^(?:000|666|9)|^[0-9]{3}00|0000$")
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     digits = _digits(m)
     walked = F.aggregate(
         F.sequence(F.lit(1), F.lit(WALKS)), _permute_marks(digits, "ssn", key), lambda s, _: F.when(_ssn_valid(s), s).otherwise(_permute_marks(s, "ssn", key))
@@ -185,23 +185,23 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(_ssn_valid(digits), _refill(m, walked))
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
     new = feistel(octets, F.array_repeat(F.lit(256), 4), F.lit("ip"), key)
     return F.when(F.forall(octets, lambda o: o < 256), F.array_join(F.transform(new, lambda o: o.cast("string")), "."))
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Column) -> Column:
     country = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)?(.*)$", 1)
     return F.concat(country, _permute_marks(F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)?(.*)$", 2), "phone", key))
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Column) -> Column:
     parts = F.split(m, "@")
     return F.concat_ws("@", _permute_marks(parts[0], "email", key), parts[1])
 
 
-def _secret(m: Column, key: str) -> Column:
+def _secret(m: Column, key: Column) -> Column:
     value = F.regexp_extract(m, "([0-9A-Fa-f]+)$", 1)
     hexes = F.transform(_chars(value), lambda c: F.conv(c, 16, 10).cast("int"))
     new = feistel(hexes, F.transform(hexes, lambda v: F.lit(16)), F.concat_ws(":", F.lit("secret"), F.size(hexes).cast("string")), key)
@@ -210,7 +210,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(lead, F.when(value == F.upper(value), text).otherwise(F.lower(text)))
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     iso = m.rlike("^[0-9]{4}-")
     part = F.transform(F.split(m, "[-/.]"), lambda p: p.cast("int"))
     sep = F.when(m.contains("/"), "/").otherwise(".")
@@ -247,7 +247,7 @@ def _date(m: Column, key: str) -> Column:
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
 
 
-def _pseudonym(m: Column, key: str) -> Column:
+def _pseudonym(m: Column, key: Column) -> Column:
     """(kind, text) of a match; kind null and the match itself where it isn't valid."""
     out = None
     for kind, pattern in KINDS.items():
@@ -264,16 +264,18 @@ def _pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str) -> DataFrame:
     """``docs`` with the text's personal data replaced, and ``pii`` (kind -> count) of what was.
 
-    key: the secret under which values are permuted; with it they can be turned back.
+    key: the secret under which values are permuted; with it they can be turned back.  It is the value of a one-row table, so plans, logs and
+    Spark's UI show a column's name, never the key.
     """
     text = F.col(text_col)
     kept = docs.drop("pii")
-    (found,) = fresh(kept, "pii__found")
+    found, secret = fresh(kept, "pii__found", "pii__key")
+    kept = kept.crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(key,)], f"{secret} string")))  # one row
     matches = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    staged = kept.withColumn(found, F.transform(matches, lambda m: _pseudonym(m, key)))
+    staged = kept.withColumn(found, F.transform(matches, lambda m: _pseudonym(m, F.col(secret))))
     between = F.split(text, ANY, -1)
     joined = F.zip_with(between, found, lambda gap, s: F.concat(gap, F.coalesce(s["text"], F.lit(""))))
     staged = staged.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text))
     kinds = F.filter(F.transform(found, lambda s: s["kind"]), lambda k: k.isNotNull())
     count = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    return staged.withColumn("pii", F.coalesce(count, F.create_map().cast("map<string,int>"))).drop(found)
+    return staged.withColumn("pii", F.coalesce(count, F.create_map().cast("map<string,int>"))).drop(found, secret)

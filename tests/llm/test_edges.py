@@ -128,3 +128,9 @@ def test_packing_of_a_hot_length(spark):
     placed = packing.pack(cut)
     bins = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top"), F.count("*").alias("k"), F.countDistinct("offset").alias("places"))
     assert placed.count() == 5000 and bins.where("n > 2048 or n <> top or k <> places").count() == 0
+
+
+def test_pii_key_is_in_no_plan(spark, docs):
+    found = pii.pseudonymise(docs, key="a-very-secret-key")
+    said = found._jdf.queryExecution().toString() + found._jdf.queryExecution().executedPlan().treeString()
+    assert "a-very-secret-key" not in said and found.columns.count("pii") == 1 and "pii__key" not in found.columns
