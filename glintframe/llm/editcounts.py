@@ -2,9 +2,9 @@
 
 A text is cut into segments at places that are pre-token boundaries whatever stands before them: a
 space or line feed that a visible character follows.  No merge of the tokenizer crosses such a
-place, so counts of segments add up.  A tree keeps their characters and tokens, a node the sum
-of the two below.  An edit finds its segments by descending the tree; only they are encoded again, with
-the one before where the edit touches its boundary, and the sums on their paths are renewed.
+place, so counts of segments add up.  A balanced tree keeps their characters and tokens, a node the sum
+of those below.  An edit finds its segments by descending the tree; only they are encoded again, with
+the one before where the edit touches its boundary.  They are split off and others joined in, and the sums on these paths are renewed.
 
 Defined cases: a null text is empty and has no segment; a text without a boundary is one segment, encoded whole at each edit; an
 edit outside the text is moved to its end, one with null fields changes nothing; edits apply in the order of their array,
@@ -38,55 +38,105 @@ def segments(text: str) -> list[str]:
     return out
 
 
+class _Node:
+    __slots__ = ("left", "right", "own_chars", "own_tokens", "chars", "tokens", "size")
+
+    def __init__(self, chars: int, tokens: int, left: _Node | None = None, right: _Node | None = None) -> None:
+        self.own_chars, self.own_tokens, self.left, self.right = chars, tokens, left, right
+        self.sum()
+
+    def sum(self) -> None:
+        """Renews the sums from the two below."""
+        a, b = self.left, self.right
+        self.chars = self.own_chars + (a.chars if a else 0) + (b.chars if b else 0)
+        self.tokens = self.own_tokens + (a.tokens if a else 0) + (b.tokens if b else 0)
+        self.size = 1 + (a.size if a else 0) + (b.size if b else 0)
+
+
 class CountTree:
-    """Sums of characters and tokens over segments; node i has the children 2i and 2i + 1, leaves come last."""
+    """Sums of characters and tokens over segments: a balanced tree with a segment in each node.
+
+    Segments are replaced by splitting the tree at two places and joining three; which of two trees gives the root is drawn by their sizes, so
+    paths stay as short as the logarithm of the number of segments, however many come or go. ``touched`` counts the nodes visited.
+    """
 
     def __init__(self, chars: list[int], tokens: list[int]) -> None:
-        self.leaves = len(chars)
-        self.width = 1 << max(0, self.leaves - 1).bit_length()
-        self.chars = [0] * self.width + chars + [0] * (self.width - self.leaves)
-        self.tokens = [0] * self.width + tokens + [0] * (self.width - self.leaves)
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
+        self.touched, self.drawn = 0, 1
+        self.root = self._build(list(zip(chars, tokens)), 0, len(chars))
 
-    def _sum(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    def _build(self, parts: list[tuple[int, int]], first: int, last: int) -> _Node | None:
+        if first >= last:
+            return None
+        middle = (first + last) // 2
+        return _Node(*parts[middle], self._build(parts, first, middle), self._build(parts, middle + 1, last))
+
+    @property
+    def leaves(self) -> int:
+        return self.root.size if self.root else 0
 
     @property
     def total(self) -> int:
-        return self.tokens[1] if self.leaves else 0
-
-    def find(self, at: int) -> tuple[int, int]:
-        """The segment that holds character ``at`` (the last one beyond the end) and where it begins."""
-        i, left = 1, min(at, self.chars[1] - 1)
-        while i < self.width:
-            i *= 2
-            if left >= self.chars[i]:
-                left -= self.chars[i]
-                i += 1
-        return i - self.width, min(at, self.chars[1] - 1) - left
+        return self.root.tokens if self.root else 0
+
+    def find(self, at: int) -> tuple[int, int, int]:
+        """The segment that holds character ``at`` (the last one beyond the end), where it begins and how long it is."""
+        node, index, begin = self.root, 0, 0
+        at = min(at, node.chars - 1)
+        while True:
+            self.touched += 1
+            left = node.left
+            if left and at < begin + left.chars:
+                node = left
+                continue
+            index, begin = index + (left.size if left else 0), begin + (left.chars if left else 0)
+            if at < begin + node.own_chars or not node.right:
+                return index, begin, node.own_chars
+            index, begin, node = index + 1, begin + node.own_chars, node.right
+
+    def _split(self, node: _Node | None, n: int) -> tuple[_Node | None, _Node | None]:
+        """The first ``n`` segments of ``node``, and the others."""
+        if node is None:
+            return None, None
+        self.touched += 1
+        left = node.left.size if node.left else 0
+        if n <= left:
+            first, node.left = self._split(node.left, n)
+            node.sum()
+            return first, node
+        node.right, rest = self._split(node.right, n - left - 1)
+        node.sum()
+        return node, rest
+
+    def _join(self, a: _Node | None, b: _Node | None) -> _Node | None:
+        if a is None or b is None:
+            return a or b
+        self.touched += 1
+        self.drawn = (self.drawn * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)
+        if (self.drawn >> 33) % (a.size + b.size) < a.size:
+            a.right = self._join(a.right, b)
+            a.sum()
+            return a
+        b.left = self._join(a, b.left)
+        b.sum()
+        return b
 
     def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
-        """Segments first to last - 1 give way to others; sums change on their paths alone if there are as many."""
-        if len(chars) != last - first:
-            own = slice(self.width, self.width + self.leaves)
-            c, t = self.chars[own], self.tokens[own]
-            self.__init__(c[:first] + chars + c[last:], t[:first] + tokens + t[last:])
-            return
-        touched = set()
-        for i, (c, t) in enumerate(zip(chars, tokens), self.width + first):
-            self.chars[i], self.tokens[i] = c, t
-            touched.add(i // 2)
-        while touched:
-            for i in touched:
-                if i:
-                    self._sum(i)
-            touched = {i // 2 for i in touched if i > 1}
+        """Segments first to last - 1 give way to others; only the paths to both places change."""
+        before, rest = self._split(self.root, first)
+        _, after = self._split(rest, last - first)
+        self.root = self._join(self._join(before, self._build(list(zip(chars, tokens)), 0, len(chars))), after)
 
     def segment_counts(self) -> tuple[list[int], list[int]]:
-        own = slice(self.width, self.width + self.leaves)
-        return self.chars[own], self.tokens[own]
+        chars, tokens, path, node = [], [], [], self.root
+        while path or node:
+            while node:
+                path.append(node)
+                node = node.left
+            node = path.pop()
+            chars.append(node.own_chars)
+            tokens.append(node.own_tokens)
+            node = node.right
+        return chars, tokens
 
 
 def edit(text: str, tree: CountTree, start: int, length: int, insert: str, count) -> tuple[str, int]:
@@ -97,13 +147,12 @@ def edit(text: str, tree: CountTree, start: int, length: int, insert: str, count
     if not tree.leaves:
         first, last, at, upto = 0, 0, 0, 0
     else:
-        first, at = tree.find(start)
+        first, at, _ = tree.find(start)
         # The boundary holds as long as it and the character behind it stay.
         if start < at + 2 and first:
-            first, at = tree.find(at - 1)
-        final, begun = tree.find(end)
-        upto = begun + tree.chars[tree.width + final]
-        last = final + 1
+            first, at, _ = tree.find(at - 1)
+        final, begun, size = tree.find(end)
+        last, upto = final + 1, begun + size
     region = new[at : upto + len(new) - len(text)]
     parts = segments(region)
     tree.replace(first, last, [len(p) for p in parts], [count(p) for p in parts])
