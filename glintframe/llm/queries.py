@@ -85,12 +85,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *counts)
 
 
-#: Host rules by longest match, then token rules that block.
+#: Pages whose file is a number below this, divisible by three, are blocked by a rule each.
+URL_NUMBERS = 9000
+#: Host rules by longest match, then token rules that block, a line of a filter list for each of some thousand files, and lines that allow.
 URL_RULES = [
     *(urls.host_rule(name, urls.ALLOW) for name in ("org/", "com/fr/")),
     *(urls.host_rule(name, urls.BLOCK) for name in ("example.org/es/", "example.org/en/1", "com/de/")),
     *(urls.word_rule(*words) for words in (("casino",), ("free", "bets"), ("cheap", "pills"), ("spam", "farm"), ("ads", "track"), ("poker",), ("porn",), ("viagra",))),
-]
+    *(urls.filter_rule(f"/{k}.html|") for k in range(0, URL_NUMBERS, 3)),
+    urls.filter_rule("||tracker.example.*^"), urls.filter_rule("@@||example.net^*/66*.html|"), urls.filter_rule("utm_source=popup"),
+]
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +113,12 @@ rules(rule, verdict, rhost, rpath) AS (VALUES
 fit AS (
   SELECT h.page_id, h.url, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
   FROM h JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath) GROUP BY ALL)
-SELECT h.page_id, h.host, h.path, fit.rule, coalesce(fit.verdict, CASE WHEN regexp_matches(h.host || chr(10) || h.path || chr(10) || h.url,
-  '(^|[^A-Za-z0-9])(casino|free[-._/]bets|cheap[-._/]pills|spam[-._/]farm|ads[-._/]track|poker|porn|viagra)($|[^A-Za-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT h.page_id, h.host, h.path, fit.rule, coalesce(fit.verdict, CASE WHEN regexp_matches(h.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\.)?example\.net[^A-Za-z0-9_.%-].*/66[^\n]*\.html$') THEN 'allow'
+  WHEN regexp_matches(h.host || chr(10) || h.path || chr(10) || h.url,
+  '(^|[^A-Za-z0-9])(casino|free[-._/]bets|cheap[-._/]pills|spam[-._/]farm|ads[-._/]track|poker|porn|viagra)($|[^A-Za-z0-9])')
+  OR regexp_matches(h.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\.)?tracker\.example\.([^\n]*[^A-Za-z0-9_.%-]|[^\n]*$)') OR contains(h.url, 'utm_source=popup')
+  OR (try_cast(regexp_extract(h.url, '/([1-9][0-9]{0,3}|0)\.html$', 1) AS INT) < 9000 AND try_cast(regexp_extract(h.url, '/([1-9][0-9]{0,3}|0)\.html$', 1) AS INT) % 3 = 0)
+  THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fit ON h.page_id IS NOT DISTINCT FROM fit.page_id AND h.url = fit.url
 """
 
