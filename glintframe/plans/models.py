@@ -22,12 +22,12 @@ NAMES = ["fft_length", "fft_letters", "dct_digits", "dct_spaces", "noise_upper",
 
 
 def featured(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents with eight numbers that say what their text is made of: id, y, generator, features."""
+    """Labelled documents with eight numbers that say what their text is made of: id, y, generator (their language, of which there are a few), features."""
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
     share = lambda pattern: ratio(n - F.length(F.regexp_replace(text, pattern, "")), n)
     values = [F.log1p(n), share("[A-Za-z]"), share("[0-9]"), share(" "), share("[A-Z]"), share("[.,;:!?]"), ratio(n, F.size(F.split(text, " "))), share("\\n")]
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("generator"), F.array(*[finite(v.cast("double")) for v in values]).alias("features"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("generator"), F.array(*[finite(v.cast("double")) for v in values]).alias("features"))
     return table(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"), "generator", "features")
 
 
@@ -45,16 +45,15 @@ def cross_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @reg()
 def leave_one_generator_out(spark: SparkSession, d: str) -> DataFrame:
-    """Each of three generators held out once."""
-    some = featured(spark, d).withColumn("generator", F.concat(F.lit("g"), F.col("id") % 3))
-    return M.leave_one_out(some, SMALL)
+    """Each language held out once."""
+    return M.leave_one_out(featured(spark, d), SMALL)
 
 
 @reg()
 def trained_scores(spark: SparkSession, d: str) -> DataFrame:
     """A whole training run, saved, loaded, and used on a manifest with rows that can't be scored."""
     rows, into = featured(spark, d), workspace(spark, "model")
-    M.save(M.train(rows.withColumn("generator", F.concat(F.lit("g"), F.col("id") % 2)), SMALL, k=2), spark, into)
+    M.save(M.train(rows, SMALL, k=2), spark, into)
     manifest = rows.withColumn("features", F.when(F.col("id") % 10 > 0, F.col("features")))
     return M.load(spark, into).score(manifest).select("id", "y", "members", "p", "status", "error")
 
@@ -72,7 +71,7 @@ def cross_dataset_report(spark: SparkSession, d: str) -> DataFrame:
 def feature_contributions(spark: SparkSession, d: str) -> DataFrame:
     """What each feature adds to the score of a document: the score less that without it."""
     rows = featured(spark, d)
-    found = M.contributions(M.fit(rows, SMALL), rows.where("id % 10 = 0"), "id", probe=6, keep=3)
+    found = M.contributions(M.fit(rows, SMALL), rows, "id", probe=6, keep=3)
     return found.select("id", "feature", "value", "delta", "place")
 
 
@@ -101,8 +100,11 @@ def family_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 @reg()
 def family_heads(spark: SparkSession, d: str) -> DataFrame:
-    """Logistic heads of the four families, fitted by gradient steps."""
-    weights = M.family_weights(scored(spark, d).withColumn("family", (F.col("id") % 4).cast("int")), "p", "family", 4)
+    """Logistic heads of the first four languages as families, fitted by gradient steps."""
+    rows = scored(spark, d)
+    names = F.array(*[F.lit(r[0]) for r in rows.select("state").distinct().orderBy("state").limit(4).collect()])
+    family = (F.array_position(names, F.col("state")) - 1).cast("int")
+    weights = M.family_weights(rows.withColumn("family", family).where("family >= 0"), "p", "family", 4)
     return spark.createDataFrame([(n, *w) for n, w in enumerate(weights or [])], "family int, intercept double, slope double")
 
 
