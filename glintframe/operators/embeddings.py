@@ -95,7 +95,7 @@ def centroids(df: DataFrame, by: str = "label", vector: str = "embedding") -> Da
 def cluster_health(df: DataFrame, by: str = "label", vector: str = "embedding") -> DataFrame:
     """Per cluster: variance, cohesion, separation, silhouette and Davies-Bouldin ratio, recomputed over all members."""
     centre = centroids(df, by, vector)
-    joined = df.join(F.broadcast(centre), F.col(by) == F.col("cluster"))  # a row per cluster
+    joined = df.join(centre, F.col(by) == F.col("cluster"))  # broadcast where Spark finds the clusters few
     apart = squared_distance(F.col(vector), F.col("centroid"))
     inner = joined.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(apart).alias("variance"), F.avg(F.sqrt(apart)).alias("mean_distance"))
     cohesion = F.when(F.col("n") < 2, lit(1.0)).otherwise(lit(1.0) / (lit(1.0) + F.col("mean_distance")))

@@ -32,6 +32,7 @@ from glintframe.functions.numeric import clip, lit, logistic, total
 from glintframe.operators import evaluation as E
 from glintframe.operators.manifest import folds
 from glintframe.operators.verdict import contributions as strongest_contributions
+from glintframe.session import stored
 
 #: Members in the order of their columns; prefixes of feature names and their families.
 MEMBERS = ("rf", "svm", "lr", "gb")
@@ -156,7 +157,7 @@ def leave_one_out(df: DataFrame, config: Config | None = None, by: str = "genera
     scored = out[0]
     for part in out[1:]:
         scored = scored.unionByName(part)
-    scored = scored.persist()
+    scored = stored(scored, "held-out")
     return E.binary_metrics(scored, 0.5, [by]).select(by, "n", "accuracy").join(E.roc_auc_by(scored, by), by)
 
 
@@ -341,7 +342,7 @@ class Trained:
 
 def train(df: DataFrame, config: Config | None = None, key: str = "id", vector: str = "features", label: str = "y", by: str | None = "generator", method: str = "isotonic", k: int = 5) -> Trained:
     """The whole run: out-of-fold scores, the meta-learner and the calibrator on these, the final ensemble on all rows, each generator (``by``, if any) held out once."""
-    oof = out_of_fold(df, config, key, vector, label, k).persist()
+    oof = stored(out_of_fold(df, config, key, vector, label, k), "out-of-fold")
     meta = fit_meta(oof, label)
     raw = oof.withColumn("raw", F.coalesce(meta.score(F.col("members")), F.col("p")))
     calibrator = calibrate(raw, "raw", label, method, key)
