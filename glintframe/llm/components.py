@@ -4,6 +4,9 @@ Each round is two groupings and a join over the edges that are left; edges of a
 component are a star around its smallest node and stop changing.  A node's neighbours are
 only ever reduced by ``min``, which Spark combines before it shuffles, so a node with very
 many of them needs no task of its own.
+
+Defined cases: pairs of a node and itself, and repeated pairs, change nothing; pairs that aren't a < b, or have a null end, are left
+out; no pairs give no nodes.
 """
 
 from __future__ import annotations

@@ -4,6 +4,9 @@
 chunk holds rows that one task has written, so nothing is shuffled.  Operators work on slim
 columns and row numbers; what they decide comes back as one bitmap for each chunk (4 KB), joined
 to the chunk's bucket: the rows decided on are shuffled as 8 bytes each, texts never.
+
+Defined cases: columns of any kind, nulls too, are kept as they are; names that clash with ``row`` and ``chunk`` get other names beside them; repeated rows have
+numbers of their own; a decision about no rows marks none; an empty table stays one.
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 The file is the ``tokenizers`` library's JSON; its path is a parameter and must be readable
 on the executors.  tiktoken gives the same ids several times faster (tests compare the two).
 The strings of added tokens in a text become these tokens' ids, as ``tokenizers`` has it by default.
+
+Defined cases: an empty text has no ids; texts of any length are encoded whole, long ones in blocks cut where no token can span.
 """
 
 from __future__ import annotations
