@@ -50,13 +50,20 @@ def append_history(rows: DataFrame, path: str, order: str, now: Column | None =
 
 
 def with_ids(rows: DataFrame, order: str, first: int, parts: int = 64) -> DataFrame:
-    """``rows`` with ``id``: first + 1, first + 2, ... by ``order``, without a task that sees all rows."""
-    ranged = rows.repartitionByRange(parts, order).withColumn("ids__part", F.spark_partition_id())
-    sums = ranged.groupBy("ids__part").agg(F.count("*").alias("n"))
+    """``rows`` with ``id``: first + 1, first + 2, ... by ``order``, without a task that sees all rows.
+
+    The ranges' bounds are read once: Spark samples anew for each range exchange, so two that differ in their columns may cut elsewhere.
+    """
+    ranged = rows.select(F.col(order).alias("ids__order")).repartitionByRange(parts, "ids__order").groupBy(F.spark_partition_id()).agg(F.min("ids__order").alias("low"))
+    bounds = sorted(r[0] for r in ranged.where("low is not null").collect())[1:]  # fewer than ``parts``
+    kind = rows.schema[order].dataType
+    part = sum((F.when(F.col(order) >= F.lit(b).cast(kind), 1).otherwise(0) for b in bounds), F.lit(0))
+    cut = rows.withColumn("ids__part", part)
+    sums = cut.groupBy("ids__part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("ids__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``parts`` rows
     base = F.broadcast(sums.select(F.col("ids__part").alias("ids__own"), before.alias("ids__before")))
     inside = F.row_number().over(Window.partitionBy("ids__part").orderBy(order))
-    numbered = ranged.withColumn("ids__in", inside).join(base, F.col("ids__part") == F.col("ids__own"))
+    numbered = cut.withColumn("ids__in", inside).join(base, F.col("ids__part") == F.col("ids__own"))
     return numbered.withColumn("id", F.col("ids__in") + F.col("ids__before") + first).drop("ids__in", "ids__part", "ids__own", "ids__before")
 
 
