@@ -1,9 +1,10 @@
-"""Ids that follow on over sampled ranges."""
+"""Ids that follow on over sampled ranges; fits that read what they were given once."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glintframe.operators import models
 from glintframe.sources import stores
 
 
@@ -11,3 +12,29 @@ def test_ids_follow_the_order_where_ranges_are_sampled(spark):
     rows = spark.range(0, 100_000, numPartitions=8).select((F.col("id") * 7919 % 100_003).alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     found = stores.with_ids(rows, "at", 5).select("id", "at", "text").toPandas().sort_values("at")
     assert list(found["id"]) == list(range(6, 100_006))
+
+
+def test_fits_compute_their_rows_once(spark):
+    """However many fits, folds and figures: what rows are made of is computed once a row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def made(i):
+        seen.add(1)
+        return [float(i % 7), float(i % 2) + i % 5]
+
+    rows = spark.range(0, 60, numPartitions=2).select("id", (F.col("id") % 2).cast("int").alias("y"), made("id").alias("features"))
+    tiny = models.Config(trees=2, tree_depth=2, boosts=1, boost_depth=2, waves=4, iterations=3)
+    figures = models.fold_metrics(models.out_of_fold(rows, tiny, k=2)).first()
+    assert (figures.n_fake, figures.n_real, seen.value) == (30, 30, 60)
+    assert models.ablation(rows, ["fft_a", "fft_b"], tiny).count() == 1
+    assert seen.value == 120
+
+
+def test_contributions_rank_the_features_within_a_row(spark):
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 3), -3.0, 3.0, 0.5]) for i in range(40)], "id long, y int, features array<double>")
+    ensemble = models.fit(rows, models.Config(trees=2, tree_depth=2, boosts=1, boost_depth=2, waves=4, iterations=3))
+    found = models.contributions(ensemble, rows, "id", probe=2, keep=2)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning") == 1  # that of the deltas; vectors aren't moved
+    assert {(r["feature"], r["value"]) for r in found.collect()} == {(1, -3.0), (2, 3.0)}
