@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from glintframe.operators import models
+from glintframe.operators import embeddings, models, planes
+from glintframe.session import with_checkpoints
 from glintframe.sources import stores
 
 
@@ -38,3 +41,38 @@ def test_contributions_rank_the_features_within_a_row(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     assert plan.count("Exchange hashpartitioning") == 1  # that of the deltas; vectors aren't moved
     assert {(r["feature"], r["value"]) for r in found.collect()} == {(1, -3.0), (2, 3.0)}
+
+
+def test_each_feature_is_computed_once(spark):
+    """What makes a feature finite uses its value, not its expression four times over."""
+    images = spark.createDataFrame([(1, bytes(192), 8, 8, 3)], "id long, pixels binary, height int, width int, channels int")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        plan = planes.extract(images, 64)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count(".coherence") == 1
+
+
+@pytest.mark.parametrize("at_once", [300, 10**7])
+def test_clusters_over_stretches_of_ids(spark, at_once):
+    """Dense vectors, where every row is within two steps of nearly all: few jobs, and the loop's clusters."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 3))
+    spark.sparkContext.setCheckpointDir(with_checkpoints(spark))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    near = ((v[:, None] - v[None]) ** 2).sum(axis=2) < 0.7**2
+    free, want = set(range(len(v))), set()
+    for i in range(len(v)):
+        own = [int(j) for j in np.flatnonzero(near[i]) if j in free]
+        if i in free and len(own) >= 5:
+            want |= {(i, j) for j in own}
+            free -= set(own)
+    assert len({s for s, _ in want}) > 10
+    tracker, group = spark.sparkContext.statusTracker(), f"stretches-{at_once}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = {tuple(r) for r in embeddings.unknown_clusters(df, 0.7, 5, **({} if at_once == 10**7 else {"at_once": at_once})).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == want
+    assert at_once == 300 or len(tracker.getJobIdsForGroup(group)) < 60
