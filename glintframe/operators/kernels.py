@@ -196,9 +196,9 @@ def dct_statistics(df: DataFrame, image: str, vector: str, side: int = 8) -> Dat
 
 def jpeg_history(df: DataFrame, image: str, vector: str, side: int = 8, bins: int = 64) -> DataFrame:
     """Per image: quality estimate, and of the inner coefficients' histogram kurtosis, periodicity, share near zero and mass around the mode."""
-    inner = [i for i in range(side * side) if i // side and i % side]
     staged = df.select(image, dct(F.col(vector), side).alias("c"))
-    picked = F.transform(constant(inner, "array<int>"), lambda i: F.get(F.col("c"), i))
+    # One pass over the coefficients: an expression that names them within a lambda would compute them again for each place.
+    picked = F.filter("c", lambda x, i: (i >= side) & (i % side > 0))
     squares = lambda a: F.aggregate(a, lit(0.0), lambda s, x: s + x * x)
     edges = staged.groupBy(image).agg(
         F.min(F.array_min(picked)).alias("low"), F.max(F.array_max(picked)).alias("high"), F.sum(squares(F.col("c"))).alias("total"), F.sum(squares(picked)).alias("ac")
