@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintframe.operators import embeddings, models, planes
+from glintframe.operators import embeddings, kernels, models, planes
 from glintframe.session import with_checkpoints
 from glintframe.sources import stores
 
@@ -76,3 +76,16 @@ def test_clusters_over_stretches_of_ids(spark, at_once):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found == want
     assert at_once == 300 or len(tracker.getJobIdsForGroup(group)) < 60
+
+
+def test_jpeg_history_takes_the_transform_once_a_row(spark):
+    """The picked coefficients are no lambda over places in which the whole transform stands."""
+    df = spark.createDataFrame([(1, [float(i % 9) for i in range(64)]), (1, [float(i % 5) for i in range(64)])], "label int, embedding array<double>")
+    found = kernels.jpeg_history(df, "label", "embedding")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert "lambdafunction(transform(array(" not in plan and found.count() == 1
