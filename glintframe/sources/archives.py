@@ -1,7 +1,8 @@
 """Members of zip archives as a Spark data source: the directory at an archive's end is read once, members are inflated in parallel.
 
-A partition is a group of neighbouring members of one archive, of bounded size; a task reads their bytes and nothing else of the
-archive.  A member that is broken, encrypted, or packed by a method that isn't read is a row with a reason; the others go on.
+A partition is a group of neighbouring members of one archive, or of whole archives that are smaller than that, of bounded size.  Only the
+directories of large archives, of which there are few for the bytes, are read by the driver, those of small ones by the task that inflates their
+members.  Partitions grow beyond ``split`` where there would be more than ``PARTITIONS`` of them, up to ``SPLIT``.  A member that is broken, encrypted, or packed by a method that isn't read is a row with a reason; the others go on.
 """
 
 from __future__ import annotations
@@ -27,18 +28,48 @@ MEMBERS = "archive string, name string, length long, content binary, reason stri
 DIGESTS = "archive string, length long, sha256 string"
 
 
+#: Partitions of less than ``SPLIT`` bytes, at most, about.
+PARTITIONS = 512
+
+
 class Group(InputPartition):
-    def __init__(self, archive: str, members: list[tuple], reason: str | None = None) -> None:
-        super().__init__(archive)
-        self.archive, self.members, self.reason = archive, members, reason
+    """Archives, each with the members to read, or None for all."""
 
+    def __init__(self, archives: list[tuple[str, list[tuple] | None]]) -> None:
+        super().__init__(len(archives))
+        self.archives = archives
 
-def _archives(system: fs.FileSystem, root: str) -> list[str]:
+
+def _archives(system: fs.FileSystem, root: str) -> list[tuple[str, int]]:
+    """(path, bytes) of all archives."""
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
-        return [root]
+        return [(root, info.size)]
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
-    return sorted(f.path for f in found if f.is_file and f.base_name.lower().endswith(".zip") and not hidden(f.path, root))
+    return sorted((f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(".zip") and not hidden(f.path, root))
+
+
+def _bytes_at_once(found: list[tuple[str, int]], split: int) -> int:
+    return max(split, min(SPLIT, -(-sum(size for _, size in found) // PARTITIONS)))
+
+
+def _whole(found: list[tuple[str, int]], split: int) -> list[Group]:
+    """Archives, unread, in groups of about ``split`` bytes."""
+    out, size = [], 0
+    for path, length in found:
+        if not out or size + length > split:
+            out.append(Group([]))
+            size = 0
+        out[-1].archives.append((path, None))
+        size += length
+    return out
+
+
+def _directory(file: pa.NativeFile) -> list[tuple]:
+    """What ``member_bytes`` needs of each member, in the order of their bytes."""
+    with zipfile.ZipFile(file) as archive:
+        infos = [i for i in archive.infolist() if not i.is_dir()]
+    return [(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC, i.flag_bits) for i in sorted(infos, key=lambda i: i.header_offset)]
 
 
 class MemberReader(DataSourceReader):
@@ -47,45 +78,59 @@ class MemberReader(DataSourceReader):
 
     def partitions(self) -> list[Group]:
         system, root = _folder(self.options)
-        split, out = int(self.options.get("split", SPLIT)), []
-        for path in _archives(system, root):
+        found = _archives(system, root)
+        split = _bytes_at_once(found, int(self.options.get("split", SPLIT)))
+        out = _whole([f for f in found if f[1] <= split], split)
+        for path, _ in (f for f in found if f[1] > split):
             try:
-                with system.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-                    infos = [i for i in archive.infolist() if not i.is_dir()]
-            except (zipfile.BadZipFile, OSError, ValueError) as why:
-                out.append(Group(path, [], f"not a zip archive: {why}"))
+                with system.open_input_file(path) as file:
+                    members = _directory(file)
+            except (zipfile.BadZipFile, OSError, ValueError):
+                out.append(Group([(path, None)]))  # its task tells the reason
                 continue
             held, size = [], 0
-            for i in sorted(infos, key=lambda i: i.header_offset):
-                held.append((i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC, i.flag_bits))
-                size += i.compress_size
+            for member in members:
+                held.append(member)
+                size += member[2]
                 if size >= split:
-                    out.append(Group(path, held))
+                    out.append(Group([(path, held)]))
                     held, size = [], 0
             if held:
-                out.append(Group(path, held))
-        return out or [Group("", [])]
+                out.append(Group([(path, held)]))
+        return out or [Group([])]
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(_parse_schema(MEMBERS))
-        if partition.reason:
-            yield pa.RecordBatch.from_pylist([{"archive": partition.archive, "reason": partition.reason}], arrow)
-            return
-        if not partition.members:
-            return
         system, _ = _folder(self.options)
-        most, held, size = int(self.options.get("most", 1 << 30)), [], 0
-        with system.open_input_file(partition.archive) as file:
-            for member in partition.members:
-                content, reason = member_bytes(file, member, most)
-                held.append({"archive": partition.archive, "name": member[0], "length": member[3], "content": content, "reason": reason})
-                size += len(content or b"")
+        held, size = [], 0
+        for path, members in partition.archives:
+            for row in self.rows(system, path, members):
+                held.append(row)
+                size += len(row.get("content") or b"")
                 if size >= BATCH:
                     yield pa.RecordBatch.from_pylist(held, arrow)
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_pylist(held, arrow)
 
+    def rows(self, system: fs.FileSystem, path: str, members: list[tuple] | None) -> Iterator[dict]:
+        most = int(self.options.get("most", 1 << 30))
+        try:
+            file = system.open_input_file(path)
+        except OSError as why:
+            yield {"archive": path, "reason": f"not a zip archive: {why}"}
+            return
+        with file:
+            if members is None:
+                try:
+                    members = _directory(file)
+                except (zipfile.BadZipFile, OSError, ValueError) as why:
+                    yield {"archive": path, "reason": f"not a zip archive: {why}"}
+                    return
+            for member in members:
+                content, reason = member_bytes(file, member, most)
+                yield {"archive": path, "name": member[0], "length": member[3], "content": content, "reason": reason}
+
 
 def member_bytes(file: pa.NativeFile, member: tuple, most: int) -> tuple[bytes | None, str | None]:
     """The bytes of one member, or the reason why there are none; a name that leaves its folder is refused."""
@@ -132,17 +177,18 @@ class DigestReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[Group]:
-        return [Group(path, []) for path in _archives(*_folder(self.options))] or [Group("", [])]
+        found = _archives(*_folder(self.options))
+        return _whole(found, _bytes_at_once(found, 0)) or [Group([])]
 
     def read(self, partition: Group) -> Iterator[tuple]:
-        if partition.archive:
-            system, _ = _folder(self.options)
+        system, _ = _folder(self.options)
+        for path, _ in partition.archives:
             state, n = hashlib.sha256(), 0
-            with system.open_input_stream(partition.archive) as file:
+            with system.open_input_stream(path) as file:
                 while block := file.read(1 << 20):
                     state.update(block)
                     n += len(block)
-            yield partition.archive, n, state.hexdigest()
+            yield path, n, state.hexdigest()
 
 
 class Digests(DataSource):

@@ -223,3 +223,29 @@ def test_members_of_archives(spark, tmp_path):
     pins = spark.createDataFrame([("1.ZIP", hashlib.sha256((folder / "1.ZIP").read_bytes()).hexdigest().upper()), ("0.ZIP", "0" * 64)], "file string, sha256 string")
     state = {(r.archive.rsplit("/", 1)[1], r.reason): r.n for r in archives.members(spark, str(folder), pins).groupBy("archive", "reason").agg(F.count("*").alias("n")).collect()}
     assert state["0.ZIP", "the archive's checksum is another"] == 302 and state["1.ZIP", None] == 300
+
+
+def test_many_small_archives_in_few_partitions(spark, tmp_path):
+    import zipfile
+
+    from glintframe.sources import archives
+
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    want = {}
+    for k in range(1500):
+        with zipfile.ZipFile(folder / f"{k}.zip", "w") as archive:
+            for i in range(2):
+                want[f"{k}.zip", f"{i}.bin"] = data = f"{k} {i} ".encode() * 20
+                archive.writestr(f"{i}.bin", data)
+    (folder / "bad.zip").write_bytes(b"nothing")
+    (folder / "empty.zip").write_bytes(b"")
+    df = archives.members(spark, str(folder), split="100")
+    digests = archives.digests(spark, str(folder))
+    # A group may end early, before an archive that doesn't fit, so there may be twice as many.
+    assert max(df.rdd.getNumPartitions(), digests.rdd.getNumPartitions()) <= 2 * archives.PARTITIONS
+    rows = {(r.archive.rsplit("/", 1)[1], r.name): r for r in df.collect()}
+    assert all(rows.pop((name, None)).reason.startswith("not a zip") for name in ("bad.zip", "empty.zip"))
+    assert {k: bytes(r.content) for k, r in rows.items()} == want
+    found = {r.archive.rsplit("/", 1)[1]: r.sha256 for r in digests.collect()}
+    assert len(found) == 1502 and all(found[p.name] == hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir())
