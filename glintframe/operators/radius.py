@@ -4,11 +4,15 @@ Rows are dealt to the cell of the nearest of some pivot rows and, in a cell, cut
 rows at most, so a cell may hold any share of the rows.  Two rings can only hold rows within ``epsilon`` if the triangle
 inequality allows it, by the pivots' distance and the rings' bounds; those that can meet as one product of matrices.
 A ring pair gives each row's count of rows in reach; pairs of rows are emitted for rows that are asked for.  All of it is exact.
+
+Rings are read where they lie and never shuffled to each other: one side is broadcast, about ``AT_ONCE`` bytes after the other.
+What is compared grows with the square of the rows where the inequality prunes little; what is sent and written doesn't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,8 @@ from glintframe.session import stored
 
 #: Rows of a ring, and pivots at most.
 RING, PIVOTS = 2048, 256
+#: Bytes of rings that are broadcast at a time, about.
+AT_ONCE = 64 << 20
 #: Distances that differ by less are compared exactly.
 SLACK = 1e-7
 
@@ -47,7 +53,8 @@ def rings(df: DataFrame, id_col: str, vector: str, pivots: int = PIVOTS, ring: i
     grouped = placed.groupBy("cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), packed.alias("rows"))  # RING rows at most
     joined = F.aggregate("rows", F.lit(b""), lambda s, r: F.concat(s, r["data"]))
     made = grouped.select(F.xxhash64("cell", "ring").alias("block"), "cell", "low", "high", F.col("rows.id").alias("ids"), joined.alias("data"))
-    return stored(made, "rings"), centres
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return stored(made.repartition(parts, "block"), "rings"), centres
 
 
 def meetings(blocks: DataFrame, centres: np.ndarray, epsilon: float) -> DataFrame:
@@ -66,25 +73,39 @@ def meetings(blocks: DataFrame, centres: np.ndarray, epsilon: float) -> DataFram
 
 def _reach(left: np.ndarray, right: np.ndarray, epsilon: float) -> np.ndarray:
     """Which rows of ``left`` are closer than ``epsilon`` to which of ``right``; near the bound the differences themselves decide."""
-    square = (left * left).sum(1)[:, None] + (right * right).sum(1) - 2 * left @ right.T
+    square = left @ right.T
+    square *= -2
+    square += (left * left).sum(1)[:, None]
+    square += (right * right).sum(1)
     bound = epsilon * epsilon
     close = square < bound
-    for i, j in zip(*np.nonzero(np.abs(square - bound) < SLACK * (1 + bound))):
+    square -= bound
+    for i, j in zip(*np.nonzero(np.abs(square, out=square) < SLACK * (1 + bound))):
         close[i, j] = ((left[i] - right[j]) ** 2).sum() < bound
     return close
 
 
-def _pairs(blocks: DataFrame, meet: DataFrame) -> DataFrame:
-    a = blocks.select(F.col("block").alias("left"), F.col("ids").alias("ids"), F.col("data").alias("data"))
-    b = blocks.select(F.col("block").alias("right"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    return meet.join(a, "left").join(b, "right")
+def _met(blocks: DataFrame, meet: DataFrame, work: Callable, schema: str, at_once: int | None = None, *more: str) -> DataFrame:
+    """What ``work`` makes of the pairs of rings in ``meet``, with the rings' columns ``more`` too (the right one's end in 2), added up by id if it counts."""
+    size = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
+    groups = max(1, -(-size // (at_once or AT_ONCE)))
+    names = ("ids", "data", *more)
+    left = blocks.select(F.col("block").alias("left"), *names)
+    right = blocks.select(F.col("block").alias("right"), *[F.col(n).alias(f"{n}2") for n in names])
+    meet, found = stored(meet, "meetings"), []
+    for k in range(groups):
+        own = F.pmod(F.xxhash64("right"), F.lit(groups)) == k
+        # Of a group's rings, a broadcast of bounded size, and the pairs that they are in.
+        made = left.join(F.broadcast(meet.where(own)), "left").join(F.broadcast(right.where(own)), "right").mapInArrow(work, schema)
+        found.append(stored(made.groupBy("id").agg(F.sum("near").alias("near")) if "near" in made.columns else made, "met"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _matrices(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(row[d]).reshape(len(row[i]), -1) for i, d in (("ids", "data"), ("ids2", "data2")))
 
 
-def counts(blocks: DataFrame, centres: np.ndarray, epsilon: float) -> DataFrame:
+def counts(blocks: DataFrame, centres: np.ndarray, epsilon: float, at_once: int | None = None) -> DataFrame:
     """(id, near): how many other rows are closer than ``epsilon``; rows without any are left out.  No pair of rows is ever made."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +122,11 @@ def counts(blocks: DataFrame, centres: np.ndarray, epsilon: float) -> DataFrame:
                     some = n > 0
                     yield pa.RecordBatch.from_pydict({"id": np.array(ids, np.int64)[some], "near": n[some].astype(np.int64)})
 
-    each = _pairs(blocks, meetings(blocks, centres, epsilon)).mapInArrow(count, "id long, near long")
+    each = _met(blocks, meetings(blocks, centres, epsilon), count, "id long, near long", at_once)
     return each.groupBy("id").agg(F.sum("near").alias("near"))
 
 
-def pairs(blocks: DataFrame, centres: np.ndarray, epsilon: float, chosen: DataFrame | None = None) -> DataFrame:
+def pairs(blocks: DataFrame, centres: np.ndarray, epsilon: float, chosen: DataFrame | None = None, at_once: int | None = None) -> DataFrame:
     """(a, b): rows closer than ``epsilon``, both ways; with ``chosen`` (id) only those whose ``a`` is one of them."""
     asked = blocks
     if chosen is not None:
@@ -118,7 +139,6 @@ def pairs(blocks: DataFrame, centres: np.ndarray, epsilon: float, chosen: DataFr
     meet = meetings(blocks, centres, epsilon)
     wanted = asked.where("size(asked) > 0").select(F.col("block").alias("wanted"))
     half = meet.join(wanted, F.col("left") == F.col("wanted"), "left_semi").unionByName(meet.join(wanted, F.col("right") == F.col("wanted"), "left_semi")).distinct()
-    extra = [asked.select(F.col("block").alias(side), F.col("asked").alias(name)) for side, name in (("left", "asked"), ("right", "asked2"))]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,4 +154,4 @@ def pairs(blocks: DataFrame, centres: np.ndarray, epsilon: float, chosen: DataFr
                     for first in range(0, len(i), 100_000):
                         yield pa.RecordBatch.from_pydict({"a": own[i[first : first + 100_000]], "b": other[j[first : first + 100_000]]})
 
-    return _pairs(blocks, half).join(extra[0], "left").join(extra[1], "right").mapInArrow(emit, "a long, b long")
+    return _met(asked, half, emit, "a long, b long", at_once, "asked")
