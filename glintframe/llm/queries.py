@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editcounts, exact, flac, language, mixing, packing, pii, pitman_yor, simhash, trie, urls, variants, warc
+from . import editcounts, exact, flac, language, mixing, packing, pii, pitman_yor, simhash, trie, urls, variants, warc, word_contexts
 from .common import table
 
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
@@ -173,7 +173,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pitman_yor.scores(table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id")))
+    found = word_contexts.scores(table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id")))
     return found.withColumnRenamed("id", "doc_id")
 
 
