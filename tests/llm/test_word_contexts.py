@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from test_pitman_yor import Plain, check_plain_columns, tokens
 from glintframe.llm import pitman_yor as PY
 from glintframe.llm import queries as Q
 from glintframe.llm import word_contexts as WC
+from glintframe.llm.common import shared_dir
 
 
 def is_held(i) -> bool:
@@ -120,3 +122,39 @@ def test_numbers_in_planes():
     numbers = np.array([0, 1, 255, 256, 70_000, 2**31], np.uint64)
     assert (WC.unpacked(WC.packed(numbers, np.uint64), np.uint64) == numbers).all()
     assert (WC._keys(WC._packed_keys(numbers << np.uint64(8))) == numbers << np.uint64(8)).all()
+
+
+def test_disk_held_at_the_end(spark, monkeypatch):
+    """Files of all steps that are still there when the scores have been written: scratch tables and shuffles."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(20_000)])
+    docs = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 1000), 20_000) - 1])) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    sc = spark.sparkContext
+    tops = [Path(shared_dir(spark).removeprefix("file:"), "glintframe"), *(Path(d.getPath()) for d in sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    sizes = lambda: {f: f.stat().st_size for top in tops for f in top.rglob("*") if f.is_file()}
+    before, held, discard = set(sizes()), [], WC.discard
+
+    def watched(*tables):
+        held.append(sum(size for f, size in sizes().items() if f not in before))
+        discard(*tables)
+
+    monkeypatch.setattr(WC, "discard", watched)
+    found = WC.scores(df, df.doc_id % 7 == 2).collect()
+    n = sum(r.n_tokens for r in found)
+    assert n == 500 * 1001
+    assert held[-1] < 11 * n
+
+
+def test_places_in_gaps():
+    places, known = np.array([0, 0, 3, 3, 9, 10**6]), np.array([True, True, False, True, True, True])
+    assert WC.from_gaps(WC.gaps(places, known)).tolist() == [0, 0, -1, 3, 9, 10**6]
+    assert WC.from_gaps(WC.gaps(places, np.zeros(6, bool))).tolist() == [-1] * 6
+    assert len(WC.from_gaps(WC.gaps(places[:0], known[:0]))) == 0
+
+
+def test_words_in_the_order_of_contexts():
+    words = np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert (WC.turned_back(WC.turned(words)) == words).all()
+    ordered = WC.turned_back(np.sort(WC.turned(words)))
+    assert (np.diff((ordered & WC.MASK).astype(np.int64)) >= 0).all() and (np.diff(WC.bucket(ordered)) >= 0).all()
