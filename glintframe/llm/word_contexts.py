@@ -309,16 +309,17 @@ def _drawn(counted: DataFrame, seated: DataFrame, step: int, discount: float) ->
             known.sort(key=lambda r: r["origin"])
             words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in known]) & MASK
             count = np.concatenate([unpacked(r["n"], np.int64) for r in known])
-            order = np.argsort(words, kind="stable")
-            t, ends = count.copy(), np.cumsum([len(r["words"]) // 8 for r in known])
+            ends = np.cumsum([len(r["words"]) // 8 for r in known])[:-1]
+            contexts, of = np.unique(words, return_inverse=True)  # words of one hash share a restaurant, its customers and its tables
+            customers = np.bincount(of, count, len(contexts)).astype(np.int64)
+            t = customers.copy()
             keys, more = [_keys(r["keys"]) for r in told], [unpacked(r["n"], np.int64) for r in told]
             if told:  # the contexts of all rows at once: there is one row for each bucket
-                at = order[np.searchsorted(words[order], np.concatenate(keys))]
+                at = np.searchsorted(contexts, np.concatenate(keys))
                 np.subtract.at(t, at, np.concatenate(more))
-            gammas = np.random.default_rng([step, b]).gamma(STRENGTH / discount + t[order])
-            gamma = np.empty(len(words))
-            gamma[order] = gammas
-            yield _batch([dict(kind=ROOMS, bucket=r["origin"], origin=step, t=packed(own, np.int64)) for r, own in zip(known, np.split(t, ends[:-1]))])
+            gamma = np.random.default_rng([step, b]).gamma(STRENGTH / discount + t)
+            both = zip(known, np.split(t[of], ends), np.split(customers[of] - count, ends))
+            yield _batch([dict(kind=ROOMS, bucket=r["origin"], origin=step, t=packed(own, np.int64), n=packed(others, np.int64)) for r, own, others in both])
             if told:
                 own = np.split(gamma[at].astype(np.float32), np.cumsum([len(x) for x in keys])[:-1])
                 yield _batch([dict(kind=GAMMAS, bucket=r["origin"], origin=b, t=packed(x, np.float32)) for r, x in zip(told, own)])
@@ -422,16 +423,17 @@ def fit(scanned: DataFrame, burn: int = BURN, samples: int = SAMPLES, lookup: bo
 
 
 def valued(fitted: dict, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(counts, root probabilities and restaurants' weights by sample, shares of the pairs' own customers) of numbers as ``Model`` has them."""
+    """(customers of the words' restaurants, root probabilities and restaurants' weights by sample, shares of the pairs' own customers) of numbers as
+    ``Model`` has them."""
     d1, d0 = fitted["discounts"]
     steps = len(fitted["totals"])
-    count, own_c, own_t, restaurants = words[0], *words[1:].reshape(3, steps, -1)
+    customers, own_c, own_t, restaurants = words[0] + words[1], *words[2:].reshape(3, steps, -1)
     root = np.array([_root(fitted["words"], d0, c0, t0, own_c[k], own_t[k]) for k, (_, (c0, t0)) in enumerate(fitted["totals"])])
-    return count, root, (STRENGTH + d1 * restaurants) / (STRENGTH + count), pairs[0] - d1 * pairs[1] / steps
+    return customers, root, (STRENGTH + d1 * restaurants) / (STRENGTH + customers), pairs[0] - d1 * pairs[1] / steps
 
 
 class Model:
-    """A bucket's words: counts, and by sample customers and tables at the root and tables of their restaurants; its pairs: customers, and tables of all samples.
+    """A bucket's words: counts, what words of the same hash add to their restaurants' customers, and by sample customers and tables at the root and tables of their restaurants; its pairs: customers, and tables of all samples.
     The last place is that of unknown ones."""
 
     def __init__(self, rows: list[dict], fitted: dict) -> None:
@@ -441,9 +443,9 @@ class Model:
         sizes, c = (unpacked(dishes["sizes"], np.uint32), unpacked(dishes["n"], np.int64)) if dishes else np.zeros((2, 0), np.int64)
         m, live = len(sizes), c > 1
         row = np.repeat(np.arange(m), sizes)
-        self.word_numbers, self.pair_numbers = np.zeros((1 + 3 * len(steps), m + 1), np.int64), np.zeros((2, len(c) + 1), np.int64)
-        count, own_c, own_t, restaurants = self.word_numbers[0], *self.word_numbers[1:].reshape(3, len(steps), -1)
-        count[:-1] = np.bincount(row, c, m)
+        self.word_numbers, self.pair_numbers = np.zeros((2 + 3 * len(steps), m + 1), np.int64), np.zeros((2, len(c) + 1), np.int64)
+        own_c, own_t, restaurants = self.word_numbers[2:].reshape(3, len(steps), -1)
+        self.word_numbers[0, :-1] = np.bincount(row, c, m)
         self.pair_numbers[0, :-1] = c
         t_sum = self.pair_numbers[1, :-1]
         t_sum[~live] = len(steps)  # the one table of one customer
@@ -452,6 +454,7 @@ class Model:
             t = unpacked(seats["t"], np.int64)
             t_sum[live] += t
             own_c[k, :-1] = _added(sizes, row[live], t, unpacked(seats["ones"], np.int64))
+            self.word_numbers[1, :-1] = unpacked(rooms["n"], np.int64)
             own_t[k, :-1], restaurants[k, :-1] = unpacked(seats["t0"], np.int64), unpacked(rooms["t"], np.int64)
         named = dishes and dishes["words"] is not None
         self.words = np.frombuffer(dishes["words"], np.uint64) if named else np.zeros(0, np.uint64)
@@ -476,10 +479,10 @@ class Model:
         return valued(self.fitted, self.word_numbers[:, at], self.pair_numbers[:, pairs])
 
 
-def probabilities(pairs: np.ndarray, count: np.ndarray, root: np.ndarray, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
+def probabilities(pairs: np.ndarray, customers: np.ndarray, root: np.ndarray, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Mean predictive probability of each of ``pairs`` (word << 32 | word before), from what was answered."""
     word, before = pairs >> 32, pairs & 0xFFFFFFFF
-    p = share / (STRENGTH + count[before])
+    p = share / (STRENGTH + customers[before])
     for k in range(len(root)):
         p += weight[k, before] * root[k, word] / len(root)
     return p
@@ -531,13 +534,14 @@ def _scored(rows: DataFrame, burn: int, samples: int, chunk: int) -> DataFrame:
             row = next(own)
             starts, code = unpacked(grown(row["starts"]), np.int64), unpacked(grown(row["at"]), np.uint32).astype(np.int64)
             pairs, at = _coded(code)
-            of_words, of_pairs = np.zeros((1 + 3 * samples, int(code.max()) + 1), np.int64), np.zeros((2, len(pairs)), np.int64)
+            of_words, of_pairs = np.zeros((2 + 3 * samples, int(code.max()) + 1), np.int64), np.zeros((2, len(pairs)), np.int64)
             for r in own:
                 for numbers, first, data in ((of_words, r["first"], r["words"]), (of_pairs, r["pair"], r["keys"])):
                     found = unpacked(grown(data), np.int64).reshape(len(numbers), -1)
                     numbers[:, first : first + found.shape[1]] = found
-            count, root, weight, share = valued(fitted, of_words, of_pairs)
-            logs = np.log10(probabilities(pairs, count, root, weight, share))
+            customers, root, weight, share = valued(fitted, of_words, of_pairs)
+            count = of_words[0]
+            logs = np.log10(probabilities(pairs, customers, root, weight, share))
             base = np.log10((count + 1.0) / (n + words + 1.0))
             sums = [np.add.reduceat(values, starts[:-1]) for values in (logs[at], base[code], (count > 0).astype(np.int64)[code])]
             yield pa.RecordBatch.from_pydict({

@@ -158,3 +158,15 @@ def test_words_in_the_order_of_contexts():
     assert (WC.turned_back(WC.turned(words)) == words).all()
     ordered = WC.turned_back(np.sort(WC.turned(words)))
     assert (np.diff((ordered & WC.MASK).astype(np.int64)) >= 0).all() and (np.diff(WC.bucket(ordered)) >= 0).all()
+
+
+def test_words_of_one_hash_share_a_restaurant(spark):
+    first, second = "w1689633", "w2670489"
+    a, b = (PY._tokens([w])[0][0] for w in (first, second))
+    assert a != b and a & WC.MASK == b & WC.MASK
+    docs = [(i, f"{first if i % 2 else second} north " * 30) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = WC.scores(df, df.doc_id > 17).collect()
+    assert all(r.base_score < r.score < 0 for r in found)
+    together = {i: r.score for r in found for i in [r.id]}
+    assert together[18] == pytest.approx(together[19], rel=0.02)
