@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintframe.operators import embeddings, kernels, models, planes
+from glintframe.operators import embeddings, kernels, models, planes, verdict
+from glintframe.plans import models as plans_models
 from glintframe.session import with_checkpoints
 from glintframe.sources import stores
 
@@ -43,6 +44,40 @@ def test_contributions_rank_the_features_within_a_row(spark):
     assert {(r["feature"], r["value"]) for r in found.collect()} == {(1, -3.0), (2, 3.0)}
 
 
+def test_contributions_of_every_feature(spark, tmp_path, monkeypatch):
+    """The query has a row for each feature of each document, as scoring without one feature after the other has."""
+    texts = [None, "", "the same", "the same", *[f"Word {i}, " * (i % 5 + 1) + "12\n" * (i % 3) + "END. " * (i % 4) for i in range(56)]]
+    spark.createDataFrame([(i, t, ("en", "de")[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i * 7 % 3 % 2) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    fitted = []
+    keep = models.fit
+    monkeypatch.setattr(models, "fit", lambda *a: fitted.append(keep(*a)) or fitted[-1])
+    monkeypatch.setattr(plans_models, "SMALL", models.Config(trees=2, tree_depth=3, boosts=2, boost_depth=2, waves=4, iterations=5))
+    found = plans_models.feature_contributions(spark, str(tmp_path)).collect()
+    rows = plans_models.featured(spark, str(tmp_path))
+    score = lambda zeroed: {r["id"]: sum(r["members"]) / 4 for r in fitted[0].members(rows.withColumn("features", zeroed)).collect()}
+    base, vectors = score(F.col("features")), {r["id"]: r["features"] for r in rows.collect()}
+    want = {}
+    for at in range(8):
+        less = score(F.transform("features", lambda x, i: F.when(i == at, F.lit(0.0)).otherwise(x)))  # noqa: B023
+        want |= {(i, at): (vectors[i][at], base[i] - less[i]) for i in base}
+    assert len(found) == len(want) == 8 * len(texts)
+    assert {(r["id"], r["feature"]): r["value"] for r in found} == {k: v for k, (v, _) in want.items()}
+    assert {(r["id"], r["feature"]): r["delta"] for r in found} == pytest.approx({k: d for k, (_, d) in want.items()}, abs=1e-12)
+    for i in base:
+        own = sorted((r for r in found if r["id"] == i), key=lambda r: (-r["delta"], r["feature"]))
+        assert [r["place"] for r in own] == list(range(1, 9))
+
+
+def test_contributions_have_either_limit_alone(spark):
+    rows = [(1, f, v, d) for f, (v, d) in enumerate([(9.0, 0.1), (-8.0, -0.4), (1.0, 0.3), (0.0, 0.0)])]
+    df = spark.createDataFrame(rows, "id long, feature int, value double, delta double")
+    told = lambda **limits: [(r["feature"], r["place"]) for r in verdict.contributions(df, "id", **limits).orderBy("place").collect()]
+    assert told(probe=None, keep=None) == [(2, 1), (0, 2), (3, 3), (1, 4)]
+    assert told(probe=2, keep=None) == [(0, 1), (1, 2)]
+    assert told(probe=None, keep=2) == [(2, 1), (1, 2)]
+
+
 def test_each_feature_is_computed_once(spark):
     """What makes a feature finite uses its value, not its expression four times over."""
     images = spark.createDataFrame([(1, bytes(192), 8, 8, 3)], "id long, pixels binary, height int, width int, channels int")
