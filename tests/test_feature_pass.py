@@ -13,7 +13,7 @@ from glintframe.plans import planes as plans
 def test_only_the_vector_leaves_the_pass(spark, sf):
     """No sums and histograms come back to be folded number by number: beside the rows' own columns there is one array."""
     parts = P.measured(plans.labelled(spark, sf), P.VECTOR, plans.SIDE, "augmented", "id")
-    assert [f.simpleString() for f in parts.schema if f.name.startswith("plane__")] == ["plane__vector:struct<values:array<double>>"]
+    assert [f.simpleString() for f in parts.schema if f.name.startswith("plane__")] == ["plane__vector:struct<values:array<double>,coherence:double>"]
     for query in (plans.training_matrix, plans.feature_vectors):
         plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "lambda" not in plan
