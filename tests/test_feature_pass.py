@@ -69,3 +69,20 @@ def test_vectors_of_odd_planes(spark):
         alone = P._vector(*[np.array(rows[i][1]).reshape(1, n, n)] * 5)["values"][0]
         for x, want, decimals in zip(found[i], alone, P.FEATURES.values()):
             assert x == pytest.approx(want, rel=1e-9, abs=1e-9 if decimals is None else 0.51 * 10**-decimals)
+
+
+def test_wavelet_step_as_a_matrix(spark):
+    """A product with the step's matrix is the filter along the mirrored axis."""
+    low = np.array(S.DB4)
+    high = low[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
+    for n in (8, 13, 64, 131):
+        x = np.random.default_rng(n).random((2, 5, n))
+        room = np.pad(x, [(0, 0), (0, 0), (7, 7)], mode="symmetric")
+        for found, across, own in zip(S.halved(x, 2), S.halved(x.swapaxes(1, 2), 1), (low, high)):
+            want = np.stack([room[..., 2 * k + 1 : 2 * k + 9] @ own[::-1] for k in range((n + 7) // 2)], axis=-1)
+            assert found == pytest.approx(want, abs=1e-12) and across.swapaxes(1, 2) == pytest.approx(want, abs=1e-12)
+
+
+def test_images_make_several_tasks_a_core(spark, sf):
+    """A second wave of a few tasks leaves the other cores idle."""
+    assert plans.labelled(spark, sf).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
